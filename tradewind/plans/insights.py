@@ -19,10 +19,10 @@ def _rows(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
+def value_counts(df: DataFrame, column: str, name: str = "customer_count") -> DataFrame:
     """Rows per value, most frequent first, equal counts by value; NULL is no value."""
-    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(_rows("customer_count"))
-    return counted.orderBy(F.desc("customer_count"), column)
+    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(_rows(name))
+    return counted.orderBy(F.desc(name), column)
 
 
 def top_countries(customers: DataFrame, n: int = 10) -> DataFrame:
