@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 _RANK = "__survivor"
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column] = ()) -> DataFrame:
+def first_per_key(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column] = (), ignore_prefix: str = "bronze_"
+) -> DataFrame:
     """Keep the first row of each key by ``order_by``.
 
-    Without ``order_by`` the order is a digest of the whole row, so the survivor does not
-    depend on the partitioning. Spark turns the filter on the row number into a per-task
-    limit before the shuffle: a key that holds a large share of all rows leaves each map task
-    as one row.
+    Without ``order_by`` the order is a digest of the row and its NULLs, so the survivor does not
+    depend on the partitioning; columns with ``ignore_prefix`` (metadata of the run) stay out of it.
+    Spark turns the filter on the row number into a per-task limit before the shuffle: a key that
+    holds a large share of all rows leaves each map task as one row.
     """
-    order = list(order_by) or [F.xxhash64(*df.columns)]
+    order = list(order_by)
+    if not order:
+        told = [F.col(c) for c in df.columns if not c.startswith(ignore_prefix)]
+        order = [F.xxhash64(*told, *[c.isNull() for c in told])]
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(_RANK, F.row_number().over(window)).filter(F.col(_RANK) == 1).drop(_RANK)

@@ -40,6 +40,14 @@ CLEANING_RULES = {
 }
 
 
+# Ingestion digest: stays in bronze, so that it does not widen the deduplication shuffle.
+BRONZE_ONLY = ("record_md5",)
+
+
+def _one_per_key(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
+    return first_per_key(df.drop(*BRONZE_ONLY), [key], order_by)
+
+
 def _with_metadata(df: DataFrame, table: str, processed_at: Column | None) -> DataFrame:
     moment = F.current_timestamp() if processed_at is None else processed_at.cast("timestamp")
     return df.withColumns(
@@ -58,7 +66,7 @@ def clean_customers(
     kept = bronze.filter("email IS NOT NULL AND age BETWEEN 18 AND 100 AND customer_id IS NOT NULL")
     age, joined_days = F.col("age"), F.col("days_since_registration")
     enriched = (
-        first_per_key(kept, ["customer_id"], order_by)
+        _one_per_key(kept, "customer_id", order_by)
         .withColumns(
             {
                 "full_name": F.concat("first_name", F.lit(" "), "last_name"),
@@ -87,7 +95,7 @@ def clean_products(
     price, profit, stock = F.col("price"), F.col("price") - F.col("cost"), F.col("stock_quantity")
     parts = F.split("dimensions", "x")
     enriched = (
-        first_per_key(kept, ["product_id"], order_by)
+        _one_per_key(kept, "product_id", order_by)
         .withColumns(
             {
                 "profit_margin_pct": F.round(profit / price * 100, 2),
@@ -125,7 +133,7 @@ def clean_orders(
     )
     day, month, weekday = F.col("order_date"), F.col("order_month"), F.col("order_day_of_week")
     values = tuple(zip(thresholds.order_value, ORDER_VALUES))
-    dated = first_per_key(kept, ["order_id"], order_by).withColumns(
+    dated = _one_per_key(kept, "order_id", order_by).withColumns(
         {
             "order_year": F.year(day),
             "order_month": F.month(day),
@@ -169,7 +177,7 @@ def clean_order_items(
     computed, rate = quantity * F.col("unit_price"), F.col("discount_rate")
     prices = tuple(zip(thresholds.unit_price, UNIT_PRICES))
     enriched = (
-        first_per_key(kept, ["order_item_id"], order_by)
+        _one_per_key(kept, "order_item_id", order_by)
         .withColumns(
             {
                 "line_total_corrected": F.when(F.abs(total - computed) > TOTAL_TOLERANCE, computed).otherwise(total),

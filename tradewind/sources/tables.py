@@ -88,16 +88,25 @@ def gold_properties(table: str) -> dict[str, str]:
     }
 
 
-def rewrite_clustered(spark: SparkSession, name: str, path: str, fmt: str = "parquet", files: int | None = None) -> str:
+def rewrite_clustered(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    fmt: str = "parquet",
+    files: int | None = None,
+    layout_of: str | None = None,
+) -> str:
     """Rewrite a catalog table in clustered order and point the entry at the new copy.
 
     The copy goes to a new version directory beside ``path``: readers of the old files go on
-    undisturbed, and a failed rewrite leaves the table as it was. Returns the new path.
+    undisturbed, and a failed rewrite leaves the table as it was. ``layout_of`` names the layout to use where
+    the catalog name is qualified. Returns the new path.
     """
-    if name not in CLUSTER_COLUMNS:
-        raise ValueError(f"no cluster columns are defined for {name}")
+    layout = layout_of or name
+    if layout not in CLUSTER_COLUMNS:
+        raise ValueError(f"no cluster columns are defined for {layout}")
     version = f"{path.rstrip('/')}__v_{uuid4().hex[:12]}"
-    overwrite(cluster_table(spark.table(name), name, files), version, fmt)
+    overwrite(cluster_table(spark.table(name), layout, files), version, fmt)
     spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
     spark.catalog.refreshTable(name)
     return version
