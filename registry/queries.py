@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tradewind.functions.sql import replace
 from tradewind.functions.text import record_md5
 from tradewind.operators.layout import cluster_table
 from tradewind.operators.rules import check_rules, quality_scores
@@ -108,13 +108,17 @@ class Shop:
 
 def _comparable(df: DataFrame) -> DataFrame:
     """Silver without the time of the run, the rule list as text."""
-    rules = F.array_join("cleaning_rules_applied", ",")
-    return df.drop("silver_processed_timestamp", "silver_processed_date").withColumn("cleaning_rules_applied", rules)
+    return df.selectExpr(
+        "* EXCEPT (silver_processed_timestamp, silver_processed_date, cleaning_rules_applied)",
+        "array_join(cleaning_rules_applied, ',') AS cleaning_rules_applied",
+    )
 
 
 def _bronze_table(shop: Shop, table: str) -> DataFrame:
-    df = shop.bronze[table].drop("bronze_ingestion_timestamp", "bronze_ingestion_date", "record_hash", "bronze_record_id")
-    return df.withColumn("record_md5", record_md5(DIGEST_COLUMNS[table]))
+    return shop.bronze[table].selectExpr(
+        "* EXCEPT (bronze_ingestion_timestamp, bronze_ingestion_date, record_hash, bronze_record_id, record_md5)",
+        f"{record_md5(DIGEST_COLUMNS[table])} AS record_md5",
+    )
 
 
 def _bronze_validation(shop: Shop) -> DataFrame:
@@ -122,14 +126,16 @@ def _bronze_validation(shop: Shop) -> DataFrame:
     expected = [*shop.raw["orders"].columns, "coupon_code"]
     report = bronze.validation_report(shop.bronze["orders"], "orders", expected, [KEYS["orders"]])
     lists = ("expected_columns", "actual_columns", "missing_columns", "extra_columns")
-    return report.drop("validation_timestamp").withColumns({c: F.array_join(c, ",") for c in lists})
+    joined = [f"array_join({c}, ',') AS {c}" for c in lists]
+    return report.selectExpr("table_name", "record_count", "column_count", "duplicate_count", *joined)
 
 
 def _lineage(shop: Shop) -> DataFrame:
     scores = quality_scores(quality.silver_rule_results(shop.silver))
-    rules = F.array_join("transformation_rules", ",")
-    report = quality.lineage(shop.bronze, shop.silver, scores).drop("lineage_timestamp")
-    return report.withColumn("transformation_rules", rules)
+    return quality.lineage(shop.bronze, shop.silver, scores).selectExpr(
+        "* EXCEPT (lineage_timestamp, transformation_rules)",
+        "array_join(transformation_rules, ',') AS transformation_rules",
+    )
 
 
 def _gold_tables(shop: Shop) -> dict[str, DataFrame]:
@@ -145,7 +151,7 @@ def _gold_tables(shop: Shop) -> dict[str, DataFrame]:
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Results of floating-point fits, cut to six decimals for comparison."""
-    return df.withColumns({c: F.floor(F.col(c) * 1e6 + 0.5).cast("double") / 1e6 for c in columns})
+    return replace(df, {c: f"floor({c} * 1e6D + 0.5D) / 1e6D" for c in columns})
 
 
 def _model_forecast(shop: Shop) -> DataFrame:
@@ -178,7 +184,7 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "io01_read_layer": lambda s: tables.read_layer(s.spark, f"{s.directory}/part.parquet"),
     "io09_clustered_orders": lambda s: cluster_table(_comparable(s.silver["orders"]), "silver_orders"),
     "io09_clustered_order_items": lambda s: cluster_table(_comparable(s.silver["order_items"]), "silver_order_items"),
-    "io11_bounded_countries": lambda s: insights.top_countries(s.raw["customers"].withColumn("country", F.trim("country")), 5),
+    "io11_bounded_countries": lambda s: insights.top_countries(s.raw["customers"].selectExpr("trim(country) AS country"), 5),
     "io12_sql_age_groups": lambda s: kpis.customers_per_age_group(s.silver["customers"]),
     # Audit
     "au04_record_totals": lambda s: bronze.record_totals(bronze.row_counts(s.silver)),

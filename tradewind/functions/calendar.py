@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tradewind.functions.sql import array_of, text
 
 # Names as the reports spell them, in calendar order.
 DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
@@ -17,37 +16,42 @@ SEASON_MONTHS = (("Winter", (12, 1, 2)), ("Spring", (3, 4, 5)), ("Summer", (6, 7
 LAST_SEASON = "Fall"
 
 
-def _pick(names: tuple[str, ...], number: Column) -> Column:
+def day(value: date) -> str:
+    """Date literal."""
+    return f"DATE '{value.isoformat()}'"
+
+
+def _pick(names: tuple[str, ...], number: str) -> str:
     """Name at a position counted from 1; the last name for NULL or a position out of range."""
-    return F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), number - 1), F.lit(names[-1]))
+    return f"coalesce(get({array_of(names)}, {number} - 1), {text(names[-1])})"
 
 
-def day_name(day_of_week: Column) -> Column:
+def day_name(day_of_week: str) -> str:
     """Name of a weekday counted from 1 = Sunday."""
     return _pick(DAY_NAMES, day_of_week)
 
 
-def month_name(month: Column) -> Column:
+def month_name(month: str) -> str:
     return _pick(MONTH_NAMES, month)
 
 
-def season(month: Column) -> Column:
-    case = F
-    for name, months in SEASON_MONTHS:
-        case = case.when(month.isin(*months), F.lit(name))
-    return case.otherwise(F.lit(LAST_SEASON))
+def season(month: str) -> str:
+    cases = " ".join(
+        f"WHEN {month} IN ({', '.join(map(str, months))}) THEN {text(name)}" for name, months in SEASON_MONTHS
+    )
+    return f"CASE {cases} ELSE {text(LAST_SEASON)} END"
 
 
-def year_month(year: Column, month: Column) -> Column:
+def year_month(year: str, month: str) -> str:
     """``YYYY-MM``."""
-    return F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
+    return f"concat(CAST({year} AS STRING), '-', lpad(CAST({month} AS STRING), 2, '0'))"
 
 
-def days_until(as_of: date, day: Column) -> Column:
-    """Days from ``day`` to the day the run counts as today."""
-    return F.datediff(F.lit(as_of), day)
+def days_until(as_of: date, column: str) -> str:
+    """Days from a date to the day the run counts as today."""
+    return f"datediff({day(as_of)}, {column})"
 
 
-def distinct_months(month: Column) -> Column:
+def distinct_months(month: str) -> str:
     """Number of different calendar months in a group, from a twelve-bit mask (no distinct shuffle)."""
-    return F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), month)))
+    return f"CAST(bit_count(bit_or(shiftleft(1, {month}))) AS BIGINT)"

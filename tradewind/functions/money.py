@@ -6,34 +6,27 @@ same table can disagree. Money is added up as exact decimals and turned into a d
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+CENTS = "DECIMAL(18,2)"
 
-CENTS = "decimal(18,2)"
 
-
-def as_cents(column: str | Column) -> Column:
-    return (F.col(column) if isinstance(column, str) else column).cast(CENTS)
-
-
-def exact_sum(column: str | Column) -> Column:
+def exact_sum(amount: str) -> str:
     """Decimal sum, for results that are added up once more further on."""
-    return F.sum(as_cents(column))
+    return f"SUM(CAST({amount} AS {CENTS}))"
 
 
-def money_sum(column: str | Column) -> Column:
-    return exact_sum(column).cast("double")
+def money_sum(amount: str) -> str:
+    return f"CAST({exact_sum(amount)} AS DOUBLE)"
 
 
-def money_avg(column: str | Column) -> Column:
+def money_avg(amount: str) -> str:
     """Mean of the non-NULL values; NULL where there is none."""
-    return money_sum(column) / F.nullif(F.count(column), F.lit(0))
+    return f"{money_sum(amount)} / NULLIF(COUNT({amount}), 0)"
 
 
-def ratio(part: Column, whole: Column, default: float | None = 0.0) -> Column:
-    """``part / whole``; ``default`` where ``whole`` is NULL or not above zero."""
-    return F.when(whole > 0, part / whole).otherwise(F.lit(default))
+def ratio(part: str, whole: str) -> str:
+    """``part / whole``; 0 where ``whole`` is NULL or not above zero."""
+    return f"CASE WHEN {whole} > 0 THEN {part} / {whole} ELSE 0.0D END"
 
 
-def percent(part: Column, whole: Column, digits: int = 2) -> Column:
-    return F.round(ratio(part, whole) * 100, digits)
+def percent(part: str, whole: str, digits: int = 2) -> str:
+    return f"ROUND({ratio(part, whole)} * 100, {digits})"

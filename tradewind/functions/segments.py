@@ -5,32 +5,32 @@ All ladders keep SQL's handling of NULL: a NULL input matches no rung and takes
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tradewind.functions.sql import text
 
 Rung = tuple[float, str]
 
 
-def _ladder(rungs: Iterable[Rung], matches: Callable[[float], Column], other: str) -> Column:
-    case = F
-    for edge, label in rungs:
-        case = case.when(matches(edge), F.lit(label))
-    return case.otherwise(F.lit(other))
+def _ladder(value: str, comparison: str, rungs: Iterable[Rung], other: str) -> str:
+    cases = " ".join(f"WHEN {value} {comparison} {_number(edge)} THEN {text(label)}" for edge, label in rungs)
+    return f"CASE {cases} ELSE {text(other)} END"
 
 
-def below(column: Column, rungs: Iterable[Rung], other: str) -> Column:
+def _number(edge: float) -> str:
+    return f"{edge!r}D" if isinstance(edge, float) else str(edge)
+
+
+def below(value: str, rungs: Iterable[Rung], other: str) -> str:
     """First label whose edge lies above the value."""
-    return _ladder(rungs, lambda edge: column < edge, other)
+    return _ladder(value, "<", rungs, other)
 
 
-def up_to(column: Column, rungs: Iterable[Rung], other: str) -> Column:
+def up_to(value: str, rungs: Iterable[Rung], other: str) -> str:
     """First label whose edge is reached or lies above the value."""
-    return _ladder(rungs, lambda edge: column <= edge, other)
+    return _ladder(value, "<=", rungs, other)
 
 
-def at_least(column: Column, rungs: Iterable[Rung], positive: str, other: str) -> Column:
+def at_least(value: str, rungs: Iterable[Rung], positive: str, other: str) -> str:
     """First label whose edge the value reaches, ``positive`` for any smaller value above zero."""
-    reached = _ladder(rungs, lambda edge: column >= edge, positive)
-    return F.when(column > 0, reached).otherwise(F.lit(other))
+    return f"CASE WHEN {value} > 0 THEN {_ladder(value, '>=', rungs, positive)} ELSE {text(other)} END"

@@ -4,33 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 NULL_MARK = "∅"
 
 
-def title(column: str) -> Column:
+def title(column: str) -> str:
     """Trimmed, each word with a capital first letter and lower case after it."""
-    return F.initcap(F.trim(F.col(column)))
+    return f"initcap(trim({column}))"
 
 
-def dimension(parts: Column, position: int) -> Column:
+def dimension(parts: str, position: int) -> str:
     """First run of digits of one part, as a number; NULL where the part or the digits are missing."""
-    return F.regexp_extract(F.get(parts, F.lit(position)), r"(\d+)", 1).try_cast("double")
+    return f"try_cast(regexp_extract(get({parts}, {position}), '([0-9]+)', 1) AS DOUBLE)"
 
 
-def record_hash(columns: Sequence[str]) -> Column:
+def record_hash(columns: Sequence[str]) -> str:
     """32-bit Murmur3 of the joined row. NULLs are skipped, so ('a', NULL) equals (NULL, 'a')."""
-    return F.hash(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
+    return f"hash(concat_ws('|', {', '.join(f'CAST(`{c}` AS STRING)' for c in columns)}))"
 
 
-def record_md5(columns: Sequence[str]) -> Column:
+def record_md5(columns: Sequence[str]) -> str:
     """Row digest in which a NULL keeps its place."""
-    marked = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns]
-    return F.md5(F.concat_ws("|", *marked).cast("binary"))
+    marked = ", ".join(f"coalesce(CAST(`{c}` AS STRING), '{NULL_MARK}')" for c in columns)
+    return f"md5(CAST(concat_ws('|', {marked}) AS BINARY))"
 
 
-def plain_number(number: Column) -> Column:
+def plain_number(number: str) -> str:
     """A number with two decimals as text, without trailing zeros but with one decimal kept."""
-    return F.regexp_replace(number.cast("decimal(38,2)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return f"regexp_replace(CAST(CAST({number} AS DECIMAL(38,2)) AS STRING), '([.][0-9]+?)0+$', '$1')"

@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 _RANK = "__survivor"
 
 
 def first_per_key(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column] = (), ignore_prefix: str = "bronze_"
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (), ignore_prefix: str = "bronze_"
 ) -> DataFrame:
-    """Keep the first row of each key by ``order_by``.
+    """Keep the first row of each key by ``order_by`` (SQL order terms, such as "seq DESC").
 
     Without ``order_by`` the order is a digest of the row and its NULLs, so the survivor does not
     depend on the partitioning; columns with ``ignore_prefix`` (metadata of the run) stay out of it.
     Spark turns the filter on the row number into a per-task limit before the shuffle: a key that
     holds a large share of all rows leaves each map task as one row.
     """
-    order = list(order_by)
+    order = ", ".join(order_by)
     if not order:
-        told = [F.col(c) for c in df.columns if not c.startswith(ignore_prefix)]
-        order = [F.xxhash64(*told, *[c.isNull() for c in told])]
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(_RANK, F.row_number().over(window)).filter(F.col(_RANK) == 1).drop(_RANK)
+        told = [f"`{c}`" for c in df.columns if not c.startswith(ignore_prefix)]
+        order = f"xxhash64({', '.join([*told, *[f'{c} IS NULL' for c in told]])})"
+    place = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})"
+    return df.selectExpr("*", f"{place} AS {_RANK}").filter(f"{_RANK} = 1").drop(_RANK)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SLOT = "__slot"
@@ -39,24 +39,20 @@ def global_rank(df: DataFrame, order_by: Sequence[Column], name: str, partitions
     ranged = (
         df.repartitionByRange(*order_by) if partitions is None else df.repartitionByRange(partitions, *order_by)
     )
-    placed = (
-        ranged.sortWithinPartitions(*order_by)
-        .withColumn(_SLOT, F.monotonically_increasing_id())
-        .withColumn(_PART, F.shiftright(_SLOT, _INDEX_BITS))
-        .checkpoint()
-    )
-    sizes = placed.groupBy(_PART).agg(F.count(F.lit(1)).alias("n"))
+    slot = "monotonically_increasing_id()"
+    placed = ranged.sortWithinPartitions(*order_by).selectExpr("*", f"{slot} AS {_SLOT}").checkpoint()
+    part = f"shiftright({_SLOT}, {_INDEX_BITS})"
+    sizes = placed.groupBy(F.expr(f"{part} AS {_PART}")).agg(F.expr("COUNT(*) AS n"))
     # One row per range: the ordered running sum is over a few thousand rows at most.
-    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_PART, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(_BEFORE))
-    position = F.col(_SLOT) - F.shiftleft(_PART, _INDEX_BITS)
-    return (
-        placed.join(F.broadcast(offsets), _PART)
-        .withColumn(name, F.col(_BEFORE) + position + 1)
-        .drop(_SLOT, _PART, _BEFORE)
+    offsets = sizes.selectExpr(
+        _PART,
+        f"coalesce(SUM(n) OVER (ORDER BY {_PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {_BEFORE}",
     )
+    numbered = placed.selectExpr("*", f"{part} AS {_PART}").join(F.broadcast(offsets), _PART)
+    place = f"{_BEFORE} + {_SLOT} - shiftleft({_PART}, {_INDEX_BITS}) + 1"
+    return numbered.selectExpr("*", f"{place} AS {name}").drop(_SLOT, _PART, _BEFORE)
 
 
-def small_rank(df: DataFrame, order_by: Sequence[Column], name: str) -> DataFrame:
+def small_rank(order_by: str) -> str:
     """Row number over a result whose size does not grow with the data (months, categories)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order_by)))
+    return f"row_number() OVER (ORDER BY {order_by})"

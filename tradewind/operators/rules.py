@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from tradewind.functions.sql import aggregate, long_form, text
 
 log = logging.getLogger(__name__)
 
@@ -22,8 +23,8 @@ class Rule:
     name: str
     predicate: str
 
-    def failures(self) -> Column:
-        return F.count_if(F.expr(f"NOT ({self.predicate})"))
+    def failures(self) -> str:
+        return f"count_if(NOT ({self.predicate}))"
 
 
 @dataclass(frozen=True)
@@ -33,31 +34,34 @@ class UniqueRule:
     name: str
     key: str
 
-    def failures(self) -> Column:
-        distinct = F.countDistinct(self.key) + F.coalesce(F.max(F.col(self.key).isNull().cast("int")), F.lit(0))
-        return F.count(F.lit(1)) - distinct
+    def failures(self) -> str:
+        return f"COUNT(*) - COUNT(DISTINCT {self.key}) - coalesce(MAX(CAST({self.key} IS NULL AS INT)), 0)"
 
 
 AnyRule = Rule | UniqueRule
 
 
-def _is_valid(df: DataFrame, rule: AnyRule) -> bool:
-    """Whether the rule can be analysed against the schema; starts no job."""
+def _counted(df: DataFrame, rules: Sequence[AnyRule]) -> tuple[list[AnyRule], DataFrame]:
+    """Failure counts of the rules that fit the schema; analysis only, no job.
+
+    All rules are tried together first; only when that fails is each looked at alone.
+    """
+
+    def totals(chosen: Sequence[AnyRule]) -> DataFrame:
+        counts = {f"rule_{rules.index(rule)}": rule.failures() for rule in chosen}
+        return aggregate(df, [], counts or {"none": "0"})
+
     try:
-        df.agg(rule.failures().alias("n")).schema
-    except (AnalysisException, ParseException) as error:
-        log.warning("rule %s cannot be checked: %s", rule.name, error)
-        return False
-    return True
-
-
-def _verdict(table: str, name: str, failed: Column) -> Column:
-    return F.struct(
-        F.lit(table).alias("table_name"),
-        F.lit(name).alias("rule_name"),
-        failed.cast("bigint").alias("failed_count"),
-        F.coalesce(failed == 0, F.lit(False)).alias("passed"),
-    )
+        return list(rules), totals(rules)
+    except (AnalysisException, ParseException):
+        valid = []
+        for rule in rules:
+            try:
+                totals([rule])
+                valid.append(rule)
+            except (AnalysisException, ParseException) as error:
+                log.warning("rule %s cannot be checked: %s", rule.name, error)
+        return valid, totals(valid)
 
 
 def check_rules(df: DataFrame, table: str, rules: Sequence[AnyRule]) -> DataFrame:
@@ -66,16 +70,19 @@ def check_rules(df: DataFrame, table: str, rules: Sequence[AnyRule]) -> DataFram
     All rules share one scan and one aggregation. A rule that does not fit the schema is reported
     as failed with " (error)" after its name and no count; it does not spoil the others.
     """
-    valid = [rule for rule in rules if _is_valid(df, rule)]
-    counts = [rule.failures().alias(f"rule_{rules.index(rule)}") for rule in valid]
-    totals = df.agg(*counts) if counts else df.agg(F.lit(0).alias("none"))
-    verdicts = [
-        _verdict(table, rule.name, F.col(f"rule_{place}"))
-        if rule in valid
-        else _verdict(table, f"{rule.name} (error)", F.lit(None).cast("bigint"))
-        for place, rule in enumerate(rules)
-    ]
-    return totals.select(F.inline(F.array(*verdicts)))
+    valid, totals = _counted(df, rules)
+
+    def verdict(place: int, rule: AnyRule) -> dict[str, str]:
+        known = rule in valid
+        failed = f"rule_{place}" if known else "CAST(NULL AS BIGINT)"
+        return {
+            "table_name": text(table),
+            "rule_name": text(rule.name if known else f"{rule.name} (error)"),
+            "failed_count": f"CAST({failed} AS BIGINT)",
+            "passed": f"coalesce({failed} = 0, false)",
+        }
+
+    return long_form(totals, [verdict(place, rule) for place, rule in enumerate(rules)])
 
 
 def check_rules_now(df: DataFrame, table: str, rules: Sequence[AnyRule]) -> DataFrame:
@@ -99,10 +106,14 @@ def check_rules_now(df: DataFrame, table: str, rules: Sequence[AnyRule]) -> Data
 
 def quality_scores(results: DataFrame) -> DataFrame:
     """Share of passed rules per table in percent, one decimal."""
-    return results.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("rules_total"),
-        F.count_if("passed").alias("rules_passed"),
-        F.round(F.count_if("passed") / F.count(F.lit(1)) * 100, 1).alias("quality_score"),
+    return aggregate(
+        results,
+        ["table_name"],
+        {
+            "rules_total": "COUNT(*)",
+            "rules_passed": "count_if(passed)",
+            "quality_score": "round(count_if(passed) / COUNT(*) * 100, 1)",
+        },
     )
 
 
@@ -112,6 +123,6 @@ class QualityError(AssertionError):
 
 def require(results: DataFrame) -> None:
     """Raise if any rule failed; reads the verdicts (a handful of rows), not the data."""
-    failed = results.filter(~F.col("passed")).orderBy("table_name", "rule_name").collect()
+    failed = results.filter("NOT passed").orderBy("table_name", "rule_name").collect()
     if failed:
         raise QualityError("; ".join(f"{r.table_name}.{r.rule_name}: {r.failed_count} rows" for r in failed))

@@ -5,45 +5,46 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from tradewind.functions.sql import aggregate, array_of, text
 from tradewind.functions.text import record_hash, record_md5
 
 # Source label and state of a freshly ingested row.
 SOURCE_SYSTEM = "data_generation"
 RAW_STATE = "raw"
 METADATA_PREFIX = "bronze_"
+NOW = "current_timestamp()"
 
 
-def with_metadata(raw: DataFrame, table: str, ingested_at: Column | None = None) -> DataFrame:
+def with_metadata(raw: DataFrame, table: str, ingested_at: str = NOW) -> DataFrame:
     """Raw columns plus ingestion time, source, row digests and a row id. One projection, no shuffle."""
-    moment = F.current_timestamp() if ingested_at is None else ingested_at.cast("timestamp")
-    return raw.select(
+    return raw.selectExpr(
         "*",
-        moment.alias("bronze_ingestion_timestamp"),
-        moment.cast("date").alias("bronze_ingestion_date"),
-        F.lit(SOURCE_SYSTEM).alias("source_system"),
-        F.lit(table).alias("source_table"),
-        F.lit(RAW_STATE).alias("data_quality_status"),
-        record_hash(raw.columns).alias("record_hash"),
-        record_md5(raw.columns).alias("record_md5"),
-        F.monotonically_increasing_id().alias("bronze_record_id"),
+        f"CAST({ingested_at} AS TIMESTAMP) AS bronze_ingestion_timestamp",
+        f"CAST({ingested_at} AS DATE) AS bronze_ingestion_date",
+        f"{text(SOURCE_SYSTEM)} AS source_system",
+        f"{text(table)} AS source_table",
+        f"{text(RAW_STATE)} AS data_quality_status",
+        f"{record_hash(raw.columns)} AS record_hash",
+        f"{record_md5(raw.columns)} AS record_md5",
+        "monotonically_increasing_id() AS bronze_record_id",
     )
 
 
-def with_source_file(raw: DataFrame, table: str, ingested_at: Column | None = None) -> DataFrame:
+def with_source_file(raw: DataFrame, table: str, ingested_at: str = NOW) -> DataFrame:
     """The short variant: ingestion time and a source label only."""
-    moment = F.current_timestamp() if ingested_at is None else ingested_at.cast("timestamp")
-    return raw.select("*", moment.alias("ingestion_timestamp"), F.lit(table).alias("source_file"))
+    return raw.selectExpr("*", f"CAST({ingested_at} AS TIMESTAMP) AS ingestion_timestamp", f"{text(table)} AS source_file")
 
 
 def null_counts(df: DataFrame, table: str) -> DataFrame:
     """table_name, column_name, null_count for every column that is not bronze metadata; one scan."""
     columns = [c for c in df.columns if not c.startswith(METADATA_PREFIX)]
-    totals = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    long = totals.unpivot([], columns, "column_name", "null_count")
-    return long.select(F.lit(table).alias("table_name"), "column_name", "null_count")
+    totals = aggregate(df, [], {f"`{c}`": f"count_if(`{c}` IS NULL)" for c in columns})
+    pairs = ", ".join(f"{text(c)}, `{c}`" for c in columns)
+    return totals.selectExpr(
+        f"{text(table)} AS table_name", f"stack({len(columns)}, {pairs}) AS (column_name, null_count)"
+    )
 
 
 def duplicate_count(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
@@ -51,49 +52,47 @@ def duplicate_count(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame
 
     Rows are counted per key before the shuffle, so a key with many copies is one row per task.
     """
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    rows = F.coalesce(F.sum("copies"), F.lit(0))
-    return per_key.agg(
-        F.lit(table).alias("table_name"),
-        rows.alias("record_count"),
-        F.count(F.lit(1)).alias("distinct_count"),
-        (rows - F.count(F.lit(1))).alias("duplicate_count"),
+    per_key = aggregate(df, keys, {"copies": "COUNT(*)"})
+    rows = "coalesce(SUM(copies), 0)"
+    return aggregate(
+        per_key,
+        [],
+        {
+            "table_name": text(table),
+            "record_count": rows,
+            "distinct_count": "COUNT(*)",
+            "duplicate_count": f"{rows} - COUNT(*)",
+        },
     )
 
 
 def validation_report(df: DataFrame, table: str, expected: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """One row: counts, expected and actual columns, their differences, duplicates, time of the check."""
     actual = df.columns
-
-    def names(values: Sequence[str]) -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-    return duplicate_count(df, table, keys).select(
+    return duplicate_count(df, table, keys).selectExpr(
         "table_name",
         "record_count",
-        F.lit(len(actual)).alias("column_count"),
-        names(list(expected)).alias("expected_columns"),
-        names(actual).alias("actual_columns"),
-        names([c for c in expected if c not in set(actual)]).alias("missing_columns"),
-        names([c for c in actual if c not in set(expected)]).alias("extra_columns"),
+        f"{len(actual)} AS column_count",
+        f"{array_of(expected)} AS expected_columns",
+        f"{array_of(actual)} AS actual_columns",
+        f"{array_of(c for c in expected if c not in set(actual))} AS missing_columns",
+        f"{array_of(c for c in actual if c not in set(expected))} AS extra_columns",
         "duplicate_count",
-        F.current_timestamp().alias("validation_timestamp"),
+        f"{NOW} AS validation_timestamp",
     )
 
 
 def union_reports(reports: Sequence[DataFrame]) -> DataFrame:
+    """Reports of the same shape one below the other."""
     return reduce(DataFrame.unionByName, reports)
 
 
-def row_counts(frames: Mapping[str, DataFrame], name: str = "record_count") -> DataFrame:
-    """table_name and number of rows of each frame."""
-    return union_reports(
-        [df.agg(F.count(F.lit(1)).alias(name)).select(F.lit(table).alias("table_name"), name) for table, df in frames.items()]
-    )
+def row_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """table_name and record_count of each frame."""
+    counted = [aggregate(df, [], {"table_name": text(t), "record_count": "COUNT(*)"}) for t, df in frames.items()]
+    return union_reports(counted)
 
 
 def record_totals(counts: DataFrame) -> DataFrame:
     """Number of tables and rows over all steps."""
-    return counts.agg(
-        F.count(F.lit(1)).alias("tables"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("total_records")
-    )
+    return aggregate(counts, [], {"tables": "COUNT(*)", "total_records": "coalesce(SUM(record_count), 0)"})

@@ -7,62 +7,66 @@ from collections.abc import Sequence
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from tradewind.functions.sql import add, aggregate
 
 TRAIN_SHARE = 0.8
 
 
 def with_month_number(months: DataFrame) -> DataFrame:
     """month_numeric counts months on one axis: year * 12 + month."""
-    return months.withColumn("month_numeric", F.col("order_year") * 12 + F.col("order_month"))
+    return add(months, {"month_numeric": "order_year * 12 + order_month"})
 
 
 def with_features(numbered: DataFrame, inputs: Sequence[str] = ("month_numeric",)) -> DataFrame:
     return VectorAssembler(inputCols=list(inputs), outputCol="features").transform(numbered)
 
 
-def is_training(numbered: DataFrame, share: float = TRAIN_SHARE) -> Column:
-    """True for the earlier ``share`` of the covered span of months.
+def with_split(numbered: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
+    """is_train is true for the earlier ``share`` of the covered span of months.
 
     Split by time instead of at random: the same rows in every run, and the model is judged on months
-    it has not seen the future of.
+    it has not seen the future of. The span is a window over the months, which do not grow with the data.
     """
-    low = numbered.agg(F.min("month_numeric")).scalar()
-    high = numbered.agg(F.max("month_numeric")).scalar()
-    return F.col("month_numeric") < low + F.ceil((high - low + 1) * share)
-
-
-def with_split(numbered: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
-    return numbered.withColumn("is_train", is_training(numbered, share))
+    low, high = "MIN(month_numeric) OVER ()", "MAX(month_numeric) OVER ()"
+    return add(numbered, {"is_train": f"month_numeric < {low} + ceil(({high} - {low} + 1) * {share}D)"})
 
 
 def fit_line(split: DataFrame, by: Sequence[str] = (), label: str = "total_orders") -> DataFrame:
     """Least-squares slope and intercept on the training rows, one line per group of ``by``."""
-    return split.filter("is_train").groupBy(*by).agg(
-        F.regr_slope(label, "month_numeric").alias("slope"),
-        F.regr_intercept(label, "month_numeric").alias("intercept"),
-        F.regr_count(label, "month_numeric").alias("months"),
+    return aggregate(
+        split.filter("is_train"),
+        by,
+        {
+            "slope": f"regr_slope({label}, month_numeric)",
+            "intercept": f"regr_intercept({label}, month_numeric)",
+            "months": f"regr_count({label}, month_numeric)",
+        },
     )
 
 
 def predict(split: DataFrame, by: Sequence[str] = (), label: str = "total_orders") -> DataFrame:
-    """Test months with prediction and error; the line itself has one row per group."""
-    line = fit_line(split, by, label)
-    test = split.filter(~F.col("is_train"))
+    """Test months with prediction and error; the fitted line has one row per group."""
+    line, test = fit_line(split, by, label), split.filter("NOT is_train")
     if by:
-        joined = test.join(line, list(by))
+        joined = test.join(line.drop("months"), list(by)).selectExpr("*", "struct(slope, intercept) AS line")
+        joined = joined.drop("slope", "intercept")
     else:
-        slope, intercept = line.select("slope").scalar(), line.select("intercept").scalar()
-        joined = test.withColumns({"slope": slope, "intercept": intercept})
-    predicted = joined.withColumn("prediction", F.col("slope") * F.col("month_numeric") + F.col("intercept"))
-    return predicted.withColumn("residual", F.col(label) - F.col("prediction")).drop("slope", "intercept", "months")
+        fitted = line.selectExpr("struct(slope, intercept) AS line").scalar()
+        joined = test.withColumn("line", fitted)
+    predicted = add(
+        joined,
+        {
+            "prediction": "line.slope * month_numeric + line.intercept",
+            "residual": f"{label} - (line.slope * month_numeric + line.intercept)",
+        },
+    )
+    return predicted.drop("line")
 
 
 def rmse(predicted: DataFrame) -> DataFrame:
-    return predicted.agg(
-        F.sqrt(F.avg(F.pow("residual", F.lit(2.0)))).alias("rmse"), F.count("residual").alias("test_months")
-    )
+    return aggregate(predicted, [], {"rmse": "sqrt(avg(pow(residual, 2.0D)))", "test_months": "COUNT(residual)"})
 
 
 def fit_model(split: DataFrame, label: str = "total_orders") -> LinearRegressionModel:
@@ -72,7 +76,7 @@ def fit_model(split: DataFrame, label: str = "total_orders") -> LinearRegression
 
 
 def model_predictions(split: DataFrame, label: str = "total_orders") -> DataFrame:
-    scored = fit_model(split, label).transform(with_features(split.filter(~F.col("is_train"))))
+    scored = fit_model(split, label).transform(with_features(split.filter("NOT is_train")))
     return scored.select("order_year", "order_month", label, "prediction")
 
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.config import Thresholds
 from tradewind.functions import calendar, segments
-from tradewind.functions.money import as_cents, exact_sum, money_avg, money_sum, percent, ratio
+from tradewind.functions.money import exact_sum, money_avg, money_sum, percent, ratio
+from tradewind.functions.sql import add, aggregate, text
 from tradewind.operators.ranking import global_rank, small_rank
 
 # Status counted as a sale, version stamp, and the labels of the segments.
@@ -34,18 +35,26 @@ PRODUCT_COLUMNS = (
 )
 
 
-def with_metadata(df: DataFrame, created_at: Column | None = None, updated: bool = True) -> DataFrame:
-    moment = F.current_timestamp() if created_at is None else created_at.cast("timestamp")
+NOW = "current_timestamp()"
+
+
+def with_metadata(df: DataFrame, created_at: str = NOW, updated: bool = True) -> DataFrame:
     stamps = {
-        "gold_created_timestamp": moment,
-        "gold_created_date": moment.cast("date"),
-        "analytics_version": F.lit(ANALYTICS_VERSION),
+        "gold_created_timestamp": f"CAST({created_at} AS TIMESTAMP)",
+        "gold_created_date": f"CAST({created_at} AS DATE)",
+        "analytics_version": text(ANALYTICS_VERSION),
     }
-    return df.withColumns({**stamps, "last_updated": moment} if updated else stamps)
+    if updated:
+        stamps["last_updated"] = f"CAST({created_at} AS TIMESTAMP)"
+    return add(df, stamps)
+
+
+def _filled(defaults: dict[str, str]) -> list[str]:
+    return [f"coalesce({name}, {value}) AS {name}" for name, value in defaults.items()]
 
 
 def completed(orders: DataFrame) -> DataFrame:
-    return orders.filter(F.col("status") == COMPLETED)
+    return orders.filter(f"status = {text(COMPLETED)}")
 
 
 def sales_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
@@ -55,33 +64,32 @@ def sales_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
     shrinks in the map tasks, and because no later step groups by order alone, the planner stays
     free to split the join partition of an order that holds a large share of the lines.
     """
-    lines = items.groupBy("order_id", "product_id").agg(
-        F.sum("quantity").alias("quantity"),
-        exact_sum("line_total_corrected").alias("revenue"),
-        exact_sum("discount_amount").alias("discount"),
-        exact_sum("unit_price").alias("price_sum"),
-        F.count("unit_price").alias("priced_lines"),
-        F.count(F.lit(1)).alias("lines"),
+    lines = aggregate(
+        items,
+        ["order_id", "product_id"],
+        {
+            "quantity": "SUM(quantity)",
+            "revenue": exact_sum("line_total_corrected"),
+            "discount": exact_sum("discount_amount"),
+            "price_sum": exact_sum("unit_price"),
+            "priced_lines": "COUNT(unit_price)",
+            "lines": "COUNT(*)",
+        },
     )
-    sold = completed(orders).select("order_id", "customer_id", "order_date")
-    return lines.join(sold, "order_id")
+    return lines.join(completed(orders).select("order_id", "customer_id", "order_date"), "order_id")
 
 
-def _line_sums() -> dict[str, Column]:
-    """Totals of sales lines; the decimals stay wide enough to be added up again."""
+def _line_sums(discounts: str, line_count: str) -> dict[str, str]:
+    """Totals of sales lines under the names the reports use."""
     return {
-        "total_quantity_sold": F.sum("quantity"),
-        "total_revenue": F.sum("revenue").cast("double"),
-        "discounts": F.sum("discount").cast("double"),
-        "line_count": F.sum("lines"),
-        "avg_selling_price": F.sum("price_sum").cast("double") / F.nullif(F.sum("priced_lines"), F.lit(0)),
+        "total_quantity_sold": "SUM(quantity)",
+        "total_revenue": "CAST(SUM(revenue) AS DOUBLE)",
+        discounts: "CAST(SUM(discount) AS DOUBLE)",
+        line_count: "SUM(lines)",
+        "avg_selling_price": "CAST(SUM(price_sum) AS DOUBLE) / NULLIF(SUM(priced_lines), 0)",
     }
 
 
-def _named(aggregates: dict[str, Column], **names: str) -> list[Column]:
-    return [column.alias(names.get(name, name)) for name, column in aggregates.items()]
-
-
 # Customers -------------------------------------------------------------------------------------
 
 
@@ -91,16 +99,20 @@ def customer_order_metrics(orders: DataFrame) -> DataFrame:
     Months are counted with a bit mask, which leaves one distinct column (the year) and so a plan
     that reads every order once.
     """
-    return completed(orders).groupBy("customer_id").agg(
-        F.count("order_id").alias("total_orders"),
-        money_sum("order_total").alias("total_spent"),
-        money_avg("order_total").alias("avg_order_value"),
-        F.max("order_date").alias("last_order_date"),
-        F.min("order_date").alias("first_order_date"),
-        money_sum("tax_amount").alias("total_tax_paid"),
-        money_sum("shipping_cost").alias("total_shipping_paid"),
-        F.countDistinct("order_year").alias("active_years"),
-        calendar.distinct_months(F.col("order_month")).cast("bigint").alias("active_months"),
+    return aggregate(
+        completed(orders),
+        ["customer_id"],
+        {
+            "total_orders": "COUNT(order_id)",
+            "total_spent": money_sum("order_total"),
+            "avg_order_value": money_avg("order_total"),
+            "last_order_date": "MAX(order_date)",
+            "first_order_date": "MIN(order_date)",
+            "total_tax_paid": money_sum("tax_amount"),
+            "total_shipping_paid": money_sum("shipping_cost"),
+            "active_years": "COUNT(DISTINCT order_year)",
+            "active_months": calendar.distinct_months("order_month"),
+        },
     )
 
 
@@ -110,19 +122,23 @@ def customer_product_metrics(sales: DataFrame, products: DataFrame) -> DataFrame
     Three shrinking aggregations, (customer, product), (customer, category), customer, replace two distinct
     counts and a ranking. Equal counts go to the first category by name.
     """
-    per_product = sales.groupBy("customer_id", "product_id").agg(
-        F.sum("quantity").alias("items"), F.sum("lines").alias("lines")
+    per_product = aggregate(
+        sales, ["customer_id", "product_id"], {"items": "SUM(quantity)", "lines": "SUM(lines)"}
     )
-    per_category = (
-        per_product.join(products.select("product_id", "category"), "product_id")
-        .groupBy("customer_id", "category")
-        .agg(F.count(F.lit(1)).alias("products"), F.sum("items").alias("items"), F.sum("lines").alias("lines"))
+    per_category = aggregate(
+        per_product.join(products.select("product_id", "category"), "product_id"),
+        ["customer_id", "category"],
+        {"products": "COUNT(*)", "items": "SUM(items)", "lines": "SUM(lines)"},
     )
-    return per_category.groupBy("customer_id").agg(
-        F.sum("products").alias("unique_products_bought"),
-        F.count("category").alias("categories_shopped"),
-        F.sum("items").alias("total_items_bought"),
-        F.min_by("category", F.struct(-F.col("lines"), "category")).alias("favorite_category"),
+    return aggregate(
+        per_category,
+        ["customer_id"],
+        {
+            "unique_products_bought": "SUM(products)",
+            "categories_shopped": "COUNT(category)",
+            "total_items_bought": "SUM(items)",
+            "favorite_category": "min_by(category, struct(-lines, category))",
+        },
     )
 
 
@@ -140,47 +156,55 @@ def customer_analytics(
         .join(customer_order_metrics(orders), "customer_id", "left")
         .join(customer_product_metrics(sales, products), "customer_id", "left")
     )
-    spent, placed, last = F.col("total_spent"), F.col("total_orders"), F.col("last_order_date")
-    idle = calendar.days_until(as_of, last)
-    frequency = tuple(zip(thresholds.frequency, FREQUENCY_LABELS))
-
-    def filled(name: str, value: int | float) -> Column:
-        return F.coalesce(F.col(name), F.lit(value)).alias(name)
-
-    return joined.select(
+    idle = calendar.days_until(as_of, "last_order_date")
+    money = dict.fromkeys(("total_spent", "avg_order_value", "total_tax_paid", "total_shipping_paid"), "0.0D")
+    counts = dict.fromkeys(
+        (
+            "total_orders", "active_years", "active_months",
+            "unique_products_bought", "categories_shopped", "total_items_bought",
+        ),
+        "0",
+    )
+    segment = {
+        "value_segment": segments.at_least(
+            "total_spent", zip(thresholds.value, VALUE_LABELS), "Minimal Value", "No Purchase"
+        ),
+        "recency_segment": "IF(last_order_date IS NULL, 'Never Purchased',"
+        f" {segments.up_to(idle, zip(thresholds.recency, RECENCY_LABELS), 'Churned')})",
+        "frequency_segment": segments.at_least(
+            "total_orders", zip(thresholds.frequency, FREQUENCY_LABELS), "One-time", "No Purchase"
+        ),
+    }
+    return joined.selectExpr(
         *CUSTOMER_COLUMNS,
-        *[filled(c, 0.0) for c in ("total_spent", "avg_order_value", "total_tax_paid", "total_shipping_paid")],
-        *[filled(c, 0) for c in ("total_orders", "active_years", "active_months")],
-        *[filled(c, 0) for c in ("unique_products_bought", "categories_shopped", "total_items_bought")],
+        *_filled(counts),
+        *_filled(money),
         "last_order_date",
         "first_order_date",
         "favorite_category",
-        idle.alias("days_since_last_order"),
-        F.coalesce(F.datediff(last, "first_order_date"), F.lit(0)).alias("customer_lifespan_days"),
-        ratio(spent, placed).alias("calculated_aov"),
-        segments.at_least(spent, zip(thresholds.value, VALUE_LABELS), "Minimal Value", "No Purchase")
-        .alias("value_segment"),
-        F.when(last.isNull(), "Never Purchased")
-        .otherwise(segments.up_to(idle, zip(thresholds.recency, RECENCY_LABELS), "Churned"))
-        .alias("recency_segment"),
-        segments.at_least(placed, frequency, "One-time", "No Purchase").alias("frequency_segment"),
+        f"{idle} AS days_since_last_order",
+        "coalesce(datediff(last_order_date, first_order_date), 0) AS customer_lifespan_days",
+        f"{ratio('total_spent', 'total_orders')} AS calculated_aov",
+        *[f"{sql} AS {name}" for name, sql in segment.items()],
     )
 
 
 def customer_order_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """The short variant: every customer with counts and dates of orders of any status."""
-    per_customer = orders.groupBy("customer_id").agg(
-        F.count("order_id").alias("total_orders"),
-        F.countDistinct("order_id").alias("unique_orders"),
-        F.max("order_date").alias("last_order_date"),
-        F.min("order_date").alias("first_order_date"),
+    per_customer = aggregate(
+        orders,
+        ["customer_id"],
+        {
+            "total_orders": "COUNT(order_id)",
+            "unique_orders": "COUNT(DISTINCT order_id)",
+            "last_order_date": "MAX(order_date)",
+            "first_order_date": "MIN(order_date)",
+        },
     )
     columns = ("customer_id", "full_name", "country", "customer_age_group")
-    return (
-        customers.select(*columns)
-        .join(per_customer, "customer_id", "left")
-        .fillna(0, ["total_orders", "unique_orders"])
-    )
+    joined = customers.select(*columns).join(per_customer, "customer_id", "left")
+    counts = _filled({"total_orders": "0", "unique_orders": "0"})
+    return joined.selectExpr(*columns, *counts, "last_order_date", "first_order_date")
 
 
 # Products --------------------------------------------------------------------------------------
@@ -192,12 +216,16 @@ def product_sales(sales: DataFrame) -> DataFrame:
     A sales line is one (order, product), so orders are counted as rows and the customer is the only
     distinct column.
     """
-    return sales.groupBy("product_id").agg(
-        *_named(_line_sums(), discounts="total_discounts_given", line_count="total_order_appearances"),
-        F.count(F.lit(1)).alias("unique_orders"),
-        F.countDistinct("customer_id").alias("unique_customers"),
-        F.max("order_date").alias("last_sold_date"),
-        F.min("order_date").alias("first_sold_date"),
+    return aggregate(
+        sales,
+        ["product_id"],
+        {
+            **_line_sums("total_discounts_given", "total_order_appearances"),
+            "unique_orders": "COUNT(*)",
+            "unique_customers": "COUNT(DISTINCT customer_id)",
+            "last_sold_date": "MAX(order_date)",
+            "first_sold_date": "MIN(order_date)",
+        },
     )
 
 
@@ -206,27 +234,27 @@ def product_figures(
 ) -> DataFrame:
     """One row per product: attributes, sales, profit, performance and demand; everything but the rank."""
     joined = products.select(*PRODUCT_COLUMNS).join(product_sales(sales), "product_id", "left")
-    sold, revenue, buyers = F.col("total_quantity_sold"), F.col("total_revenue"), F.col("unique_customers")
     counts = ("total_quantity_sold", "total_order_appearances", "unique_orders", "unique_customers")
     amounts = ("total_revenue", "total_discounts_given", "avg_selling_price")
-
-    def filled(name: str, value: int | float) -> Column:
-        return F.coalesce(F.col(name), F.lit(value)).alias(name)
-
-    return joined.select(
+    figures = {
+        "revenue_per_unit": ratio("total_revenue", "total_quantity_sold"),
+        "total_profit": "IF(total_quantity_sold > 0, total_revenue - cost * total_quantity_sold, 0.0D)",
+        "avg_quantity_per_order": ratio("total_quantity_sold", "unique_orders"),
+        "sales_performance": segments.at_least(
+            "total_quantity_sold", zip(thresholds.sales, SALES_LABELS), "Slow Seller", "No Sales"
+        ),
+        "demand_level": segments.at_least(
+            "unique_customers", zip(thresholds.demand, DEMAND_LABELS), "Very Low Demand", "No Demand"
+        ),
+        "days_since_last_sale": calendar.days_until(as_of, "last_sold_date"),
+    }
+    return joined.selectExpr(
         *PRODUCT_COLUMNS,
-        *[filled(c, 0) for c in counts],
-        *[filled(c, 0.0) for c in amounts],
+        *_filled(dict.fromkeys(counts, "0")),
+        *_filled(dict.fromkeys(amounts, "0.0D")),
         "last_sold_date",
         "first_sold_date",
-        ratio(revenue, sold).alias("revenue_per_unit"),
-        F.when(sold > 0, revenue - F.col("cost") * sold).otherwise(F.lit(0.0)).alias("total_profit"),
-        ratio(sold, F.col("unique_orders")).alias("avg_quantity_per_order"),
-        segments.at_least(sold, zip(thresholds.sales, SALES_LABELS), "Slow Seller", "No Sales")
-        .alias("sales_performance"),
-        segments.at_least(buyers, zip(thresholds.demand, DEMAND_LABELS), "Very Low Demand", "No Demand")
-        .alias("demand_level"),
-        calendar.days_until(as_of, F.col("last_sold_date")).alias("days_since_last_sale"),
+        *[f"{sql} AS {name}" for name, sql in figures.items()],
     )
 
 
@@ -243,48 +271,50 @@ def product_analytics(
 
 def monthly_sales(orders: DataFrame) -> DataFrame:
     """Per month: orders, customers, money, first and last order date, rank by revenue."""
-    months = completed(orders).groupBy("order_year", "order_month").agg(
-        F.count("order_id").alias("total_orders"),
-        F.countDistinct("customer_id").alias("unique_customers"),
-        money_sum("order_total").alias("total_revenue"),
-        money_avg("order_total").alias("avg_order_value"),
-        money_sum("tax_amount").alias("total_tax"),
-        money_sum("shipping_cost").alias("total_shipping"),
-        F.min("order_date").alias("month_start_date"),
-        F.max("order_date").alias("month_end_date"),
+    months = aggregate(
+        completed(orders),
+        ["order_year", "order_month"],
+        {
+            "total_orders": "COUNT(order_id)",
+            "unique_customers": "COUNT(DISTINCT customer_id)",
+            "total_revenue": money_sum("order_total"),
+            "avg_order_value": money_avg("order_total"),
+            "total_tax": money_sum("tax_amount"),
+            "total_shipping": money_sum("shipping_cost"),
+            "month_start_date": "MIN(order_date)",
+            "month_end_date": "MAX(order_date)",
+        },
     )
-    ranked = small_rank(months, [F.desc("total_revenue"), F.asc("order_year"), F.asc("order_month")], "revenue_rank")
-    return ranked.withColumns(
+    labelled = add(
+        months,
         {
-            "month_name": calendar.month_name(F.col("order_month")),
-            "year_month": calendar.year_month(F.col("order_year"), F.col("order_month")),
-        }
-    ).orderBy("order_year", "order_month")
+            "revenue_rank": small_rank("total_revenue DESC, order_year, order_month"),
+            "month_name": calendar.month_name("order_month"),
+            "year_month": calendar.year_month("order_year", "order_month"),
+        },
+    )
+    return labelled.orderBy("order_year", "order_month")
 
 
 def monthly_counts(orders: DataFrame) -> DataFrame:
     """The short variant: completed orders and customers per month."""
-    return (
-        completed(orders)
-        .groupBy("order_year", "order_month")
-        .agg(F.count("order_id").alias("total_orders"), F.countDistinct("customer_id").alias("unique_customers"))
-        .orderBy("order_year", "order_month")
-    )
+    counts = {"total_orders": "COUNT(order_id)", "unique_customers": "COUNT(DISTINCT customer_id)"}
+    months = aggregate(completed(orders), ["order_year", "order_month"], counts)
+    return months.orderBy("order_year", "order_month")
 
 
 def daily_sales(orders: DataFrame) -> DataFrame:
-    return (
-        completed(orders)
-        .groupBy("order_date", "order_day_name", "is_weekend")
-        .agg(
-            F.count("order_id").alias("total_orders"),
-            F.countDistinct("customer_id").alias("unique_customers"),
-            money_sum("order_total").alias("total_revenue"),
-            money_avg("order_total").alias("avg_order_value"),
-        )
-        .withColumn("weekday_performance", F.when(F.col("is_weekend"), "Weekend").otherwise("Weekday"))
-        .orderBy("order_date")
+    days = aggregate(
+        completed(orders),
+        ["order_date", "order_day_name", "is_weekend"],
+        {
+            "total_orders": "COUNT(order_id)",
+            "unique_customers": "COUNT(DISTINCT customer_id)",
+            "total_revenue": money_sum("order_total"),
+            "avg_order_value": money_avg("order_total"),
+        },
     )
+    return add(days, {"weekday_performance": "IF(is_weekend, 'Weekend', 'Weekday')"}).orderBy("order_date")
 
 
 def category_sales(sales: DataFrame, products: DataFrame) -> DataFrame:
@@ -293,22 +323,24 @@ def category_sales(sales: DataFrame, products: DataFrame) -> DataFrame:
     Three independent distinct counts: Spark expands the rows and deduplicates by (category, value), so a
     category with most of the rows is still spread over all tasks.
     """
-    totals = (
-        sales.join(products.select("product_id", "category"), "product_id")
-        .groupBy("category")
-        .agg(
-            *_named(_line_sums(), discounts="total_discounts", line_count="total_items"),
-            F.countDistinct("order_id").alias("unique_orders"),
-            F.countDistinct("customer_id").alias("unique_customers"),
-            F.countDistinct("product_id").alias("unique_products"),
-        )
+    totals = aggregate(
+        sales.join(products.select("product_id", "category"), "product_id"),
+        ["category"],
+        {
+            **_line_sums("total_discounts", "total_items"),
+            "unique_orders": "COUNT(DISTINCT order_id)",
+            "unique_customers": "COUNT(DISTINCT customer_id)",
+            "unique_products": "COUNT(DISTINCT product_id)",
+        },
     )
-    best_first = [F.desc("total_revenue"), F.asc("category")]
-    return (
-        small_rank(totals, best_first, "revenue_rank")
-        .withColumn("avg_revenue_per_product", ratio(F.col("total_revenue"), F.col("unique_products")))
-        .orderBy(*best_first)
+    ranked = add(
+        totals,
+        {
+            "revenue_rank": small_rank("total_revenue DESC, category"),
+            "avg_revenue_per_product": ratio("total_revenue", "unique_products"),
+        },
     )
+    return ranked.orderBy("revenue_rank")
 
 
 # Cohorts ---------------------------------------------------------------------------------------
@@ -320,58 +352,59 @@ def customer_days(customers: DataFrame, orders: DataFrame) -> DataFrame:
     The grain bounds what one customer can hold (days, not orders), so the first purchase is a window
     over it and no second pass over the orders is needed.
     """
-    days = completed(orders).groupBy("customer_id", "order_date").agg(
-        exact_sum("order_total").alias("revenue"), F.count("order_id").alias("orders")
+    days = aggregate(
+        completed(orders),
+        ["customer_id", "order_date"],
+        {"revenue": exact_sum("order_total"), "orders": "COUNT(order_id)"},
     )
-    first = F.min("order_date").over(Window.partitionBy("customer_id"))
     known = days.join(customers.select("customer_id"), "customer_id", "left_semi")
-    dated = known.withColumn("first_purchase_date", first)
-    month = calendar.year_month(F.year("first_purchase_date"), F.month("first_purchase_date"))
-    return dated.withColumn("cohort_month", month)
+    return add(
+        known,
+        {"first_purchase_date": "MIN(order_date) OVER (PARTITION BY customer_id)"},
+    ).selectExpr(
+        "*",
+        f"{calendar.year_month('year(first_purchase_date)', 'month(first_purchase_date)')} AS cohort_month",
+    )
 
 
 def cohort_sizes(days: DataFrame) -> DataFrame:
     """Customers per cohort: each has exactly one row for the day of the first purchase."""
-    starters = days.filter(F.col("order_date") == F.col("first_purchase_date"))
-    return starters.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
+    starters = days.filter("order_date = first_purchase_date")
+    return aggregate(starters, ["cohort_month"], {"cohort_size": "COUNT(*)"})
 
 
-def _cohorts(days: DataFrame, age: Column) -> DataFrame:
+def _cohorts(days: DataFrame, age: str) -> DataFrame:
     """Activity per cohort and age; the cohort size is summed from the rows of first purchases."""
-    aged = days.withColumn("months_since_first_purchase", age)
-    is_start = F.col("order_date") == F.col("first_purchase_date")
-    activity = aged.groupBy("cohort_month", "months_since_first_purchase").agg(
-        F.countDistinct("customer_id").alias("active_customers"),
-        F.sum("revenue").cast("double").alias("cohort_revenue"),
-        F.sum("orders").alias("cohort_orders"),
-        F.count_if(is_start).alias("starters"),
+    activity = aggregate(
+        add(days, {"months_since_first_purchase": age}),
+        ["cohort_month", "months_since_first_purchase"],
+        {
+            "active_customers": "COUNT(DISTINCT customer_id)",
+            "cohort_revenue": "CAST(SUM(revenue) AS DOUBLE)",
+            "cohort_orders": "SUM(orders)",
+            "starters": "count_if(order_date = first_purchase_date)",
+        },
     )
     # Bounded window: a cohort has at most one row per day of the calendar.
-    size = F.sum("starters").over(Window.partitionBy("cohort_month"))
-    active, revenue = F.col("active_customers"), F.col("cohort_revenue")
-    return (
-        activity.withColumn("cohort_size", size)
-        .select(
-            "cohort_month",
-            "months_since_first_purchase",
-            "cohort_size",
-            "active_customers",
-            percent(active, F.col("cohort_size")).alias("retention_rate"),
-            "cohort_revenue",
-            F.round(revenue / active, 2).alias("revenue_per_customer"),
-            "cohort_orders",
-        )
-        .orderBy("cohort_month", "months_since_first_purchase")
-    )
+    sized = add(activity, {"cohort_size": "SUM(starters) OVER (PARTITION BY cohort_month)"})
+    return sized.selectExpr(
+        "cohort_month",
+        "months_since_first_purchase",
+        "cohort_size",
+        "active_customers",
+        f"{percent('active_customers', 'cohort_size')} AS retention_rate",
+        "cohort_revenue",
+        "round(cohort_revenue / active_customers, 2) AS revenue_per_customer",
+        "cohort_orders",
+    ).orderBy("cohort_month", "months_since_first_purchase")
 
 
 def cohort_analysis(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Cohorts by fractional months since the first purchase (eight digits, close to one row per day)."""
-    age = F.months_between("order_date", "first_purchase_date")
-    return _cohorts(customer_days(customers, orders), age)
+    return _cohorts(customer_days(customers, orders), "months_between(order_date, first_purchase_date)")
 
 
 def cohort_by_month(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Cohorts by full months since the first purchase: the table a retention matrix needs."""
-    age = F.floor(F.months_between("order_date", "first_purchase_date")).cast("int")
-    return _cohorts(customer_days(customers, orders), age)
+    full_months = "CAST(floor(months_between(order_date, first_purchase_date)) AS INT)"
+    return _cohorts(customer_days(customers, orders), full_months)

@@ -8,20 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.money import as_cents, exact_sum, money_avg, money_sum, percent, ratio
-from tradewind.plans.kpis import HIGH_VALUE, active, best_category
-
-
-def _rows(name: str) -> Column:
-    return F.count(F.lit(1)).alias(name)
+from tradewind.functions.money import exact_sum, money_avg, money_sum, percent, ratio
+from tradewind.functions.sql import aggregate, long_form, text
+from tradewind.plans.kpis import BEST_CATEGORY, COUNT_ACTIVE, COUNT_HIGH_VALUE, COUNT_SOLD
 
 
 def value_counts(df: DataFrame, column: str, name: str = "customer_count") -> DataFrame:
     """Rows per value, most frequent first, equal counts by value; NULL is no value."""
-    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(_rows(name))
+    counted = aggregate(df.filter(f"{column} IS NOT NULL"), [column], {name: "COUNT(*)"})
     return counted.orderBy(F.desc(name), column)
 
 
@@ -30,23 +27,17 @@ def top_countries(customers: DataFrame, n: int = 10) -> DataFrame:
 
 
 def country_summary(customers: DataFrame, n: int = 15) -> DataFrame:
-    """The first countries by name with customers, money spent and mean order value."""
-    return (
-        customers.groupBy("country")
-        .agg(
-            F.count("customer_id").alias("customer_count"),
-            money_sum("total_spent").alias("total_revenue"),
-            _mean("avg_order_value").alias("avg_order_value"),
-        )
-        .orderBy("country")
-        .limit(n)
-    )
+    """The first countries by name with customers, money spent and mean order value.
 
-
-def _mean(column: str) -> Column:
-    """Mean of figures that are not whole cents, from exact sums of eight decimals."""
-    total = F.sum(F.col(column).cast("decimal(28,8)")).cast("double")
-    return total / F.nullif(F.count(column), F.lit(0))
+    The order value is no whole number of cents; its mean comes from exact sums of eight decimals.
+    """
+    mean = "CAST(SUM(CAST(avg_order_value AS DECIMAL(28,8))) AS DOUBLE) / NULLIF(COUNT(avg_order_value), 0)"
+    countries = aggregate(
+        customers,
+        ["country"],
+        {"customer_count": "COUNT(customer_id)", "total_revenue": money_sum("total_spent"), "avg_order_value": mean},
+    )
+    return countries.orderBy("country").limit(n)
 
 
 def spending_points(customers: DataFrame) -> DataFrame:
@@ -55,7 +46,7 @@ def spending_points(customers: DataFrame) -> DataFrame:
 
 
 def revenue_by_category(products: DataFrame) -> DataFrame:
-    totals = products.groupBy("category").agg(money_sum("total_revenue").alias("total_revenue"))
+    totals = aggregate(products, ["category"], {"total_revenue": money_sum("total_revenue")})
     return totals.orderBy("total_revenue", "category")
 
 
@@ -70,16 +61,17 @@ def best_sellers(products: DataFrame, n: int = 10) -> DataFrame:
 
 
 def category_stats(products: DataFrame) -> DataFrame:
-    return (
-        products.groupBy("category")
-        .agg(
-            money_sum("total_revenue").alias("total_revenue"),
-            F.sum("total_quantity_sold").alias("total_quantity"),
-            F.count("product_id").alias("product_count"),
-            money_avg("profit_margin_pct").alias("avg_profit_margin"),
-        )
-        .orderBy("category")
+    stats = aggregate(
+        products,
+        ["category"],
+        {
+            "total_revenue": money_sum("total_revenue"),
+            "total_quantity": "SUM(total_quantity_sold)",
+            "product_count": "COUNT(product_id)",
+            "avg_profit_margin": money_avg("profit_margin_pct"),
+        },
     )
+    return stats.orderBy("category")
 
 
 def monthly_trend(months: DataFrame) -> DataFrame:
@@ -88,21 +80,21 @@ def monthly_trend(months: DataFrame) -> DataFrame:
 
 
 def daily_revenue(days: DataFrame) -> DataFrame:
-    return days.select(F.to_date("order_date").alias("order_date"), "total_revenue").orderBy("order_date")
+    return days.selectExpr("to_date(order_date) AS order_date", "total_revenue").orderBy("order_date")
 
 
 def weekday_performance(days: DataFrame) -> DataFrame:
     """Mean revenue, orders and customers of a day, weekdays against weekends."""
-    rows = F.count(F.lit(1))
-    return (
-        days.groupBy("weekday_performance")
-        .agg(
-            money_avg("total_revenue").alias("avg_revenue"),
-            (F.sum("total_orders") / rows).alias("avg_orders"),
-            (F.sum("unique_customers") / rows).alias("avg_customers"),
-        )
-        .orderBy("weekday_performance")
+    means = aggregate(
+        days,
+        ["weekday_performance"],
+        {
+            "avg_revenue": money_avg("total_revenue"),
+            "avg_orders": "SUM(total_orders) / COUNT(*)",
+            "avg_customers": "SUM(unique_customers) / COUNT(*)",
+        },
     )
+    return means.orderBy("weekday_performance")
 
 
 def last_cohort_month(cohorts: DataFrame) -> int:
@@ -117,88 +109,94 @@ def retention_matrix(cohorts: DataFrame, months: Sequence[int] | None = None) ->
     """
     ages = list(range(last_cohort_month(cohorts) + 1)) if months is None else list(months)
     wide = cohorts.groupBy("cohort_month").pivot("months_since_first_purchase", ages).agg(F.first("retention_rate"))
-    named = wide.select("cohort_month", *[F.col(f"`{age}`").alias(f"month_{age}") for age in ages])
-    return named.orderBy("cohort_month")
+    return wide.selectExpr("cohort_month", *[f"`{age}` AS month_{age}" for age in ages]).orderBy("cohort_month")
 
 
 def cohort_sizes_at_start(cohorts: DataFrame) -> DataFrame:
-    started = cohorts.filter(F.col("months_since_first_purchase") == 0)
+    started = cohorts.filter("months_since_first_purchase = 0")
     return started.select("cohort_month", "cohort_size").orderBy("cohort_month")
 
 
 def executive_metrics(customers: DataFrame, products: DataFrame, months: DataFrame) -> DataFrame:
     """metric, value: counts, shares and money of the business; empty tables give 0."""
-    rows = F.count(F.lit(1))
-    of_customers = customers.agg(
-        rows.alias("total_customers"),
-        F.count_if(active()).alias("active_customers"),
-        percent(F.count_if(active()), rows, 1).alias("active_pct"),
-        F.count_if(F.col("value_segment") == HIGH_VALUE).alias("high_value_customers"),
-        percent(F.count_if(F.col("value_segment") == HIGH_VALUE), rows, 1).alias("high_value_pct"),
+    revenue = f"CAST({exact_sum('total_revenue')} AS DOUBLE)"
+
+    def long(df: DataFrame, metrics: dict[str, str]) -> DataFrame:
+        totals = aggregate(df, [], metrics)
+        return long_form(totals, [{"metric": text(m), "value": f"CAST({m} AS DOUBLE)"} for m in metrics])
+
+    of_customers = long(
+        customers,
+        {
+            "total_customers": "COUNT(*)",
+            "active_customers": COUNT_ACTIVE,
+            "active_pct": percent(COUNT_ACTIVE, "COUNT(*)", 1),
+            "high_value_customers": COUNT_HIGH_VALUE,
+            "high_value_pct": percent(COUNT_HIGH_VALUE, "COUNT(*)", 1),
+        },
     )
-    sold = F.count_if(F.col("total_quantity_sold") > 0)
-    of_products = products.agg(
-        rows.alias("total_products"),
-        sold.alias("products_with_sales"),
-        percent(sold, rows, 1).alias("products_with_sales_pct"),
+    of_products = long(
+        products,
+        {
+            "total_products": "COUNT(*)",
+            "products_with_sales": COUNT_SOLD,
+            "products_with_sales_pct": percent(COUNT_SOLD, "COUNT(*)", 1),
+        },
     )
-    revenue, orders = exact_sum("total_revenue").cast("double"), F.sum("total_orders")
-    of_months = months.agg(
-        F.coalesce(revenue, F.lit(0.0)).alias("total_revenue"),
-        F.coalesce(orders, F.lit(0)).alias("total_orders"),
-        F.round(ratio(revenue, orders), 2).alias("avg_order_value"),
+    of_months = long(
+        months,
+        {
+            "total_revenue": f"coalesce({revenue}, 0.0D)",
+            "total_orders": "coalesce(SUM(total_orders), 0)",
+            "avg_order_value": f"round({ratio(revenue, 'SUM(total_orders)')}, 2)",
+        },
     )
-
-    def long(totals: DataFrame) -> DataFrame:
-        as_double = totals.select(*[F.col(c).cast("double").alias(c) for c in totals.columns])
-        return as_double.unpivot([], as_double.columns, "metric", "value")
-
-    return long(of_customers).unionByName(long(of_products)).unionByName(long(of_months))
+    return of_customers.unionByName(of_products).unionByName(of_months)
 
 
 def top_category(categories: DataFrame) -> DataFrame:
-    best = categories.agg(best_category().alias("category"), F.max("total_revenue").alias("total_revenue"))
-    return best.filter(F.col("total_revenue").isNotNull())
+    best = aggregate(categories, [], {"category": BEST_CATEGORY, "total_revenue": "MAX(total_revenue)"})
+    return best.filter("total_revenue IS NOT NULL")
 
 
 def order_value_histogram(customers: DataFrame, bins: int = 20, column: str = "avg_order_value") -> DataFrame:
     """Customers per equal-width bin between the smallest and the largest value; empty bins are left out.
 
-    The two borders come from a scalar subquery, not from a job of their own.
+    The two borders come from one scalar subquery, not from a job of their own.
     """
-    low = customers.agg(F.min(column)).scalar()
-    high = customers.agg(F.max(column)).scalar()
-    values = customers.filter(F.col(column).isNotNull()).select(
-        F.col(column).alias("v"), low.alias("low"), high.alias("high")
-    )
-    width = F.col("high") - F.col("low")
-    place = F.floor(bins * (F.col("v") - F.col("low")) / F.nullif(width, F.lit(0.0))) + 1
-    binned = values.withColumn("bin", F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("int"))
-    counted = binned.groupBy("bin", "low", "high").agg(_rows("customer_count"))
-    return counted.select(
+    borders = customers.selectExpr(f"struct(MIN({column}) AS low, MAX({column}) AS high) AS borders").scalar()
+    values = customers.filter(f"{column} IS NOT NULL").select(F.col(column).alias("v"), borders.alias("b"))
+    place = f"floor({bins} * (v - b.low) / NULLIF(b.high - b.low, 0.0D)) + 1"
+    binned = values.selectExpr(f"CAST(least(coalesce({place}, 1), {bins}) AS INT) AS bin", "b.low", "b.high")
+    counted = aggregate(binned, ["bin", "low", "high"], {"customer_count": "COUNT(*)"})
+    return counted.selectExpr(
         "bin",
-        (F.col("low") + (F.col("bin") - 1) * width / bins).alias("bin_start"),
-        (F.col("low") + F.col("bin") * width / bins).alias("bin_end"),
+        f"low + (bin - 1) * (high - low) / {bins} AS bin_start",
+        f"low + bin * (high - low) / {bins} AS bin_end",
         "customer_count",
     ).orderBy("bin")
 
 
 def top_age_group(customers: DataFrame) -> DataFrame:
-    spending = customers.groupBy("customer_age_group").agg(money_avg("total_spent").alias("avg_spent"))
+    spending = aggregate(customers, ["customer_age_group"], {"avg_spent": money_avg("total_spent")})
     return spending.orderBy(F.desc("avg_spent"), "customer_age_group").limit(1)
 
 
 def churn_rate(customers: DataFrame) -> DataFrame:
-    churned, rows = F.count_if(F.col("recency_segment") == "Churned"), F.count(F.lit(1))
-    return customers.agg(
-        churned.alias("churned_customers"),
-        rows.alias("total_customers"),
-        (ratio(churned, rows) * 100).alias("churn_rate"),
+    churned = "count_if(recency_segment = 'Churned')"
+    return aggregate(
+        customers,
+        [],
+        {
+            "churned_customers": churned,
+            "total_customers": "COUNT(*)",
+            "churn_rate": f"{ratio(churned, 'COUNT(*)')} * 100",
+        },
     )
 
 
 def revenue_by_country(customers: DataFrame) -> DataFrame:
-    totals = customers.groupBy("country").agg(money_sum("total_spent").alias("total_revenue"))
+    totals = aggregate(customers, ["country"], {"total_revenue": money_sum("total_spent")})
     return totals.orderBy(F.desc("total_revenue"), "country")
 
 
@@ -208,29 +206,28 @@ def top_revenue_country(customers: DataFrame) -> DataFrame:
 
 def raw_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """metric, number, day: money and completion of raw orders, and the date ranges that arrived."""
-    done = F.col("status") == "completed"
-    cents = F.when(done, as_cents("order_total"))
-    of_orders = orders.agg(
-        F.sum(cents).cast("double").alias("total_revenue"),
-        (F.sum(cents).cast("double") / F.nullif(F.count(cents), F.lit(0))).alias("avg_order_value"),
-        (ratio(F.count_if(done), F.count(F.lit(1))) * 100).alias("completion_rate"),
-        F.min("order_date").alias("first_order"),
-        F.max("order_date").alias("last_order"),
+    done, finished = "IF(status = 'completed', order_total, NULL)", "count_if(status = 'completed')"
+    of_orders = aggregate(
+        orders,
+        [],
+        {
+            "total_revenue": money_sum(done),
+            "avg_order_value": money_avg(done),
+            "completion_rate": f"{ratio(finished, 'COUNT(*)')} * 100",
+            "first_order": "MIN(order_date)",
+            "last_order": "MAX(order_date)",
+        },
     )
-    of_customers = customers.agg(
-        F.min("registration_date").alias("first_registration"), F.max("registration_date").alias("last_registration")
+    of_customers = aggregate(
+        customers,
+        [],
+        {"first_registration": "MIN(registration_date)", "last_registration": "MAX(registration_date)"},
     )
 
-    def row(name: str, number: Column | None = None, day: Column | None = None) -> Column:
-        return F.struct(
-            F.lit(name).alias("metric"),
-            (F.lit(None) if number is None else number).cast("double").alias("number"),
-            (F.lit(None) if day is None else day).cast("date").alias("day"),
-        )
-
-    numbers = ("total_revenue", "avg_order_value", "completion_rate")
-    order_rows = [row(n, number=F.col(n)) for n in numbers] + [row(n, day=F.col(n)) for n in ("first_order", "last_order")]
-    customer_rows = [row(n, day=F.col(n)) for n in ("first_registration", "last_registration")]
-    return of_orders.select(F.inline(F.array(*order_rows))).unionByName(
-        of_customers.select(F.inline(F.array(*customer_rows)))
-    )
+    def row(metric: str, number: str = "NULL", day: str = "NULL") -> dict[str, str]:
+        return {"metric": text(metric), "number": f"CAST({number} AS DOUBLE)", "day": f"CAST({day} AS DATE)"}
+
+    numbers = [row(m, number=m) for m in ("total_revenue", "avg_order_value", "completion_rate")]
+    days = [row(m, day=m) for m in ("first_order", "last_order")]
+    registrations = [row(m, day=m) for m in ("first_registration", "last_registration")]
+    return long_form(of_orders, numbers + days).unionByName(long_form(of_customers, registrations))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.money import exact_sum, percent
+from tradewind.functions.money import exact_sum, percent, ratio
+from tradewind.functions.sql import aggregate, long_form, text
 from tradewind.functions.text import plain_number
 from tradewind.plans.bronze import union_reports
 
@@ -14,30 +15,23 @@ ACTIVE_SEGMENTS = ("Recent", "Active")
 HIGH_VALUE = "High Value"
 NO_CATEGORY = "N/A"
 
+COUNT_ACTIVE = f"count_if(recency_segment IN {ACTIVE_SEGMENTS})"
+COUNT_HIGH_VALUE = f"count_if(value_segment = {text(HIGH_VALUE)})"
+COUNT_SOLD = "count_if(total_quantity_sold > 0)"
+# Equal revenue goes to the first name.
+BEST_CATEGORY = "min_by(category, struct(-total_revenue, category))"
 
-def active(segment: str = "recency_segment") -> Column:
-    return F.col(segment).isin(*ACTIVE_SEGMENTS)
 
-
-def best_category(by: str = "total_revenue") -> Column:
-    """Category with the highest figure in a group; equal figures go to the first name."""
-    return F.min_by("category", F.struct(-F.col(by), "category"))
-
-
-def _metric(name: str, number: Column, kind: str, group: str, text: Column | None = None) -> Column:
-    if text is None:
-        text = number.cast("bigint").cast("string") if kind == "count" else plain_number(number)
-    return F.struct(
-        F.lit(name).alias("metric_name"),
-        text.alias("metric_value"),
-        F.lit(kind).alias("metric_type"),
-        F.lit(group).alias("category"),
-        number.cast("double").alias("metric_number"),
-    )
-
-
-def _long(totals: DataFrame, *metrics: Column) -> DataFrame:
-    return totals.select(F.inline(F.array(*metrics)))
+def _metric(name: str, number: str, kind: str, group: str, shown: str | None = None) -> dict[str, str]:
+    if shown is None:
+        shown = f"CAST(CAST({number} AS BIGINT) AS STRING)" if kind == "count" else plain_number(number)
+    return {
+        "metric_name": text(name),
+        "metric_value": shown,
+        "metric_type": text(kind),
+        "category": text(group),
+        "metric_number": f"CAST({number} AS DOUBLE)",
+    }
 
 
 def business_kpis(
@@ -47,51 +41,58 @@ def business_kpis(
 
     One aggregation per gold table, each turned to long form on its own, so nothing is crossed.
     """
-    rows = F.count(F.lit(1))
-    of_customers = customers.agg(
-        rows.alias("total"),
-        F.count_if(active()).alias("active"),
-        F.count_if(F.col("value_segment") == HIGH_VALUE).alias("high_value"),
+    of_customers = aggregate(
+        customers, [], {"total": "COUNT(*)", "active": COUNT_ACTIVE, "high_value": COUNT_HIGH_VALUE}
     )
-    of_products = products.agg(rows.alias("total"), F.count_if(F.col("total_quantity_sold") > 0).alias("sold"))
-    of_months = months.agg(
-        F.coalesce(exact_sum("total_revenue").cast("double"), F.lit(0.0)).alias("revenue"),
-        F.coalesce(F.sum("total_orders"), F.lit(0)).alias("orders"),
+    of_products = aggregate(products, [], {"total": "COUNT(*)", "sold": COUNT_SOLD})
+    of_months = aggregate(
+        months,
+        [],
+        {
+            "revenue": f"coalesce(CAST({exact_sum('total_revenue')} AS DOUBLE), 0.0D)",
+            "orders": "coalesce(SUM(total_orders), 0)",
+        },
     )
-    of_categories = categories.agg(F.coalesce(best_category(), F.lit(NO_CATEGORY)).alias("best"))
-    total = F.col("total")
-    average = F.round(F.when(F.col("orders") > 0, F.col("revenue") / F.col("orders")).otherwise(0.0), 2)
+    of_categories = aggregate(categories, [], {"best": f"coalesce({BEST_CATEGORY}, {text(NO_CATEGORY)})"})
+    average = f"round({ratio('revenue', 'orders')}, 2)"
     return union_reports(
         [
-            _long(
+            long_form(
                 of_customers,
-                _metric("Total Customers", total, "count", "Customer"),
-                _metric("Active Customers", F.col("active"), "count", "Customer"),
-                _metric("Customer Activation Rate", percent(F.col("active"), total), "percentage", "Customer"),
-                _metric("High Value Customers", F.col("high_value"), "count", "Customer"),
+                [
+                    _metric("Total Customers", "total", "count", "Customer"),
+                    _metric("Active Customers", "active", "count", "Customer"),
+                    _metric("Customer Activation Rate", percent("active", "total"), "percentage", "Customer"),
+                    _metric("High Value Customers", "high_value", "count", "Customer"),
+                ],
             ),
-            _long(
+            long_form(
                 of_months,
-                _metric("Total Revenue", F.round("revenue", 2), "currency", "Revenue"),
-                _metric("Total Orders", F.col("orders"), "count", "Orders"),
-                _metric("Average Order Value", average, "currency", "Orders"),
+                [
+                    _metric("Total Revenue", "round(revenue, 2)", "currency", "Revenue"),
+                    _metric("Total Orders", "orders", "count", "Orders"),
+                    _metric("Average Order Value", average, "currency", "Orders"),
+                ],
             ),
-            _long(
+            long_form(
                 of_products,
-                _metric("Total Products", total, "count", "Product"),
-                _metric("Products with Sales", F.col("sold"), "count", "Product"),
-                _metric("Product Sales Rate", percent(F.col("sold"), total), "percentage", "Product"),
+                [
+                    _metric("Total Products", "total", "count", "Product"),
+                    _metric("Products with Sales", "sold", "count", "Product"),
+                    _metric("Product Sales Rate", percent("sold", "total"), "percentage", "Product"),
+                ],
             ),
-            _long(of_categories, _metric("Top Category", F.lit(None), "text", "Product", F.col("best"))),
+            long_form(of_categories, [_metric("Top Category", "NULL", "text", "Product", "best")]),
         ]
     )
 
 
-def stamped_kpis(kpis: DataFrame, created_at: Column | None = None) -> DataFrame:
+def stamped_kpis(kpis: DataFrame, created_at: str = "current_timestamp()") -> DataFrame:
     """The stored form: metric values as text with date and time of the calculation."""
-    moment = F.current_timestamp() if created_at is None else created_at.cast("timestamp")
-    return kpis.drop("metric_number").select(
-        "*", moment.cast("date").alias("kpi_date"), moment.alias("kpi_timestamp")
+    return kpis.selectExpr(
+        "* EXCEPT (metric_number)",
+        f"CAST({created_at} AS DATE) AS kpi_date",
+        f"CAST({created_at} AS TIMESTAMP) AS kpi_timestamp",
     )
 
 

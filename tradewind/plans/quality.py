@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tradewind.config import TABLES
-from tradewind.functions.money import exact_sum
+from tradewind.functions.money import money_sum
+from tradewind.functions.sql import aggregate, array_of, text
 from tradewind.operators.rules import AnyRule, Rule, UniqueRule, check_rules
 from tradewind.plans.bronze import row_counts, union_reports
 
@@ -67,9 +67,9 @@ def silver_rule_results(silver: Mapping[str, DataFrame]) -> DataFrame:
     return union_reports([check_rules(df, table, SILVER_RULES[table]) for table, df in silver.items()])
 
 
-def _one_check(name: str, totals: DataFrame, count: Column) -> DataFrame:
-    failed = F.coalesce(count, F.lit(0)).cast("bigint")
-    return totals.agg(F.lit(name).alias("check_name"), failed.alias("failed_count"), (failed == 0).alias("passed"))
+def _one_check(name: str, totals: DataFrame, count: str) -> DataFrame:
+    failed = f"CAST(coalesce({count}, 0) AS BIGINT)"
+    return aggregate(totals, [], {"check_name": text(name), "failed_count": failed, "passed": f"{failed} = 0"})
 
 
 def orphans(name: str, child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -78,8 +78,8 @@ def orphans(name: str, child: DataFrame, parent: DataFrame, key: str) -> DataFra
     Child rows are counted per key first: what is shuffled and matched is one row per key, however
     many rows a single key holds.
     """
-    per_key = child.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return _one_check(name, per_key.join(parent.select(key), key, "left_anti"), F.sum("rows"))
+    per_key = aggregate(child, [key], {"held": "COUNT(*)"})
+    return _one_check(name, per_key.join(parent.select(key), key, "left_anti"), "SUM(held)")
 
 
 def orders_without_customer(orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -96,10 +96,11 @@ def items_without_product(items: DataFrame, products: DataFrame) -> DataFrame:
 
 def order_total_mismatches(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Orders whose total differs from the sum of their lines; orders without lines are not judged."""
-    lines = items.groupBy("order_id").agg(exact_sum("line_total_corrected").cast("double").alias("line_sum"))
+    lines = aggregate(items, ["order_id"], {"line_sum": money_sum("line_total_corrected")})
     compared = orders.select("order_id", "order_total").join(lines, "order_id")
-    off = F.abs(F.col("order_total") - F.col("line_sum")) > TOTAL_TOLERANCE
-    return _one_check("order_total_mismatches", compared, F.count_if(off))
+    return _one_check(
+        "order_total_mismatches", compared, f"count_if(abs(order_total - line_sum) > {TOTAL_TOLERANCE}D)"
+    )
 
 
 def cross_table_checks(silver: Mapping[str, DataFrame]) -> DataFrame:
@@ -116,20 +117,22 @@ def cross_table_checks(silver: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def checks_passed(checks: DataFrame) -> DataFrame:
-    return checks.agg(F.count_if("passed").alias("checks_passed"), F.count(F.lit(1)).alias("checks_total"))
+    return aggregate(checks, [], {"checks_passed": "count_if(passed)", "checks_total": "COUNT(*)"})
 
 
 def null_assessment(df: DataFrame, table: str) -> DataFrame:
     """table_name, total_records, null_issues, quality_score, status from the key figures; one scan."""
-    present = [c for c in GOLD_KEY_COLUMNS[table] if c in df.columns]
-    nulls = sum((F.count_if(F.col(c).isNull()) for c in present), F.lit(0))
-    totals = df.agg(F.count(F.lit(1)).alias("total_records"), nulls.cast("bigint").alias("null_issues"))
-    rows, issues = F.col("total_records"), F.col("null_issues")
+    nulls = " + ".join(f"count_if({c} IS NULL)" for c in GOLD_KEY_COLUMNS[table] if c in df.columns)
+    totals = aggregate(df, [], {"total_records": "COUNT(*)", "null_issues": nulls or "CAST(0 AS BIGINT)"})
     # Graded on the full score; only the reported score is rounded.
-    score = F.when(rows > 0, F.greatest(F.lit(0.0), F.lit(100.0) - issues / rows * 100)).otherwise(F.lit(0.0))
-    grade = F.when(score >= PASS_SCORE, "PASS").when(score >= WARNING_SCORE, "WARNING").otherwise("FAIL")
-    return totals.select(
-        F.lit(table).alias("table_name"), rows, issues, F.round(score, 1).alias("quality_score"), grade.alias("status")
+    score = "IF(total_records > 0, greatest(0.0D, 100.0D - null_issues / total_records * 100), 0.0D)"
+    return totals.selectExpr(
+        f"{text(table)} AS table_name",
+        "total_records",
+        "null_issues",
+        f"round({score}, 1) AS quality_score",
+        f"CASE WHEN {score} >= {PASS_SCORE} THEN 'PASS' WHEN {score} >= {WARNING_SCORE} THEN 'WARNING' ELSE 'FAIL' END"
+        " AS status",
     )
 
 
@@ -139,21 +142,20 @@ def gold_assessment(gold: Mapping[str, DataFrame]) -> DataFrame:
 
 def _repeated_values(name: str, df: DataFrame, key: str) -> DataFrame:
     """Rows beyond the first of each value."""
-    copies = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return _one_check(name, copies, F.sum(F.col("n") - 1))
+    return _one_check(name, aggregate(df, [key], {"n": "COUNT(*)"}), "SUM(n - 1)")
 
 
 def raw_checks(raw: Mapping[str, DataFrame]) -> DataFrame:
     """check_name, failed_count, passed for the tables as they arrived."""
     customers, products = raw["customers"], raw["products"]
-    empty_cells = sum((F.count_if(F.col(c).isNull()) for c in customers.columns), F.lit(0))
+    empty_cells = " + ".join(f"count_if(`{c}` IS NULL)" for c in customers.columns)
     return union_reports(
         [
             _repeated_values("duplicate_customer_ids", customers, "customer_id"),
             _repeated_values("duplicate_customer_emails", customers, "email"),
             _one_check("null_customer_values", customers, empty_cells),
             _repeated_values("duplicate_product_ids", products, "product_id"),
-            _one_check("price_not_above_cost", products, F.count_if(F.col("price") <= F.col("cost"))),
+            _one_check("price_not_above_cost", products, "count_if(price <= cost)"),
             _repeated_values("duplicate_order_ids", raw["orders"], "order_id"),
             _repeated_values("duplicate_order_item_ids", raw["order_items"], "order_item_id"),
         ]
@@ -165,25 +167,20 @@ def lineage_from_counts(bronze: DataFrame, silver: DataFrame, scores: DataFrame)
 
     All three inputs have one row per table; a table without bronze rows counts as 0.
     """
-    before, after = F.col("bronze_records"), F.col("silver_records")
-    change = after - before
-    rate = F.when(before > 0, change / before * 100).otherwise(F.lit(0.0))
     joined = (
-        silver.select("table_name", F.col("record_count").alias("silver_records"))
-        .join(bronze.select("table_name", F.col("record_count").alias("bronze_records")), "table_name", "left")
-        .join(scores.select("table_name", "quality_score"), "table_name", "left")
-        .fillna(0, ["bronze_records"])
-        .fillna(0.0, ["quality_score"])
+        silver.selectExpr("table_name", "record_count AS silver_records")
+        .join(bronze.selectExpr("table_name", "record_count AS before"), "table_name", "left")
+        .join(scores.selectExpr("table_name", "quality_score AS score"), "table_name", "left")
     )
-    return joined.select(
+    return joined.selectExpr(
         "table_name",
-        before,
-        after,
-        change.alias("record_change"),
-        F.round(rate, 2).alias("change_percentage"),
-        F.array(*[F.lit(rule) for rule in LINEAGE_RULES]).alias("transformation_rules"),
-        "quality_score",
-        F.current_timestamp().alias("lineage_timestamp"),
+        "coalesce(before, 0) AS bronze_records",
+        "silver_records",
+        "silver_records - bronze_records AS record_change",
+        "IF(bronze_records > 0, round(record_change / bronze_records * 100, 2), 0.0D) AS change_percentage",
+        f"{array_of(LINEAGE_RULES)} AS transformation_rules",
+        "coalesce(score, 0.0D) AS quality_score",
+        "current_timestamp() AS lineage_timestamp",
     )
 
 
@@ -193,8 +190,3 @@ def lineage(bronze: Mapping[str, DataFrame], silver: Mapping[str, DataFrame], sc
     return lineage_from_counts(
         row_counts({t: bronze[t] for t in tables if t in bronze}), row_counts({t: silver[t] for t in tables}), scores
     )
-
-
-def tables_expected(frames: Mapping[str, DataFrame], names: Sequence[str]) -> dict[str, DataFrame]:
-    """The named frames in the order given, leaving out those that are missing."""
-    return {name: frames[name] for name in names if name in frames}

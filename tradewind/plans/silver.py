@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tradewind.config import Thresholds
-from tradewind.functions import calendar, segments, text
+from tradewind.functions import calendar, segments
+from tradewind.functions.sql import add, array_of, replace, text
+from tradewind.functions.text import dimension, title
 from tradewind.operators.dedup import first_per_key
 
 # Statuses, labels and edges of the cleaned tables, and their declared scores and rules.
@@ -42,78 +43,71 @@ CLEANING_RULES = {
 
 # Ingestion digest: stays in bronze, so that it does not widen the deduplication shuffle.
 BRONZE_ONLY = ("record_md5",)
+NOW = "current_timestamp()"
 
 
 def _one_per_key(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     return first_per_key(df.drop(*BRONZE_ONLY), [key], order_by)
 
 
-def _with_metadata(df: DataFrame, table: str, processed_at: Column | None) -> DataFrame:
-    moment = F.current_timestamp() if processed_at is None else processed_at.cast("timestamp")
-    return df.withColumns(
+def _with_metadata(df: DataFrame, table: str, processed_at: str) -> DataFrame:
+    return add(
+        df,
         {
-            "silver_processed_timestamp": moment,
-            "silver_processed_date": moment.cast("date"),
-            "data_quality_score": F.lit(QUALITY_SCORES[table]),
-            "cleaning_rules_applied": F.array(*[F.lit(rule) for rule in CLEANING_RULES[table]]),
-        }
+            "silver_processed_timestamp": f"CAST({processed_at} AS TIMESTAMP)",
+            "silver_processed_date": f"CAST({processed_at} AS DATE)",
+            "data_quality_score": str(QUALITY_SCORES[table]),
+            "cleaning_rules_applied": array_of(CLEANING_RULES[table]),
+        },
     )
 
 
 def clean_customers(
-    bronze: DataFrame, as_of: date, order_by: Sequence[str] = (), processed_at: Column | None = None
+    bronze: DataFrame, as_of: date, order_by: Sequence[str] = (), processed_at: str = NOW
 ) -> DataFrame:
     kept = bronze.filter("email IS NOT NULL AND age BETWEEN 18 AND 100 AND customer_id IS NOT NULL")
-    age, joined_days = F.col("age"), F.col("days_since_registration")
-    enriched = (
-        _one_per_key(kept, "customer_id", order_by)
-        .withColumns(
-            {
-                "full_name": F.concat("first_name", F.lit(" "), "last_name"),
-                "email_domain": F.regexp_extract("email", "@(.+)", 1),
-                "customer_age_group": segments.below(age, AGE_GROUPS, "55+"),
-                "registration_year": F.year("registration_date"),
-                "days_since_registration": calendar.days_until(as_of, F.col("registration_date")),
-            }
-        )
-        .withColumn("customer_lifetime_category", segments.below(joined_days, LIFETIME, "Loyal"))
+    enriched = add(
+        _one_per_key(kept, "customer_id", order_by),
+        {
+            "full_name": "concat(first_name, ' ', last_name)",
+            "email_domain": "regexp_extract(email, '@(.+)', 1)",
+            "customer_age_group": segments.below("age", AGE_GROUPS, "55+"),
+            "registration_year": "year(registration_date)",
+            "days_since_registration": calendar.days_until(as_of, "registration_date"),
+            "customer_lifetime_category": segments.below("days_since_registration", LIFETIME, "Loyal"),
+        },
     )
-    standardized = enriched.withColumns(
+    standardized = replace(
+        enriched,
         {
-            **{c: text.title(c) for c in ("first_name", "last_name", "city")},
-            "country": F.trim("country"),
-            "email": F.lower(F.trim("email")),
-        }
+            **{c: title(c) for c in ("first_name", "last_name", "city")},
+            "country": "trim(country)",
+            "email": "lower(trim(email))",
+        },
     )
     return _with_metadata(standardized, "customers", processed_at)
 
 
-def clean_products(
-    bronze: DataFrame, order_by: Sequence[str] = (), processed_at: Column | None = None
-) -> DataFrame:
+def clean_products(bronze: DataFrame, order_by: Sequence[str] = (), processed_at: str = NOW) -> DataFrame:
     kept = bronze.filter("price > 0 AND cost > 0 AND product_id IS NOT NULL AND price >= cost")
-    price, profit, stock = F.col("price"), F.col("price") - F.col("cost"), F.col("stock_quantity")
-    parts = F.split("dimensions", "x")
-    enriched = (
-        _one_per_key(kept, "product_id", order_by)
-        .withColumns(
-            {
-                "profit_margin_pct": F.round(profit / price * 100, 2),
-                "profit_amount": F.round(profit, 2),
-                "price_category": segments.below(price, PRICE_CLASSES, "Luxury"),
-                "weight_category": segments.below(F.col("weight_kg"), WEIGHT_CLASSES, "Very Heavy"),
-                "availability_status": F.when(F.col("in_stock") & (stock > PLENTY_IN_STOCK), "Available")
-                .when(F.col("in_stock") & (stock > 0), "Low Stock")
-                .otherwise("Out of Stock"),
-                "length_cm": text.dimension(parts, 0),
-                "width_cm": text.dimension(parts, 1),
-                "height_cm": text.dimension(parts, 2),
-            }
-        )
-        .withColumn("volume_cm3", F.col("length_cm") * F.col("width_cm") * F.col("height_cm"))
+    sides = "split(dimensions, 'x')"
+    enriched = add(
+        _one_per_key(kept, "product_id", order_by),
+        {
+            "profit_margin_pct": "round((price - cost) / price * 100, 2)",
+            "profit_amount": "round(price - cost, 2)",
+            "price_category": segments.below("price", PRICE_CLASSES, "Luxury"),
+            "weight_category": segments.below("weight_kg", WEIGHT_CLASSES, "Very Heavy"),
+            "availability_status": f"CASE WHEN in_stock AND stock_quantity > {PLENTY_IN_STOCK} THEN 'Available'"
+            " WHEN in_stock AND stock_quantity > 0 THEN 'Low Stock' ELSE 'Out of Stock' END",
+            "length_cm": dimension(sides, 0),
+            "width_cm": dimension(sides, 1),
+            "height_cm": dimension(sides, 2),
+            "volume_cm3": "length_cm * width_cm * height_cm",
+        },
     )
     names = ("product_name", "category", "sub_category", "brand", "supplier")
-    return _with_metadata(enriched.withColumns({c: text.title(c) for c in names}), "products", processed_at)
+    return _with_metadata(replace(enriched, {c: title(c) for c in names}), "products", processed_at)
 
 
 def clean_orders(
@@ -121,44 +115,37 @@ def clean_orders(
     as_of: date,
     thresholds: Thresholds = Thresholds(),
     order_by: Sequence[str] = (),
-    processed_at: Column | None = None,
+    processed_at: str = NOW,
 ) -> DataFrame:
     # Statuses are compared as they came: another spelling is dropped, not repaired.
     kept = bronze.filter(
-        F.col("order_id").isNotNull()
-        & F.col("customer_id").isNotNull()
-        & F.col("order_date").isNotNull()
-        & F.col("status").isin(*STATUSES)
-        & (F.col("order_total") >= 0)
+        "order_id IS NOT NULL AND customer_id IS NOT NULL AND order_date IS NOT NULL"
+        f" AND status IN ({', '.join(map(text, STATUSES))}) AND order_total >= 0"
     )
-    day, month, weekday = F.col("order_date"), F.col("order_month"), F.col("order_day_of_week")
-    values = tuple(zip(thresholds.order_value, ORDER_VALUES))
-    dated = _one_per_key(kept, "order_id", order_by).withColumns(
+    enriched = add(
+        _one_per_key(kept, "order_id", order_by),
         {
-            "order_year": F.year(day),
-            "order_month": F.month(day),
-            "order_quarter": F.quarter(day),
-            "order_day_of_week": F.dayofweek(day),
-            "order_value_category": segments.below(F.col("order_total"), values, "XLarge"),
-            "total_order_amount": F.col("order_total") + F.col("tax_amount") + F.col("shipping_cost"),
-            "days_since_order": calendar.days_until(as_of, day),
-        }
+            "order_year": "year(order_date)",
+            "order_month": "month(order_date)",
+            "order_quarter": "quarter(order_date)",
+            "order_day_of_week": "dayofweek(order_date)",
+            "order_day_name": calendar.day_name("order_day_of_week"),
+            "is_weekend": f"order_day_of_week IN {WEEKEND}",
+            "order_value_category": segments.below("order_total", zip(thresholds.order_value, ORDER_VALUES), "XLarge"),
+            "total_order_amount": "order_total + tax_amount + shipping_cost",
+            "days_since_order": calendar.days_until(as_of, "order_date"),
+            "is_recent_order": f"days_since_order <= {RECENT_DAYS}",
+            "season": calendar.season("order_month"),
+            "is_holiday_season": f"order_month IN {HOLIDAY_MONTHS}",
+        },
     )
-    enriched = dated.withColumns(
+    standardized = replace(
+        enriched,
         {
-            "order_day_name": calendar.day_name(weekday),
-            "is_weekend": weekday.isin(*WEEKEND),
-            "is_recent_order": F.col("days_since_order") <= RECENT_DAYS,
-            "season": calendar.season(month),
-            "is_holiday_season": month.isin(*HOLIDAY_MONTHS),
-        }
-    )
-    standardized = enriched.withColumns(
-        {
-            "status": F.lower(F.trim("status")),
-            "payment_method": text.title("payment_method"),
-            "shipping_method": text.title("shipping_method"),
-        }
+            "status": "lower(trim(status))",
+            "payment_method": title("payment_method"),
+            "shipping_method": title("shipping_method"),
+        },
     )
     return _with_metadata(standardized, "orders", processed_at)
 
@@ -167,32 +154,25 @@ def clean_order_items(
     bronze: DataFrame,
     thresholds: Thresholds = Thresholds(),
     order_by: Sequence[str] = (),
-    processed_at: Column | None = None,
+    processed_at: str = NOW,
 ) -> DataFrame:
     kept = bronze.filter(
         "order_item_id IS NOT NULL AND order_id IS NOT NULL AND product_id IS NOT NULL"
         " AND quantity > 0 AND unit_price > 0 AND line_total >= 0"
     )
-    total, discount, quantity = F.col("line_total"), F.col("discount_amount"), F.col("quantity")
-    computed, rate = quantity * F.col("unit_price"), F.col("discount_rate")
-    prices = tuple(zip(thresholds.unit_price, UNIT_PRICES))
-    enriched = (
-        _one_per_key(kept, "order_item_id", order_by)
-        .withColumns(
-            {
-                "line_total_corrected": F.when(F.abs(total - computed) > TOTAL_TOLERANCE, computed).otherwise(total),
-                "discount_rate": F.when(total > 0, F.round(discount / total * 100, 2)).otherwise(F.lit(0.0)),
-                "final_amount": total - discount,
-                "quantity_category": F.when(quantity == QUANTITIES[0][0], QUANTITIES[0][1]).otherwise(
-                    segments.up_to(quantity, QUANTITIES[1:], "Bulk")
-                ),
-                "unit_price_category": segments.below(F.col("unit_price"), prices, "Luxury"),
-                "has_discount": discount > 0,
-            }
-        )
-        .withColumn(
-            "discount_category",
-            F.when(rate == 0, "No Discount").otherwise(segments.below(rate, DISCOUNT_CLASSES, "Large")),
-        )
+    computed = "quantity * unit_price"
+    (single, single_label), *more = QUANTITIES
+    enriched = add(
+        _one_per_key(kept, "order_item_id", order_by),
+        {
+            "line_total_corrected": f"IF(abs(line_total - {computed}) > {TOTAL_TOLERANCE}D, {computed}, line_total)",
+            "discount_rate": "IF(line_total > 0, round(discount_amount / line_total * 100, 2), 0.0D)",
+            "final_amount": "line_total - discount_amount",
+            "quantity_category": f"IF(quantity = {single}, {text(single_label)}, {segments.up_to('quantity', more, 'Bulk')})",
+            "unit_price_category": segments.below("unit_price", zip(thresholds.unit_price, UNIT_PRICES), "Luxury"),
+            "has_discount": "discount_amount > 0",
+            "discount_category": "IF(discount_rate = 0, 'No Discount',"
+            f" {segments.below('discount_rate', DISCOUNT_CLASSES, 'Large')})",
+        },
     )
     return _with_metadata(enriched, "order_items", processed_at)

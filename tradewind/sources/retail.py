@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.config import Thresholds
+from tradewind.functions.sql import array_of
 from tradewind.sources.tables import read_layer
 
 # The day after the last order, and segment edges that spread over the test data.
@@ -38,115 +38,88 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return read_layer(spark, f"{directory.rstrip('/')}/{name}.parquet")
 
 
-def _every(key: Column, modulus: int, remainder: int) -> Column:
-    return key % modulus == remainder
+def _half_up(amount: str, scaled: bool = False) -> str:
+    """Two decimals by floor, which every SQL engine computes alike; ``scaled`` amounts are in hundredths."""
+    hundredths = amount if scaled else f"{amount} * 100.0D"
+    return f"floor({hundredths} + 0.5D) / 100.0D"
 
 
-def _cycle(key: Column, *values: str) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int"))
+def _cycle(key: str, *values: str) -> str:
+    return f"get({array_of(values)}, CAST({key} % {len(values)} AS INT))"
 
 
-def _half_up(amount: Column) -> Column:
-    """Cents by floor, which both this engine and an SQL check compute alike."""
-    return F.floor(amount * 100.0 + 0.5).cast("double") / 100.0
-
-
-def _with_copies(df: DataFrame, key: Column) -> DataFrame:
-    copies = F.when(_every(key, 50, 7), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return df.withColumn("ingest_seq", F.explode(copies))
+def _with_copies(df: DataFrame, key: str) -> DataFrame:
+    """Every fiftieth row twice, told apart by ingest_seq."""
+    return df.selectExpr("*", f"explode(IF({key} % 50 = 7, array(0, 1), array(0))) AS ingest_seq")
 
 
 def raw_customers(spark: SparkSession, directory: str) -> DataFrame:
-    key = F.col("c_custkey")
-    nations = _table(spark, directory, "nation").select("n_nationkey", "n_name")
-    customers = _table(spark, directory, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    joined = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    text = key.cast("string")
-    address = F.concat(F.lit(" User"), text, F.lit("@Mail"), (key % 5).cast("string"), F.lit(".com"))
-    return _with_copies(joined, key).select(
-        F.when(~_every(key, 97, 5), key).alias("customer_id"),
-        _cycle(key, " ANNA", "ben ", "Chris").alias("first_name"),
-        _cycle(key, "van DYK", " roe ", "STONE", "Hill").alias("last_name"),
-        F.when(_every(key, 41, 3), F.lit(None)).when(_every(key, 53, 9), F.lit("bad-email")).otherwise(address)
-        .alias("email"),
-        F.date_add(F.lit(date(1993, 1, 1)), (key * 37 % 3130).cast("int")).alias("registration_date"),
-        F.concat(F.lit(" "), F.col("n_name")).alias("country"),
-        F.concat(F.lit(" old TOWN "), (key % 30).cast("string")).alias("city"),
-        (F.lit(15) + key % 90).cast("int").alias("age"),
-        F.col("c_mktsegment").alias("customer_segment"),
+    nations = _table(spark, directory, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
+    joined = _table(spark, directory, "customer").join(nations, "c_nationkey")
+    return _with_copies(joined, "c_custkey").selectExpr(
+        "IF(c_custkey % 97 = 5, NULL, c_custkey) AS customer_id",
+        f"{_cycle('c_custkey', ' ANNA', 'ben ', 'Chris')} AS first_name",
+        f"{_cycle('c_custkey', 'van DYK', ' roe ', 'STONE', 'Hill')} AS last_name",
+        "CASE WHEN c_custkey % 41 = 3 THEN NULL WHEN c_custkey % 53 = 9 THEN 'bad-email'"
+        " ELSE concat(' User', c_custkey, '@Mail', c_custkey % 5, '.com') END AS email",
+        "date_add(DATE '1993-01-01', CAST(c_custkey * 37 % 3130 AS INT)) AS registration_date",
+        "concat(' ', n_name) AS country",
+        "concat(' old TOWN ', c_custkey % 30) AS city",
+        "CAST(15 + c_custkey % 90 AS INT) AS age",
+        "c_mktsegment AS customer_segment",
         "ingest_seq",
     )
 
 
 def raw_products(spark: SparkSession, directory: str) -> DataFrame:
-    key, size = F.col("p_partkey"), F.col("p_size")
-    parts = _table(spark, directory, "part")
-    list_price = F.floor(F.col("p_retailprice") * (1 + key % 20).cast("double") * 5.0 + 0.5).cast("double") / 100.0
-    price = F.when(_every(key, 61, 8), F.lit(0.0)).otherwise(list_price)
-    box = F.concat_ws("x", *[n.cast("string") for n in (5 + size % 46, 5 + key % 46, 2 + key % 29)])
-    return (
-        _with_copies(parts, key)
-        .withColumn("price", price)
-        .select(
-            F.when(~_every(key, 89, 4), key).alias("product_id"),
-            F.concat(F.lit(" "), F.upper("p_name")).alias("product_name"),
-            F.col("p_type").alias("category"),
-            F.col("p_name").alias("sub_category"),
-            F.col("p_brand").alias("brand"),
-            "price",
-            (F.floor(F.col("price") * (4 + key % 8).cast("double") * 10.0 + 0.5).cast("double") / 100.0).alias("cost"),
-            (size.cast("double") / 2.0).alias("weight_kg"),
-            F.when(_every(key, 71, 2), F.lit("10x20"))
-            .when(_every(key, 71, 3), F.lit("n/a"))
-            .when(~_every(key, 71, 4), F.concat(box, F.lit(" cm")))
-            .alias("dimensions"),
-            (~_every(key, 5, 0)).alias("in_stock"),
-            (key % 37).cast("int").alias("stock_quantity"),
-            F.concat(F.lit("supplier "), (key % 12).cast("string")).alias("supplier"),
-            "ingest_seq",
-        )
+    parts = _with_copies(_table(spark, directory, "part"), "p_partkey")
+    list_price = _half_up("p_retailprice * CAST(1 + p_partkey % 20 AS DOUBLE) * 5.0D", scaled=True)
+    box = "concat(5 + p_size % 46, 'x', 5 + p_partkey % 46, 'x', 2 + p_partkey % 29, ' cm')"
+    return parts.selectExpr("*", f"IF(p_partkey % 61 = 8, 0.0D, {list_price}) AS price").selectExpr(
+        "IF(p_partkey % 89 = 4, NULL, p_partkey) AS product_id",
+        "concat(' ', upper(p_name)) AS product_name",
+        "p_type AS category",
+        "p_name AS sub_category",
+        "p_brand AS brand",
+        "price",
+        f"{_half_up('price * CAST(4 + p_partkey % 8 AS DOUBLE) * 10.0D', scaled=True)} AS cost",
+        "CAST(p_size AS DOUBLE) / 2.0D AS weight_kg",
+        "CASE p_partkey % 71 WHEN 2 THEN '10x20' WHEN 3 THEN 'n/a' WHEN 4 THEN NULL" f" ELSE {box} END AS dimensions",
+        "p_partkey % 5 <> 0 AS in_stock",
+        "CAST(p_partkey % 37 AS INT) AS stock_quantity",
+        "concat('supplier ', p_partkey % 12) AS supplier",
+        "ingest_seq",
     )
 
 
 def raw_orders(spark: SparkSession, directory: str) -> DataFrame:
-    key, total, state = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderstatus")
-    orders = _table(spark, directory, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
-    )
-    return _with_copies(orders, key).select(
-        key.alias("order_id"),
-        F.when(~_every(key, 211, 6), F.col("o_custkey")).alias("customer_id"),
-        F.when(~_every(key, 223, 8), F.col("o_orderdate").cast("date")).alias("order_date"),
-        F.when(_every(key, 101, 1), F.lit("returned"))
-        .when(_every(key, 103, 2), F.lit("Completed"))
-        .when(state == "F", F.lit("completed"))
-        .when(state == "O", F.lit("pending"))
-        .otherwise(F.lit("cancelled"))
-        .alias("status"),
-        _cycle(key, " CREDIT card", "debit card", "paypal", "Bank Transfer ").alias("payment_method"),
-        _cycle(key, "standard", "EXPRESS", "Overnight").alias("shipping_method"),
-        F.when(_every(key, 307, 9), -total).otherwise(total).alias("order_total"),
-        (F.floor(total * 8.0 + 0.5).cast("double") / 100.0).alias("tax_amount"),
-        F.when(state == "F", (5 + key % 21).cast("double")).otherwise(F.lit(0.0)).alias("shipping_cost"),
+    return _with_copies(_table(spark, directory, "orders"), "o_orderkey").selectExpr(
+        "o_orderkey AS order_id",
+        "IF(o_orderkey % 211 = 6, NULL, o_custkey) AS customer_id",
+        "IF(o_orderkey % 223 = 8, NULL, CAST(o_orderdate AS DATE)) AS order_date",
+        "CASE WHEN o_orderkey % 101 = 1 THEN 'returned' WHEN o_orderkey % 103 = 2 THEN 'Completed'"
+        " WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'cancelled' END AS status",
+        f"{_cycle('o_orderkey', ' CREDIT card', 'debit card', 'paypal', 'Bank Transfer ')} AS payment_method",
+        f"{_cycle('o_orderkey', 'standard', 'EXPRESS', 'Overnight')} AS shipping_method",
+        "IF(o_orderkey % 307 = 9, -o_totalprice, o_totalprice) AS order_total",
+        f"{_half_up('o_totalprice * 8.0D', scaled=True)} AS tax_amount",
+        "IF(o_orderstatus = 'F', CAST(5 + o_orderkey % 21 AS DOUBLE), 0.0D) AS shipping_cost",
         "ingest_seq",
     )
 
 
 def raw_order_items(spark: SparkSession, directory: str) -> DataFrame:
-    part, amount = F.col("l_partkey"), F.col("l_extendedprice")
-    return _table(spark, directory, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
-        F.col("l_orderkey").alias("order_id"),
-        part.alias("product_id"),
-        F.when(_every(part, 401, 7), F.lit(0)).otherwise(F.col("l_quantity").cast("int")).alias("quantity"),
-        _half_up(amount / F.col("l_quantity")).alias("unit_price"),
-        F.when(_every(part, 30, 1), amount + 5.0).otherwise(amount).alias("line_total"),
-        F.when(_every(part, 45, 2), F.lit(None))
-        .when(_every(part, 47, 3), -amount)
-        .when(_every(part, 43, 4), F.floor(amount * 20.0).cast("double") / 100.0)
-        .otherwise(_half_up(amount * F.col("l_discount")))
-        .alias("discount_amount"),
-        F.col("l_suppkey").alias("supplier_id"),
+    return _table(spark, directory, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS order_item_id",
+        "l_orderkey AS order_id",
+        "l_partkey AS product_id",
+        "IF(l_partkey % 401 = 7, 0, CAST(l_quantity AS INT)) AS quantity",
+        f"{_half_up('l_extendedprice / l_quantity')} AS unit_price",
+        "IF(l_partkey % 30 = 1, l_extendedprice + 5.0D, l_extendedprice) AS line_total",
+        "CASE WHEN l_partkey % 45 = 2 THEN NULL WHEN l_partkey % 47 = 3 THEN -l_extendedprice"
+        " WHEN l_partkey % 43 = 4 THEN floor(l_extendedprice * 20.0D) / 100.0D"
+        f" ELSE {_half_up('l_extendedprice * l_discount')} END AS discount_amount",
+        "l_suppkey AS supplier_id",
     )
 
 
