@@ -7,7 +7,7 @@ against SQL.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -37,6 +37,24 @@ KEYS = {"customers": "customer_id", "products": "product_id", "orders": "order_i
 COHORT_MONTHS = range(80)
 
 
+class OnDemand(Mapping):
+    """Named frames, each built when it is first asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 @dataclass(frozen=True)
 class Shop:
     """All layers over one directory of test tables, built when first asked for."""
@@ -45,22 +63,26 @@ class Shop:
     directory: str
 
     @cached_property
-    def raw(self) -> dict[str, DataFrame]:
-        return {table: read(self.spark, self.directory) for table, read in retail.RAW_TABLES.items()}
+    def raw(self) -> OnDemand:
+        return OnDemand({t: lambda r=read: r(self.spark, self.directory) for t, read in retail.RAW_TABLES.items()})
 
     @cached_property
-    def bronze(self) -> dict[str, DataFrame]:
-        return {table: bronze.with_metadata(df, table) for table, df in self.raw.items()}
+    def bronze(self) -> OnDemand:
+        return OnDemand({t: lambda t=t: bronze.with_metadata(self.raw[t], t) for t in self.raw})
 
     @cached_property
-    def silver(self) -> dict[str, DataFrame]:
+    def silver(self) -> OnDemand:
         order, raw = retail.SURVIVOR_ORDER, self.raw
-        return {
-            "customers": silver.clean_customers(raw["customers"], retail.AS_OF, order["customers"]),
-            "products": silver.clean_products(raw["products"], order["products"]),
-            "orders": silver.clean_orders(raw["orders"], retail.AS_OF, retail.THRESHOLDS, order["orders"]),
-            "order_items": silver.clean_order_items(raw["order_items"], retail.THRESHOLDS, order["order_items"]),
-        }
+        return OnDemand(
+            {
+                "customers": lambda: silver.clean_customers(raw["customers"], retail.AS_OF, order["customers"]),
+                "products": lambda: silver.clean_products(raw["products"], order["products"]),
+                "orders": lambda: silver.clean_orders(raw["orders"], retail.AS_OF, retail.THRESHOLDS, order["orders"]),
+                "order_items": lambda: silver.clean_order_items(
+                    raw["order_items"], retail.THRESHOLDS, order["order_items"]
+                ),
+            }
+        )
 
     @cached_property
     def sales(self) -> DataFrame:

@@ -20,9 +20,19 @@ log = logging.getLogger(__name__)
 METADATA_PREFIXES = ("silver_", "bronze_")
 
 
-def read_layer(spark: SparkSession, path: str, fmt: str = "parquet", merge_schema: bool = False) -> DataFrame:
-    """Table at a path; ``merge_schema`` unites the columns of files written with different ones."""
-    return spark.read.format(fmt).option("mergeSchema", str(merge_schema).lower()).load(path)
+def read_layer(
+    spark: SparkSession, path: str, fmt: str = "parquet", merge_schema: bool = False, schema: str | None = None
+) -> DataFrame:
+    """Table at a path; ``merge_schema`` unites the columns of files written with different ones.
+
+    A ``schema`` that is known beforehand spares the look into the files that finds it.
+    """
+    reader = spark.read.format(fmt)
+    if schema:
+        reader = reader.schema(schema)
+    if merge_schema:
+        reader = reader.option("mergeSchema", "true")
+    return reader.load(path)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
