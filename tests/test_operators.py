@@ -131,3 +131,19 @@ def test_email_rule_needs_a_dot_and_an_end(spark):
     df = spark.createDataFrame([(m,) for m in mails], "email string")
     bad = {r.email for r in df.filter(f"NOT ({rule.predicate})").collect()}
     assert bad == {"a@bXcom", "a@b.com!", "no-at.com"}
+
+
+def test_money_is_exact_for_any_order_and_size(spark):
+    from tradewind.functions.money import cents, money_avg, money_sum
+
+    amounts = [0.1, 0.2, -0.3, 1.005, -12.34, 136.57, None, 1e11 + 0.01, 0.29, 4.35]
+    df = spark.createDataFrame([(a,) for a in amounts * 30], "x double")
+    sums = {p: df.repartition(p).selectExpr(f"{money_sum('x')} AS s", f"{money_avg('x')} AS a").first() for p in (1, 4, 64)}
+    assert len(set(sums.values())) == 1
+    whole = [r[0] for r in spark.createDataFrame([(a,) for a in amounts], "x double").selectExpr(cents("x")).collect()]
+    assert whole == [10, 20, -30, 100, -1234, 13657, None, 10000000000001, 29, 435]  # 1.005 is below the tie as a double
+    assert sums[1].s == sum(w for w in whole if w is not None) * 30 / 100
+    # Far beyond 64-bit cents in total.
+    large = spark.range(2000).selectExpr("9.0e13D AS x").selectExpr(f"{money_sum('x')} AS s").first().s
+    assert large == 1.8e17
+    assert spark.createDataFrame([(None,)], "x double").selectExpr(f"{money_sum('x')} AS s").first().s is None

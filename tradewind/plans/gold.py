@@ -1,6 +1,6 @@
 """Gold: customer, product, sales and cohort tables from the cleaned tables.
 
-Completed orders only, unless a function says otherwise. Sums of money are exact decimals until
+Completed orders only, unless a function says otherwise. Sums of money are exact (whole cents) until
 the last step, so a result does not depend on the partitioning.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tradewind.config import Thresholds
 from tradewind.functions import calendar, segments
-from tradewind.functions.money import exact_sum, money_avg, money_sum, percent, ratio
+from tradewind.functions.money import cents_sum, money_avg, money_sum, percent, ratio, total_of_cents
 from tradewind.functions.sql import add, aggregate, text
 from tradewind.operators.ranking import global_rank, small_rank
 
@@ -69,9 +69,9 @@ def sales_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
         ["order_id", "product_id"],
         {
             "quantity": "SUM(quantity)",
-            "revenue": exact_sum("line_total_corrected"),
-            "discount": exact_sum("discount_amount"),
-            "price_sum": exact_sum("unit_price"),
+            "revenue_cents": cents_sum("line_total_corrected"),
+            "discount_cents": cents_sum("discount_amount"),
+            "price_cents": cents_sum("unit_price"),
             "priced_lines": "COUNT(unit_price)",
             "lines": "COUNT(*)",
         },
@@ -83,10 +83,10 @@ def _line_sums(discounts: str, line_count: str) -> dict[str, str]:
     """Totals of sales lines under the names the reports use."""
     return {
         "total_quantity_sold": "SUM(quantity)",
-        "total_revenue": "CAST(SUM(revenue) AS DOUBLE)",
-        discounts: "CAST(SUM(discount) AS DOUBLE)",
+        "total_revenue": total_of_cents("revenue_cents"),
+        discounts: total_of_cents("discount_cents"),
         line_count: "SUM(lines)",
-        "avg_selling_price": "CAST(SUM(price_sum) AS DOUBLE) / NULLIF(SUM(priced_lines), 0)",
+        "avg_selling_price": f"{total_of_cents('price_cents')} / NULLIF(SUM(priced_lines), 0)",
     }
 
 
@@ -355,7 +355,7 @@ def customer_days(customers: DataFrame, orders: DataFrame) -> DataFrame:
     days = aggregate(
         completed(orders),
         ["customer_id", "order_date"],
-        {"revenue": exact_sum("order_total"), "orders": "COUNT(order_id)"},
+        {"revenue_cents": cents_sum("order_total"), "orders": "COUNT(order_id)"},
     )
     known = days.join(customers.select("customer_id"), "customer_id", "left_semi")
     return add(
@@ -380,7 +380,7 @@ def _cohorts(days: DataFrame, age: str) -> DataFrame:
         ["cohort_month", "months_since_first_purchase"],
         {
             "active_customers": "COUNT(DISTINCT customer_id)",
-            "cohort_revenue": "CAST(SUM(revenue) AS DOUBLE)",
+            "cohort_revenue": total_of_cents("revenue_cents"),
             "cohort_orders": "SUM(orders)",
             "starters": "count_if(order_date = first_purchase_date)",
         },

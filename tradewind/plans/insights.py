@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.money import exact_sum, money_avg, money_sum, percent, ratio
+from tradewind.functions.money import money_avg, money_sum, percent, ratio
 from tradewind.functions.sql import aggregate, long_form, text
 from tradewind.plans.kpis import BEST_CATEGORY, COUNT_ACTIVE, COUNT_HIGH_VALUE, COUNT_SOLD
 
@@ -119,7 +119,7 @@ def cohort_sizes_at_start(cohorts: DataFrame) -> DataFrame:
 
 def executive_metrics(customers: DataFrame, products: DataFrame, months: DataFrame) -> DataFrame:
     """metric, value: counts, shares and money of the business; empty tables give 0."""
-    revenue = f"CAST({exact_sum('total_revenue')} AS DOUBLE)"
+    revenue = money_sum("total_revenue")
 
     def long(df: DataFrame, metrics: dict[str, str]) -> DataFrame:
         totals = aggregate(df, [], metrics)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.money import exact_sum, percent, ratio
+from tradewind.functions.money import money_sum, percent, ratio
 from tradewind.functions.sql import aggregate, long_form, text
 from tradewind.functions.text import plain_number
 from tradewind.plans.bronze import union_reports
@@ -49,7 +49,7 @@ def business_kpis(
         months,
         [],
         {
-            "revenue": f"coalesce(CAST({exact_sum('total_revenue')} AS DOUBLE), 0.0D)",
+            "revenue": f"coalesce({money_sum('total_revenue')}, 0.0D)",
             "orders": "coalesce(SUM(total_orders), 0)",
         },
     )
