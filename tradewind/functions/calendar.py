@@ -52,6 +52,11 @@ def days_until(as_of: date, column: str) -> str:
     return f"datediff({day(as_of)}, {column})"
 
 
-def distinct_months(month: str) -> str:
-    """Number of different calendar months in a group, from a twelve-bit mask (no distinct shuffle)."""
-    return f"CAST(bit_count(bit_or(shiftleft(1, {month}))) AS BIGINT)"
+def month_mask(month: str) -> str:
+    """The calendar months of a group as a twelve-bit mask; masks of parts combine into that of the whole."""
+    return f"bit_or(shiftleft(1, {month}))"
+
+
+def months_in_masks(mask: str) -> str:
+    """Number of different calendar months over all masks of a group (no distinct shuffle)."""
+    return f"CAST(bit_count(bit_or({mask})) AS BIGINT)"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tradewind.config import Thresholds
 from tradewind.functions import calendar, segments
-from tradewind.functions.money import cents_sum, money_avg, money_sum, percent, ratio, total_of_cents
+from tradewind.functions.money import cents_sum, percent, ratio, total_of_cents
 from tradewind.functions.sql import add, aggregate, text
 from tradewind.operators.ranking import global_rank, small_rank
 
@@ -79,11 +79,22 @@ def sales_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
     return lines.join(completed(orders).select("order_id", "customer_id", "order_date"), "order_id")
 
 
+# What a finer group keeps of its orders, so that a coarser group can count it once and add up the rest.
+ORDER_PARTS = {
+    "orders": "COUNT(order_id)",
+    "priced_orders": "COUNT(order_total)",
+    "revenue_cents": cents_sum("order_total"),
+}
+REVENUE = total_of_cents("revenue_cents")
+AVERAGE_ORDER = f"{REVENUE} / NULLIF(SUM(priced_orders), 0)"
+LINE_PARTS = ("quantity", "revenue_cents", "discount_cents", "price_cents", "priced_lines", "lines")
+
+
 def _line_sums(discounts: str, line_count: str) -> dict[str, str]:
     """Totals of sales lines under the names the reports use."""
     return {
         "total_quantity_sold": "SUM(quantity)",
-        "total_revenue": total_of_cents("revenue_cents"),
+        "total_revenue": REVENUE,
         discounts: total_of_cents("discount_cents"),
         line_count: "SUM(lines)",
         "avg_selling_price": f"{total_of_cents('price_cents')} / NULLIF(SUM(priced_lines), 0)",
@@ -96,22 +107,34 @@ def _line_sums(discounts: str, line_count: str) -> dict[str, str]:
 def customer_order_metrics(orders: DataFrame) -> DataFrame:
     """Per customer: counts, sums and dates of completed orders.
 
-    Months are counted with a bit mask, which leaves one distinct column (the year) and so a plan
-    that reads every order once.
+    Added up per (customer, year) first: years are then rows to count, and a customer with very many orders
+    leaves each task as one row per year. Months are counted with a bit mask.
     """
-    return aggregate(
+    per_year = aggregate(
         completed(orders),
+        ["customer_id", "order_year"],
+        {
+            **ORDER_PARTS,
+            "tax_cents": cents_sum("tax_amount"),
+            "shipping_cents": cents_sum("shipping_cost"),
+            "last": "MAX(order_date)",
+            "first": "MIN(order_date)",
+            "months": calendar.month_mask("order_month"),
+        },
+    )
+    return aggregate(
+        per_year,
         ["customer_id"],
         {
-            "total_orders": "COUNT(order_id)",
-            "total_spent": money_sum("order_total"),
-            "avg_order_value": money_avg("order_total"),
-            "last_order_date": "MAX(order_date)",
-            "first_order_date": "MIN(order_date)",
-            "total_tax_paid": money_sum("tax_amount"),
-            "total_shipping_paid": money_sum("shipping_cost"),
-            "active_years": "COUNT(DISTINCT order_year)",
-            "active_months": calendar.distinct_months("order_month"),
+            "total_orders": "SUM(orders)",
+            "total_spent": REVENUE,
+            "avg_order_value": AVERAGE_ORDER,
+            "last_order_date": "MAX(last)",
+            "first_order_date": "MIN(first)",
+            "total_tax_paid": total_of_cents("tax_cents"),
+            "total_shipping_paid": total_of_cents("shipping_cents"),
+            "active_years": "COUNT(order_year)",
+            "active_months": calendar.months_in_masks("months"),
         },
     )
 
@@ -213,18 +236,28 @@ def customer_order_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:
 def product_sales(sales: DataFrame) -> DataFrame:
     """Per product: quantity, money, distinct orders and customers, dates.
 
-    A sales line is one (order, product), so orders are counted as rows and the customer is the only
-    distinct column.
+    A sales line is one (order, product), so orders are counted as rows; adding up per
+    (product, customer) first makes customers rows as well.
     """
-    return aggregate(
+    per_customer = aggregate(
         sales,
+        ["product_id", "customer_id"],
+        {
+            **{part: f"SUM({part})" for part in LINE_PARTS},
+            "orders": "COUNT(*)",
+            "last": "MAX(order_date)",
+            "first": "MIN(order_date)",
+        },
+    )
+    return aggregate(
+        per_customer,
         ["product_id"],
         {
             **_line_sums("total_discounts_given", "total_order_appearances"),
-            "unique_orders": "COUNT(*)",
-            "unique_customers": "COUNT(DISTINCT customer_id)",
-            "last_sold_date": "MAX(order_date)",
-            "first_sold_date": "MIN(order_date)",
+            "unique_orders": "SUM(orders)",
+            "unique_customers": "COUNT(customer_id)",
+            "last_sold_date": "MAX(last)",
+            "first_sold_date": "MIN(first)",
         },
     )
 
@@ -271,18 +304,29 @@ def product_analytics(
 
 def monthly_sales(orders: DataFrame) -> DataFrame:
     """Per month: orders, customers, money, first and last order date, rank by revenue."""
-    months = aggregate(
+    per_customer = aggregate(
         completed(orders),
+        ["order_year", "order_month", "customer_id"],
+        {
+            **ORDER_PARTS,
+            "tax_cents": cents_sum("tax_amount"),
+            "shipping_cents": cents_sum("shipping_cost"),
+            "first": "MIN(order_date)",
+            "last": "MAX(order_date)",
+        },
+    )
+    months = aggregate(
+        per_customer,
         ["order_year", "order_month"],
         {
-            "total_orders": "COUNT(order_id)",
-            "unique_customers": "COUNT(DISTINCT customer_id)",
-            "total_revenue": money_sum("order_total"),
-            "avg_order_value": money_avg("order_total"),
-            "total_tax": money_sum("tax_amount"),
-            "total_shipping": money_sum("shipping_cost"),
-            "month_start_date": "MIN(order_date)",
-            "month_end_date": "MAX(order_date)",
+            "total_orders": "SUM(orders)",
+            "unique_customers": "COUNT(customer_id)",
+            "total_revenue": REVENUE,
+            "avg_order_value": AVERAGE_ORDER,
+            "total_tax": total_of_cents("tax_cents"),
+            "total_shipping": total_of_cents("shipping_cents"),
+            "month_start_date": "MIN(first)",
+            "month_end_date": "MAX(last)",
         },
     )
     labelled = add(
@@ -304,14 +348,15 @@ def monthly_counts(orders: DataFrame) -> DataFrame:
 
 
 def daily_sales(orders: DataFrame) -> DataFrame:
+    day = ["order_date", "order_day_name", "is_weekend"]
     days = aggregate(
-        completed(orders),
-        ["order_date", "order_day_name", "is_weekend"],
+        aggregate(completed(orders), [*day, "customer_id"], ORDER_PARTS),
+        day,
         {
-            "total_orders": "COUNT(order_id)",
-            "unique_customers": "COUNT(DISTINCT customer_id)",
-            "total_revenue": money_sum("order_total"),
-            "avg_order_value": money_avg("order_total"),
+            "total_orders": "SUM(orders)",
+            "unique_customers": "COUNT(customer_id)",
+            "total_revenue": REVENUE,
+            "avg_order_value": AVERAGE_ORDER,
         },
     )
     return add(days, {"weekday_performance": "IF(is_weekend, 'Weekend', 'Weekday')"}).orderBy("order_date")
@@ -375,16 +420,26 @@ def cohort_sizes(days: DataFrame) -> DataFrame:
 
 def _cohorts(days: DataFrame, age: str) -> DataFrame:
     """Activity per cohort and age; the cohort size is summed from the rows of first purchases."""
-    activity = aggregate(
+    group = ["cohort_month", "months_since_first_purchase"]
+    per_customer = aggregate(
         add(days, {"months_since_first_purchase": age}),
-        ["cohort_month", "months_since_first_purchase"],
+        [*group, "customer_id"],
         {
-            "active_customers": "COUNT(DISTINCT customer_id)",
-            "cohort_revenue": total_of_cents("revenue_cents"),
-            "cohort_orders": "SUM(orders)",
+            "revenue_cents": "SUM(revenue_cents)",
+            "orders": "SUM(orders)",
             "starters": "count_if(order_date = first_purchase_date)",
         },
     )
+    activity = aggregate(
+        per_customer,
+        group,
+        {
+            "active_customers": "COUNT(customer_id)",
+            "cohort_revenue": REVENUE,
+            "cohort_orders": "SUM(orders)",
+            "starters": "SUM(starters)",
+        },
+    )
     # Bounded window: a cohort has at most one row per day of the calendar.
     sized = add(activity, {"cohort_size": "SUM(starters) OVER (PARTITION BY cohort_month)"})
     return sized.selectExpr(
