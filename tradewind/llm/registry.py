@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.exact_dedup import exact_dedup
 from tradewind.llm.line_dedup import line_dedup
+from tradewind.llm.simhash import simhash_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_simhash(spark, sf_dir):
+    out = simhash_dedup(table(spark, sf_dir, "documents"), shingle=3)
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
 def op5_line_dedup(spark, sf_dir):
     """Lines on 8 or more of the sources go."""
     out = line_dedup(table(spark, sf_dir, "documents"), threshold=8)
@@ -24,7 +30,7 @@ def op7_exact_dedup(spark, sf_dir):
     return out.withColumnRenamed("content_hash", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_line_dedup, op7_exact_dedup)}
 
 ORACLE = {
     "op5_line_dedup": r"""
