@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.llm.decontaminate import decontaminate
 from tradewind.llm.exact_dedup import exact_dedup
 from tradewind.llm.line_dedup import line_dedup
 from tradewind.llm.simhash import simhash_dedup
@@ -30,7 +31,19 @@ def op7_exact_dedup(spark, sf_dir):
     return out.withColumnRenamed("content_hash", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_line_dedup, op7_exact_dedup)}
+def op9_decontaminate(spark, sf_dir):
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_line_dedup, op7_exact_dedup, op9_decontaminate)}
 
 ORACLE = {
     "op5_line_dedup": r"""
@@ -45,6 +58,28 @@ SELECT doc_id, count(*) AS n_lines, count(c.line) AS n_removed,
        sha256(coalesce(string_agg(l.line, chr(10) ORDER BY place) FILTER (WHERE c.line IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN common c ON l.line = c.line
 GROUP BY doc_id
+""",
+    "op9_decontaminate": r"""
+WITH norm AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS words
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+place AS (
+  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS words
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM norm, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, item_id, i, win.k FROM place JOIN win ON place.words = win.words AND place.k = win.k),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items,
+       sha256(coalesce(f.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM norm LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
 """,
     "op7_exact_dedup": r"""
 WITH n AS (
