@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradewind.llm.decontaminate import decontaminate
 from tradewind.llm.exact_dedup import exact_dedup
 from tradewind.llm.line_dedup import line_dedup
+from tradewind.llm.quality import quality_scores
 from tradewind.llm.simhash import simhash_dedup
 
 
@@ -43,7 +44,11 @@ def op9_decontaminate(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_line_dedup, op7_exact_dedup, op9_decontaminate)}
+def op10_quality(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_line_dedup, op7_exact_dedup, op9_decontaminate, op10_quality)}
 
 ORACLE = {
     "op5_line_dedup": r"""
