@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tradewind.llm.decontaminate import decontaminate
 from tradewind.llm.exact_dedup import exact_dedup
 from tradewind.llm.line_dedup import line_dedup
+from tradewind.llm.mixing import mix_sources
 from tradewind.llm.quality import quality_scores
+from tradewind.llm.sharding import shard_evenly
 from tradewind.llm.simhash import simhash_dedup
 
 
@@ -27,11 +29,21 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_sharding(spark, sf_dir):
+    out = shard_evenly(table(spark, sf_dir, "documents"), shards=40)
+    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op7_exact_dedup(spark, sf_dir):
     out = exact_dedup(table(spark, sf_dir, "documents"), hash_all=True)
     return out.withColumnRenamed("content_hash", "text_sha256")
 
 
+def op8_mixing(spark, sf_dir):
+    out = mix_sources(table(spark, sf_dir, "documents")).taken()
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op9_decontaminate(spark, sf_dir):
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return out.select(
@@ -48,7 +60,7 @@ def op10_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_line_dedup, op7_exact_dedup, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_line_dedup, op6_sharding, op7_exact_dedup, op8_mixing, op9_decontaminate, op10_quality)}
 
 ORACLE = {
     "op5_line_dedup": r"""
