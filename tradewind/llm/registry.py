@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.decontaminate import decontaminate
 from tradewind.llm.exact_dedup import exact_dedup
+from tradewind.llm.licenses import license_scan
 from tradewind.llm.line_dedup import line_dedup
 from tradewind.llm.mixing import mix_sources
 from tradewind.llm.quality import quality_scores
@@ -23,6 +24,10 @@ def op2_simhash(spark, sf_dir):
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op4_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_line_dedup(spark, sf_dir):
     """Lines on 8 or more of the sources go."""
     out = line_dedup(table(spark, sf_dir, "documents"), threshold=8)
@@ -60,7 +65,7 @@ def op10_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_line_dedup, op6_sharding, op7_exact_dedup, op8_mixing, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_license_scan, op5_line_dedup, op6_sharding, op7_exact_dedup, op8_mixing, op9_decontaminate, op10_quality)}
 
 ORACLE = {
     "op5_line_dedup": r"""
