@@ -13,6 +13,7 @@ from tradewind.llm.mixing import mix_sources
 from tradewind.llm.quality import quality_scores
 from tradewind.llm.sharding import shard_evenly
 from tradewind.llm.simhash import simhash_dedup
+from tradewind.llm.substring_dedup import substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op2_simhash(spark, sf_dir):
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_substring_dedup(spark, sf_dir):
+    out = substring_dedup(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -65,7 +71,7 @@ def op10_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_license_scan, op5_line_dedup, op6_sharding, op7_exact_dedup, op8_mixing, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_substring_dedup, op4_license_scan, op5_line_dedup, op6_sharding, op7_exact_dedup, op8_mixing, op9_decontaminate, op10_quality)}
 
 ORACLE = {
     "op5_line_dedup": r"""
