@@ -14,12 +14,20 @@ from tradewind.llm.quality import quality_scores
 from tradewind.llm.sharding import shard_evenly
 from tradewind.llm.simhash import simhash_dedup
 from tradewind.llm.substring_dedup import substring_dedup
+from tradewind.llm.suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup(table(spark, sf_dir, "documents"), window=200)
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op2_simhash(spark, sf_dir):
     out = simhash_dedup(table(spark, sf_dir, "documents"), shingle=3)
     return out.select("doc_id", "fingerprint", "component_id")
@@ -71,7 +79,7 @@ def op10_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_substring_dedup, op4_license_scan, op5_line_dedup, op6_sharding, op7_exact_dedup, op8_mixing, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_substring_dedup, op4_license_scan, op5_line_dedup, op6_sharding, op7_exact_dedup, op8_mixing, op9_decontaminate, op10_quality)}
 
 ORACLE = {
     "op5_line_dedup": r"""
