@@ -169,6 +169,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block: int = BLOCK,
+    carry_key: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``n_hit``, ``items`` (sorted strings), ``starts``, ``ends`` (word spans of hit windows).
 
@@ -182,7 +183,7 @@ def decontaminate(
 
     NULL texts have no words; items without words have no windows and never occur; a NULL item id counts as no item,
     though its windows hit. Rows of ``docs`` that share id and text get the same result, items that repeat count once.
-    Extra columns are ignored; an empty benchmark hits nothing.
+    Extra columns are ignored; an empty benchmark hits nothing. ``carry_key`` adds ``row_key``, a hash of id and text.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("content"))
     base = base.withColumn("row_key", F.xxhash64("id", "content"))
@@ -213,6 +214,7 @@ def decontaminate(
 
     return out.select(
         F.col("id").alias(id_col),
+        *(["row_key"] if carry_key else []),
         "n_words",
         covered("starts", "ends").alias("n_hit"),
         F.array_sort(F.array_distinct("items")).alias("items"),

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm.store import stored
-from tradewind.llm.words import VISIBLE, Powers, byte_values, documents, mix, words
+from tradewind.llm.words import VISIBLE, Powers, byte_values, chunks, mix, text_bytes, words
 
 
 @dataclass(frozen=True)
@@ -131,20 +131,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return total
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(id, score) for each row: the sparse dot product of its features and the weights."""
-    model = docs.sparkSession.sparkContext.broadcast(weights)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("content"))
+def scorer(spark: SparkSession, weights: np.ndarray, s: Settings):
+    """The score of a text column: the sparse dot product of its features and the weights."""
+    model = spark.sparkContext.broadcast(weights)
 
-    def run(batches):
-        powers = Powers()
-        for batch, data, offsets, i, j in documents(batches):
-            first, index, x = rows_of(*features(data, offsets, powers, s.bits), j - i, s.bits)
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        data, offsets = text_bytes(text)
+        powers, out = Powers(), [np.zeros(0)]
+        for i, j in chunks(offsets):
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            first, index, x = rows_of(*features(part, at, powers, s.bits), j - i, s.bits)
             total = np.concatenate([[0.0], np.cumsum(model.value[index] * x)])
-            out = sigmoid(total[first[1:]] - total[first[:-1]] + model.value[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out)], ["id", "score"])
+            out.append(sigmoid(total[first[1:]] - total[first[:-1]] + model.value[0]))
+        return pa.array(np.concatenate(out))
 
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return score
 
 
 def quality_scores(
@@ -162,10 +164,7 @@ def quality_scores(
     teach nothing; contradicting labels are both learnt; without labels every score is 0.5. Extra columns are ignored.
     """
     s = settings or Settings()
-    weights = train(docs, labels, id_col, text_col, label_col, s)
-    return score(docs, weights, id_col, text_col, s).select(
-        id_col,
-        held_out(F.col(id_col)).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-    )
+    score = scorer(docs.sparkSession, train(docs, labels, id_col, text_col, label_col, s), s)
+    return docs.select(
+        id_col, held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col).cast("string")).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

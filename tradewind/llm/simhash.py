@@ -37,17 +37,20 @@ def fingerprint(text: bytes, shingle: int, folded: bytes = LOWER.tobytes()) -> i
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp) for each row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, carry: list[str]) -> DataFrame:
+    """(id, the columns ``carry``, fp) for each row."""
+    base = docs.select(
+        F.col(text_col).cast("string").alias("content"), F.col(id_col).alias("id"), *[F.col(c).alias(f"carried_{c}") for c in carry]
+    )
+    rest = base.columns[1:]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(0).cast(pa.large_binary())
             out = [fingerprint(t.as_py() or b"", shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.int64())], [*rest, "fp"])
 
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("content"))
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, fp bigint")
+    return base.mapInArrow(run, base.select(*rest).schema.add("fp", "long"))
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -100,9 +103,10 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def simhash_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, carry: list[str] | None = None
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``fingerprint`` (16 hex digits), ``component_id``, ``fp`` (the same as a number).
+    """One row per row of ``docs``: id, ``fingerprint`` (16 hex digits), ``component_id``, ``component`` (a number that
+    all documents of a class share), and the columns ``carry`` of the input.
 
     Documents whose fingerprints differ in at most two bits are linked; ``component_id`` is the smallest id that
     links reach. Equal fingerprints are one class from the start, so groups of copies of any size cost one row.
@@ -110,7 +114,7 @@ def simhash_dedup(
     NULL texts have no words, as empty ones; their fingerprint is zero, and it is linked like any other. A NULL id is
     linked too but never names a component. Extra columns are ignored; an empty table gives an empty result.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, shingle))
+    prints = stored(fingerprints(docs, id_col, text_col, shingle, carry or []))
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("low")))
     comps = stored(components(near_links(classes)))
     named = stored(
@@ -119,7 +123,11 @@ def simhash_dedup(
         )
     )
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = stored(named.join(lows, "component").select("of_fp", "component_id"))
+    ids = stored(named.join(lows, "component").select("of_fp", "component", "component_id"))
     return prints.join(ids, F.col("fp") == F.col("of_fp")).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
+        F.col("id").alias(id_col),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        "component",
+        *[F.col(f"carried_{c}").alias(c) for c in carry or []],
     )
