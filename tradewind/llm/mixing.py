@@ -222,17 +222,12 @@ def mix_sources(
     return Mix(laid, sources, slots, s)
 
 
-@F.pandas_udf("string")
-def word_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
+def words_in_spans(text: str | None, spans) -> str | None:
     """The words of the spans joined by spaces; the text as it is if they cover it all."""
-
-    def cut(t, pairs):
-        parts = (t or "").encode().split()
-        if sum(p["high"] - p["low"] for p in pairs) == len(parts):
-            return t
-        return b" ".join(w for p in pairs for w in parts[p["low"] : p["high"]]).decode()
-
-    return pd.Series([cut(t, p) for t, p in zip(text, spans, strict=True)], dtype=object)
+    parts = (text or "").encode().split()
+    if sum(p["high"] - p["low"] for p in spans) == len(parts):
+        return text
+    return b" ".join(w for p in spans for w in parts[p["low"] : p["high"]]).decode()
 
 
 def mixed_documents(
@@ -248,4 +243,9 @@ def mixed_documents(
     joined = docs.join(
         spans.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("id_of_mix")) & (key == F.col("key_of_mix"))
     )
-    return joined.withColumn(text_col, word_spans(F.col(text_col), F.col("spans_of_mix"))).select(*docs.columns)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([words_in_spans(t, p) for t, p in zip(text, spans, strict=True)], dtype=object)
+
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col("spans_of_mix"))).select(*docs.columns)
