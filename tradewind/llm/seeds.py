@@ -236,7 +236,9 @@ def repeated_spans(base: DataFrame, s: Seeding, resolve, light: int) -> DataFram
     read = scan(base, s, anchors, keys).groupBy("key", "around").agg(F.first("anchor_at").alias("anchor_at"), F.first("content").alias("content"))
     mixed = stored(variants.join(open_keys, "key").join(read, ["key", "around"]).select("key", "around", "n", "texts", "anchor_at", "content"))
     few = mixed.where(F.col("texts") <= light).drop("texts")
-    partly = resolve(few.repartition("key").sortWithinPartitions("key"), s)
+    # A fixed number of tasks: these are long for their few bytes, so small partitions must not be put together.
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partly = resolve(few.repartition(tasks, "key").sortWithinPartitions("key"), s)
     partly = partly.unionAll(window_counts(mixed.where(F.col("texts") > light).drop("texts"), s))
     empty = F.lit(None).cast("array<struct<low:int,high:int>>")
     whole = variants.where("n > 1").select("key", "around", empty.alias("spans"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4 << 20  # bytes of text that are worked on at once; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text that are worked on at once; a longer text is a chunk of its own
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -46,7 +46,7 @@ class Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            size = max(n + 1, CHUNK + 1)
+            size = max(n + 1, 2 * len(self.up), CHUNK // 2 + 1)
             inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
             self.up, self.down = (np.full(size, m, np.uint64) for m in (MULTIPLIER, inverse))
             self.up[0] = self.down[0] = 1
