@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             raw = np.frombuffer(text.encode(), np.uint8)
             doc, index = features(raw, np.array([0, len(raw)]), powers, s.bits)
             _, index, x = rows_of(doc, index, 1, s.bits)
-            made.append((np.append(0, index), np.append(1.0, x), label))
+            made.append((np.append(0, index).astype(np.int32), np.append(1.0, x).astype(np.float32), label))
         count = np.bincount(pdf["label"], minlength=2) + 1
         weight = np.maximum(count[::-1] / count, 1.0) ** s.balance
         for _ in range(s.epochs):
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         return pd.DataFrame({"feature": some, "weight": w[some], "rows": len(pdf)})
 
     parts = sample.groupBy("shard").applyInPandas(fit, "feature bigint, weight double, rows bigint")
-    model = parts.toPandas()  # at most shards times features
+    model = parts.toPandas().sort_values(["feature", "weight"])  # at most shards times features, added up in one order
     total = np.zeros(1 << s.bits)
     if len(model):
         np.add.at(total, model["feature"].to_numpy(), model["weight"].to_numpy() / s.shards)
@@ -142,8 +142,8 @@ def scorer(spark: SparkSession, weights: np.ndarray, s: Settings):
         for i, j in chunks(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             first, index, x = rows_of(*features(part, at, powers, s.bits), j - i, s.bits)
-            total = np.concatenate([[0.0], np.cumsum(model.value[index] * x)])
-            out.append(sigmoid(total[first[1:]] - total[first[:-1]] + model.value[0]))
+            row = np.repeat(np.arange(j - i), np.diff(first))
+            out.append(sigmoid(np.bincount(row, model.value[index] * x, minlength=j - i) + model.value[0]))
         return pa.array(np.concatenate(out))
 
     return score
