@@ -14,14 +14,12 @@ def first_per_key(
 ) -> DataFrame:
     """Keep the first row of each key by ``order_by`` (SQL order terms, such as "seq DESC").
 
-    Without ``order_by`` the order is a digest of the row and its NULLs, so the survivor does not
-    depend on the partitioning; columns with ``ignore_prefix`` (metadata of the run) stay out of it.
+    Rows that the order leaves equal are settled by a digest of the row and its NULLs, so the survivor never
+    depends on the partitioning; columns with ``ignore_prefix`` (metadata of the run) stay out of it.
     Spark turns the filter on the row number into a per-task limit before the shuffle: a key that
     holds a large share of all rows leaves each map task as one row.
     """
-    order = ", ".join(order_by)
-    if not order:
-        told = [f"`{c}`" for c in df.columns if not c.startswith(ignore_prefix)]
-        order = f"xxhash64({', '.join([*told, *[f'{c} IS NULL' for c in told]])})"
+    told = [f"`{c}`" for c in df.columns if not c.startswith(ignore_prefix)]
+    order = ", ".join([*order_by, f"xxhash64({', '.join([*told, *[f'{c} IS NULL' for c in told]])})"])
     place = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})"
     return df.selectExpr("*", f"{place} AS {_RANK}").filter(f"{_RANK} = 1").drop(_RANK)
