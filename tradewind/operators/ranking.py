@@ -2,55 +2,55 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+RANGES = 64
+_VALUES, _KEYS, _BUCKET, _SPLIT, _BEFORE = "__values", "__keys", "__bucket", "__split", "__before"
 
-_SLOT = "__slot"
-_PART = "__part"
-_BEFORE = "__before"
-_INDEX_BITS = 33  # monotonically_increasing_id: partition above, position inside it below
 
+def _borders(df: DataFrame, number: str) -> DataFrame:
+    """Values that cut ``number`` into ranges of about equal size, as a scalar subquery of one row."""
+    shares = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    return df.selectExpr(f"array_distinct(percentile_approx({number}, array({shares}))) AS borders").scalar()
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the session; only a local session may fall back to a scratch folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="tradewind-checkpoint-")
-    context.setCheckpointDir(configured)
 
+def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
+    """Add ``name`` = 1..n by ``value`` descending, NULLs last, then by the unique ``key``.
 
-def global_rank(df: DataFrame, order_by: Sequence[Column], name: str, partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1..n by ``order_by``, which must end in a unique key.
+    A few quantiles of the values are the borders of buckets: one bucket for each stretch between two borders, and one
+    for each border itself, which takes a value that very many rows share. In such a bucket only the key orders the rows,
+    so it is cut again at quantiles of the keys. Rows are numbered inside their bucket and moved up by what
+    the buckets before hold. The borders are scalar subqueries: no job runs while the plan is built, and both uses of
+    the buckets see the same ones. What passes through one task, and is broadcast, has one row per bucket, of which there are
+    at most ``2 * RANGES * RANGES``.
 
-    Rows are split into ordered ranges, sorted and numbered inside their range, and shifted by the
-    number of rows in the ranges before. The numbered rows are checkpointed because both
-    passes have to see the same range borders: the sample that sets them is not repeatable.
-    What is broadcast has one row per range, never one per row.
+    Keys that aren't numbers are cut by their first seven bytes; many keys with one beginning then share a bucket.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (
-        df.repartitionByRange(*order_by) if partitions is None else df.repartitionByRange(partitions, *order_by)
+    kind = df.schema[key].dataType
+    number = key if isinstance(kind, NumericType) else f"CAST(conv(hex(substr(CAST({key} AS STRING), 1, 7)), 16, 10) AS BIGINT)"
+    marked = df.withColumn(_VALUES, _borders(df, value)).withColumn(_KEYS, _borders(df, number))
+    reached = f"size(filter({_VALUES}, b -> b >= {value}))"
+    at_border = f"coalesce(array_contains({_VALUES}, {value}), false)"
+    placed = marked.selectExpr(
+        f"* EXCEPT ({_VALUES}, {_KEYS})",
+        f"IF({value} IS NULL, {2 * RANGES + 1}, 2 * {reached} - IF({at_border}, 1, 0)) AS {_BUCKET}",
+        f"IF({at_border} OR {value} IS NULL, coalesce(size(filter({_KEYS}, b -> b < {number})), 0), 0) AS {_SPLIT}",
     )
-    slot = "monotonically_increasing_id()"
-    placed = ranged.sortWithinPartitions(*order_by).selectExpr("*", f"{slot} AS {_SLOT}").checkpoint()
-    part = f"shiftright({_SLOT}, {_INDEX_BITS})"
-    sizes = placed.groupBy(F.expr(f"{part} AS {_PART}")).agg(F.expr("COUNT(*) AS n"))
-    # One row per range: the ordered running sum is over a few thousand rows at most.
+    sizes = placed.groupBy(_BUCKET, _SPLIT).agg(F.expr("COUNT(*) AS n"))
     offsets = sizes.selectExpr(
-        _PART,
-        f"coalesce(SUM(n) OVER (ORDER BY {_PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {_BEFORE}",
+        f"{_BUCKET} AS of_bucket",
+        f"{_SPLIT} AS of_split",
+        f"coalesce(SUM(n) OVER (ORDER BY {_BUCKET}, {_SPLIT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        f" AS {_BEFORE}",
+    )
+    inside = f"row_number() OVER (PARTITION BY {_BUCKET}, {_SPLIT} ORDER BY {value} DESC, {key})"
+    numbered = placed.selectExpr("*", f"{inside} AS {name}_inside")
+    same = (F.col(_BUCKET) == F.col("of_bucket")) & (F.col(_SPLIT) == F.col("of_split"))
+    return numbered.join(F.broadcast(offsets), same).selectExpr(
+        f"* EXCEPT ({_BUCKET}, {_SPLIT}, of_bucket, of_split, {_BEFORE}, {name}_inside)", f"{_BEFORE} + {name}_inside AS {name}"
     )
-    numbered = placed.selectExpr("*", f"{part} AS {_PART}").join(F.broadcast(offsets), _PART)
-    place = f"{_BEFORE} + {_SLOT} - shiftleft({_PART}, {_INDEX_BITS}) + 1"
-    return numbered.selectExpr("*", f"{place} AS {name}").drop(_SLOT, _PART, _BEFORE)
 
 
 def small_rank(order_by: str) -> str:

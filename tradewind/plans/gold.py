@@ -1,6 +1,6 @@
 """Gold: customer, product, sales and cohort tables from the cleaned tables.
 
-Completed orders only, unless a function says otherwise. Sums of money are exact (whole cents) until
+Completed orders only, unless a function says otherwise. Sums of money are exact (whole millionths) until
 the last step, so a result does not depend on the partitioning.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tradewind.config import Thresholds
 from tradewind.functions import calendar, segments
-from tradewind.functions.money import cents_sum, percent, ratio, total_of_cents
+from tradewind.functions.money import micros_sum, percent, ratio, total_of_micros
 from tradewind.functions.sql import add, aggregate, text
 from tradewind.operators.ranking import global_rank, small_rank
 
@@ -69,9 +69,9 @@ def sales_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
         ["order_id", "product_id"],
         {
             "quantity": "SUM(quantity)",
-            "revenue_cents": cents_sum("line_total_corrected"),
-            "discount_cents": cents_sum("discount_amount"),
-            "price_cents": cents_sum("unit_price"),
+            "revenue_micros": micros_sum("line_total_corrected"),
+            "discount_micros": micros_sum("discount_amount"),
+            "price_micros": micros_sum("unit_price"),
             "priced_lines": "COUNT(unit_price)",
             "lines": "COUNT(*)",
         },
@@ -83,11 +83,11 @@ def sales_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
 ORDER_PARTS = {
     "orders": "COUNT(order_id)",
     "priced_orders": "COUNT(order_total)",
-    "revenue_cents": cents_sum("order_total"),
+    "revenue_micros": micros_sum("order_total"),
 }
-REVENUE = total_of_cents("revenue_cents")
+REVENUE = total_of_micros("revenue_micros")
 AVERAGE_ORDER = f"{REVENUE} / NULLIF(SUM(priced_orders), 0)"
-LINE_PARTS = ("quantity", "revenue_cents", "discount_cents", "price_cents", "priced_lines", "lines")
+LINE_PARTS = ("quantity", "revenue_micros", "discount_micros", "price_micros", "priced_lines", "lines")
 
 
 def _line_sums(discounts: str, line_count: str) -> dict[str, str]:
@@ -95,9 +95,9 @@ def _line_sums(discounts: str, line_count: str) -> dict[str, str]:
     return {
         "total_quantity_sold": "SUM(quantity)",
         "total_revenue": REVENUE,
-        discounts: total_of_cents("discount_cents"),
+        discounts: total_of_micros("discount_micros"),
         line_count: "SUM(lines)",
-        "avg_selling_price": f"{total_of_cents('price_cents')} / NULLIF(SUM(priced_lines), 0)",
+        "avg_selling_price": f"{total_of_micros('price_micros')} / NULLIF(SUM(priced_lines), 0)",
     }
 
 
@@ -115,8 +115,8 @@ def customer_order_metrics(orders: DataFrame) -> DataFrame:
         ["customer_id", "order_year"],
         {
             **ORDER_PARTS,
-            "tax_cents": cents_sum("tax_amount"),
-            "shipping_cents": cents_sum("shipping_cost"),
+            "tax_micros": micros_sum("tax_amount"),
+            "shipping_micros": micros_sum("shipping_cost"),
             "last": "MAX(order_date)",
             "first": "MIN(order_date)",
             "months": calendar.month_mask("order_month"),
@@ -131,8 +131,8 @@ def customer_order_metrics(orders: DataFrame) -> DataFrame:
             "avg_order_value": AVERAGE_ORDER,
             "last_order_date": "MAX(last)",
             "first_order_date": "MIN(first)",
-            "total_tax_paid": total_of_cents("tax_cents"),
-            "total_shipping_paid": total_of_cents("shipping_cents"),
+            "total_tax_paid": total_of_micros("tax_micros"),
+            "total_shipping_paid": total_of_micros("shipping_micros"),
             "active_years": "COUNT(order_year)",
             "active_months": calendar.months_in_masks("months"),
         },
@@ -213,13 +213,16 @@ def customer_analytics(
 
 
 def customer_order_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """The short variant: every customer with counts and dates of orders of any status."""
+    """The short variant: every customer with counts and dates of orders of any status.
+
+    Cleaning leaves each order id once, so the distinct orders are the orders.
+    """
     per_customer = aggregate(
         orders,
         ["customer_id"],
         {
             "total_orders": "COUNT(order_id)",
-            "unique_orders": "COUNT(DISTINCT order_id)",
+            "unique_orders": "COUNT(order_id)",
             "last_order_date": "MAX(order_date)",
             "first_order_date": "MIN(order_date)",
         },
@@ -294,9 +297,9 @@ def product_figures(
 def product_analytics(
     products: DataFrame, sales: DataFrame, as_of: date, thresholds: Thresholds = Thresholds()
 ) -> DataFrame:
-    """Product figures with revenue_rank, the place among all products; starts a job for the rank."""
+    """Product figures with revenue_rank, the place among all products."""
     figures = product_figures(products, sales, as_of, thresholds)
-    return global_rank(figures, [F.desc("total_revenue"), F.asc("product_id")], "revenue_rank")
+    return global_rank(figures, "total_revenue", "product_id", "revenue_rank")
 
 
 # Sales -----------------------------------------------------------------------------------------
@@ -309,8 +312,8 @@ def monthly_sales(orders: DataFrame) -> DataFrame:
         ["order_year", "order_month", "customer_id"],
         {
             **ORDER_PARTS,
-            "tax_cents": cents_sum("tax_amount"),
-            "shipping_cents": cents_sum("shipping_cost"),
+            "tax_micros": micros_sum("tax_amount"),
+            "shipping_micros": micros_sum("shipping_cost"),
             "first": "MIN(order_date)",
             "last": "MAX(order_date)",
         },
@@ -323,8 +326,8 @@ def monthly_sales(orders: DataFrame) -> DataFrame:
             "unique_customers": "COUNT(customer_id)",
             "total_revenue": REVENUE,
             "avg_order_value": AVERAGE_ORDER,
-            "total_tax": total_of_cents("tax_cents"),
-            "total_shipping": total_of_cents("shipping_cents"),
+            "total_tax": total_of_micros("tax_micros"),
+            "total_shipping": total_of_micros("shipping_micros"),
             "month_start_date": "MIN(first)",
             "month_end_date": "MAX(last)",
         },
@@ -365,19 +368,23 @@ def daily_sales(orders: DataFrame) -> DataFrame:
 def category_sales(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Per category: quantity, money, distinct orders, customers and products, rank by revenue.
 
-    Three independent distinct counts: Spark expands the rows and deduplicates by (category, value), so a
-    category with most of the rows is still spread over all tasks.
+    Added up per (category, product), (category, customer) and (category, order) first: what is to be counted
+    are then rows, and a category with most of the lines is spread over all tasks. The lines are not multiplied.
     """
+    sold = sales.join(products.select("product_id", "category"), "product_id")
+    per_product = aggregate(sold, ["category", "product_id"], {part: f"SUM({part})" for part in LINE_PARTS})
+
+    def counted(column: str, name: str) -> DataFrame:
+        found = aggregate(aggregate(sold, ["category", column], {"n": "COUNT(*)"}), ["category"], {name: f"COUNT({column})"})
+        return found.withColumnRenamed("category", f"category_of_{name}")
+
     totals = aggregate(
-        sales.join(products.select("product_id", "category"), "product_id"),
-        ["category"],
-        {
-            **_line_sums("total_discounts", "total_items"),
-            "unique_orders": "COUNT(DISTINCT order_id)",
-            "unique_customers": "COUNT(DISTINCT customer_id)",
-            "unique_products": "COUNT(DISTINCT product_id)",
-        },
+        per_product, ["category"], {**_line_sums("total_discounts", "total_items"), "unique_products": "COUNT(product_id)"}
     )
+    for column, name in (("order_id", "unique_orders"), ("customer_id", "unique_customers")):
+        counts = counted(column, name)
+        of = f"category_of_{name}"
+        totals = totals.join(counts, F.col("category").eqNullSafe(F.col(of))).drop(of)
     ranked = add(
         totals,
         {
@@ -400,7 +407,7 @@ def customer_days(customers: DataFrame, orders: DataFrame) -> DataFrame:
     days = aggregate(
         completed(orders),
         ["customer_id", "order_date"],
-        {"revenue_cents": cents_sum("order_total"), "orders": "COUNT(order_id)"},
+        {"revenue_micros": micros_sum("order_total"), "orders": "COUNT(order_id)"},
     )
     known = days.join(customers.select("customer_id"), "customer_id", "left_semi")
     return add(
@@ -425,7 +432,7 @@ def _cohorts(days: DataFrame, age: str) -> DataFrame:
         add(days, {"months_since_first_purchase": age}),
         [*group, "customer_id"],
         {
-            "revenue_cents": "SUM(revenue_cents)",
+            "revenue_micros": "SUM(revenue_micros)",
             "orders": "SUM(orders)",
             "starters": "count_if(order_date = first_purchase_date)",
         },

@@ -105,13 +105,22 @@ def last_cohort_month(cohorts: DataFrame) -> int:
 def retention_matrix(cohorts: DataFrame, months: Sequence[int] | None = None) -> DataFrame:
     """Cohorts in rows, full months since the first purchase in columns ``month_<n>``, retention inside.
 
-    ``months`` names the columns; by default all ages that occur, which costs one small job.
+    The columns are all ages up to the highest that occurs, which is found by one small job. ``months`` may name
+    more; an age that occurs and isn't named is an error, as its rates would be lost.
     """
-    ages = list(range(last_cohort_month(cohorts) + 1)) if months is None else list(months)
+    highest = last_cohort_month(cohorts)
+    ages = list(range(highest + 1)) if months is None else list(months)
+    if highest not in ages and not cohorts.isEmpty():
+        raise ValueError(f"cohorts reach the age of {highest} months, which is not among the columns")
     wide = cohorts.groupBy("cohort_month").pivot("months_since_first_purchase", ages).agg(F.first("retention_rate"))
     return wide.selectExpr("cohort_month", *[f"`{age}` AS month_{age}" for age in ages]).orderBy("cohort_month")
 
 
+def retention_rates(cohorts: DataFrame) -> DataFrame:
+    """The matrix in long form, one row per cohort and age: as many rows as there are, whatever their ages."""
+    return cohorts.select("cohort_month", "months_since_first_purchase", "retention_rate")
+
+
 def cohort_sizes_at_start(cohorts: DataFrame) -> DataFrame:
     started = cohorts.filter("months_since_first_purchase = 0")
     return started.select("cohort_month", "cohort_size").orderBy("cohort_month")
@@ -164,8 +173,9 @@ def order_value_histogram(customers: DataFrame, bins: int = 20, column: str = "a
 
     The two borders come from one scalar subquery, not from a job of their own.
     """
-    borders = customers.selectExpr(f"struct(MIN({column}) AS low, MAX({column}) AS high) AS borders").scalar()
-    values = customers.filter(f"{column} IS NOT NULL").select(F.col(column).alias("v"), borders.alias("b"))
+    values = customers.select(F.col(column).alias("v")).filter("v IS NOT NULL")
+    borders = values.selectExpr("struct(MIN(v) AS low, MAX(v) AS high) AS borders").scalar()
+    values = values.select("v", borders.alias("b"))
     place = f"floor({bins} * (v - b.low) / NULLIF(b.high - b.low, 0.0D)) + 1"
     binned = values.selectExpr(f"CAST(least(coalesce({place}, 1), {bins}) AS INT) AS bin", "b.low", "b.high")
     counted = aggregate(binned, ["bin", "low", "high"], {"customer_count": "COUNT(*)"})

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from tradewind.config import TABLES
-from tradewind.functions.money import money_sum
+from tradewind.functions.money import money_sum, off_scale
 from tradewind.functions.sql import aggregate, array_of, long_form, text
 from tradewind.operators.rules import AnyRule, Rule, UniqueRule, check_rules
 from tradewind.plans.bronze import row_counts, union_reports
@@ -139,6 +139,25 @@ def cross_table_checks(silver: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+# Columns that are added up as money.
+MONEY_COLUMNS = {
+    "orders": ("order_total", "tax_amount", "shipping_cost"),
+    "order_items": ("line_total_corrected", "discount_amount", "unit_price"),
+}
+
+
+def money_scale_checks(silver: Mapping[str, DataFrame]) -> DataFrame:
+    """check_name, failed_count, passed: amounts with more decimals than sums of money keep; one scan per table."""
+    reports = []
+    for table, columns in MONEY_COLUMNS.items():
+        totals = aggregate(silver[table], [], {c: f"count_if({off_scale(c)})" for c in columns})
+        rows = [
+            {"check_name": text(f"{table}_{c}_off_scale"), "failed_count": c, "passed": f"{c} = 0"} for c in columns
+        ]
+        reports.append(long_form(totals, rows))
+    return union_reports(reports)
+
+
 def checks_passed(checks: DataFrame) -> DataFrame:
     return aggregate(checks, [], {"checks_passed": "count_if(passed)", "checks_total": "COUNT(*)"})
 
@@ -169,16 +188,26 @@ def _repeated_values(name: str, df: DataFrame, key: str) -> DataFrame:
 
 
 def raw_checks(raw: Mapping[str, DataFrame]) -> DataFrame:
-    """check_name, failed_count, passed for the tables as they arrived."""
+    """check_name, failed_count, passed for the tables as they arrived.
+
+    Repeated ids and the cell checks of a table share one aggregation by its key; only the e-mail addresses need another.
+    """
     customers, products = raw["customers"], raw["products"]
-    empty_cells = " + ".join(f"count_if(`{c}` IS NULL)" for c in customers.columns)
+    empty_cells = " + ".join(f"CAST(`{c}` IS NULL AS INT)" for c in customers.columns)
+
+    def by_key(df: DataFrame, key: str, repeats: str, cells: Mapping[str, str]) -> DataFrame:
+        per_key = aggregate(df, [key], {"n": "COUNT(*)", **{name: f"SUM({sql})" for name, sql in cells.items()}})
+        totals = aggregate(per_key, [], {repeats: "SUM(n - 1)", **{name: f"SUM({name})" for name in cells}})
+        failed = {name: f"CAST(coalesce({name}, 0) AS BIGINT)" for name in (repeats, *cells)}
+        return long_form(
+            totals, [{"check_name": text(n), "failed_count": c, "passed": f"{c} = 0"} for n, c in failed.items()]
+        )
+
     return union_reports(
         [
-            _repeated_values("duplicate_customer_ids", customers, "customer_id"),
+            by_key(customers, "customer_id", "duplicate_customer_ids", {"null_customer_values": empty_cells}),
             _repeated_values("duplicate_customer_emails", customers, "email"),
-            _one_check("null_customer_values", customers, empty_cells),
-            _repeated_values("duplicate_product_ids", products, "product_id"),
-            _one_check("price_not_above_cost", products, "count_if(price <= cost)"),
+            by_key(products, "product_id", "duplicate_product_ids", {"price_not_above_cost": "CAST(price <= cost AS INT)"}),
             _repeated_values("duplicate_order_ids", raw["orders"], "order_id"),
             _repeated_values("duplicate_order_item_ids", raw["order_items"], "order_item_id"),
         ]
