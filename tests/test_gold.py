@@ -85,7 +85,7 @@ def test_sales_lines_are_one_row_per_order_and_product(sales):
     rows = {(r.order_id, r.product_id): r for r in sales.collect()}
     assert set(rows) == {("o1", "pen"), ("o1", "ball"), ("o2", "ball"), ("o4", "desk"), ("o3", "missing")}
     pen = rows["o1", "pen"]
-    assert (pen.quantity, pen.revenue_cents, pen.discount_cents, pen.lines, pen.customer_id) == (15, 3000, 100, 2, "a")
+    assert (pen.quantity, pen.revenue_micros, pen.discount_micros, pen.lines, pen.customer_id) == (15, 30_000_000, 1_000_000, 2, "a")
 
 
 def test_customer_order_metrics(customers):

@@ -33,28 +33,46 @@ def test_hot_keys_are_cut_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+@pytest.mark.parametrize("order", [["seq"], ["seq DESC"]])
+def test_ties_of_the_order_do_not_depend_on_partitions(spark, order):
+    rows = [(k, n % 2, n) for k in range(40) for n in range(8)]  # four rows share each (k, seq)
+    df = spark.createDataFrame(rows, "k int, seq int, v int")
+    results = [sorted(first_per_key(df.repartition(p), ["k"], order).collect()) for p in (1, 4, 16, 64)]
+    assert all(r == results[0] for r in results) and len(results[0]) == 40
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 16])
 def test_global_rank_equals_a_plain_window(spark, partitions):
-    # A third of the rows tie on the first key.
-    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("x"))
-    order = [F.desc("x"), F.asc("id")]
-    ranked = {r.id: r.place for r in global_rank(df, order, "place", partitions).collect()}
+    # A third of the rows tie on the value, and some have none.
+    value = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 97)
+    df = spark.range(3000).select("id", value.alias("x")).repartition(partitions)
+    ranked = {r.id: r.place for r in global_rank(df, "x", "id", "place").collect()}
     expected = {r.id: r.place for r in df.selectExpr("*", small_rank("x DESC, id") + " AS place").collect()}
     assert ranked == expected
     assert sorted(ranked.values()) == list(range(1, 3001))
 
 
+def test_global_rank_with_text_keys(spark):
+    df = spark.range(500).selectExpr("concat('P', lpad(CAST(id AS STRING), 5, '0')) AS k", "CAST(id % 5 AS DOUBLE) AS x")
+    ranked = {r.k: r.place for r in global_rank(df, "x", "k", "place").collect()}
+    expected = {r.k: r.place for r in df.selectExpr("*", small_rank("x DESC, k") + " AS place").collect()}
+    assert ranked == expected
+
+
 def test_global_rank_of_nothing(spark):
     df = spark.createDataFrame([], "id int, x int")
-    assert global_rank(df, [F.desc("x"), F.asc("id")], "place").count() == 0
+    assert global_rank(df, "x", "id", "place").count() == 0
 
 
-def test_global_rank_moves_no_row_to_a_single_task(spark):
-    df = spark.range(1000)
-    plan = global_rank(df, [F.desc("id")], "place", 8)._jdf.queryExecution().executedPlan().toString()
-    # Only the per-range counts may meet in one task; they are what is broadcast.
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+def test_global_rank_cuts_a_value_that_most_rows_share(spark):
+    df = spark.range(20_000).selectExpr("id", "IF(id % 10 = 0, id, 0) AS x")
+    plan = global_rank(df, "x", "id", "place")
+    sizes = [r[0] for r in plan.groupBy(F.expr("CAST((place - 1) DIV 500 AS INT)")).count().select("count").collect()]
+    assert sizes == [500] * 40
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    window = text[text.index("Window [row_number()"):]
+    assert "__bucket" in window.splitlines()[0] and "__split" in window.splitlines()[0]
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_cluster_keeps_rows_and_sorts_files(spark, tmp_path):
@@ -134,16 +152,55 @@ def test_email_rule_needs_a_dot_and_an_end(spark):
 
 
 def test_money_is_exact_for_any_order_and_size(spark):
-    from tradewind.functions.money import cents, money_avg, money_sum
+    from tradewind.functions.money import micros, money_avg, money_sum
 
-    amounts = [0.1, 0.2, -0.3, 1.005, -12.34, 136.57, None, 1e11 + 0.01, 0.29, 4.35]
+    amounts = [0.1, 0.2, -0.3, 1.005, -12.34, 136.57, None, 1e9 + 0.01, 0.29, 4.35]
     df = spark.createDataFrame([(a,) for a in amounts * 30], "x double")
     sums = {p: df.repartition(p).selectExpr(f"{money_sum('x')} AS s", f"{money_avg('x')} AS a").first() for p in (1, 4, 64)}
     assert len(set(sums.values())) == 1
-    whole = [r[0] for r in spark.createDataFrame([(a,) for a in amounts], "x double").selectExpr(cents("x")).collect()]
-    assert whole == [10, 20, -30, 100, -1234, 13657, None, 10000000000001, 29, 435]  # 1.005 is below the tie as a double
-    assert sums[1].s == sum(w for w in whole if w is not None) * 30 / 100
-    # Far beyond 64-bit cents in total.
-    large = spark.range(2000).selectExpr("9.0e13D AS x").selectExpr(f"{money_sum('x')} AS s").first().s
+    whole = [r[0] for r in spark.createDataFrame([(a,) for a in amounts], "x double").selectExpr(micros("x")).collect()]
+    assert whole == [100000, 200000, -300000, 1005000, -12340000, 136570000, None, 1000000000010000, 290000, 4350000]
+    assert sums[1].s == sum(w for w in whole if w is not None) * 30 / 1_000_000
+    # Far beyond 64-bit millionths in total.
+    large = spark.range(200_000).selectExpr("9.0e11D AS x").selectExpr(f"{money_sum('x')} AS s").first().s
     assert large == 1.8e17
     assert spark.createDataFrame([(None,)], "x double").selectExpr(f"{money_sum('x')} AS s").first().s is None
+
+
+def test_money_keeps_amounts_below_a_cent(spark):
+    from tradewind.functions.money import money_sum
+
+    df = spark.createDataFrame([(0.004,)] * 1000, "x double")
+    assert df.selectExpr(f"{money_sum('x')} AS s").first().s == 4.0
+
+
+def test_amounts_beyond_the_scale_are_reported(spark):
+    from tradewind.plans.quality import money_scale_checks
+
+    orders = spark.createDataFrame([(1.2345, 0.0, None), (0.1234567, 1e13, 2.5)], "order_total double, tax_amount double, shipping_cost double")
+    items = spark.createDataFrame([(99.999999, 0.1, 3.0)], "line_total_corrected double, discount_amount double, unit_price double")
+    found = {r.check_name: r.failed_count for r in money_scale_checks({"orders": orders, "order_items": items}).collect()}
+    assert {k: v for k, v in found.items() if v} == {"orders_order_total_off_scale": 1, "orders_tax_amount_off_scale": 1}
+
+
+def test_record_hash_is_murmur3_of_the_joined_row(spark):
+    from tradewind.functions.text import record_hash
+
+    def murmur3(data, seed=42):
+        mask = 0xFFFFFFFF
+        rotate = lambda x, r: ((x << r) | (x >> (32 - r))) & mask
+        scramble = lambda k: rotate(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h, cut = seed, len(data) // 4 * 4
+        words = [int.from_bytes(data[i:i + 4], "little") for i in range(0, cut, 4)]
+        # Spark feeds each byte of the tail as a block of its own, sign extended.
+        for k in words + [(b - 256 if b > 127 else b) & mask for b in data[cut:]]:
+            h = (rotate(h ^ scramble(k), 13) * 5 + 0xE6546B64) & mask
+        h ^= len(data)
+        h = (h ^ (h >> 16)) * 0x85EBCA6B & mask
+        h = (h ^ (h >> 13)) * 0xC2B2AE35 & mask
+        h ^= h >> 16
+        return h - (1 << 32) if h >> 31 else h
+
+    df = spark.createDataFrame([(1, "Änne", None), (22, "", "xyz")], "a int, b string, c string")
+    found = [r.h for r in df.selectExpr(f"{record_hash(['a', 'b', 'c'])} AS h").collect()]
+    assert found == [murmur3("1|Änne".encode()), murmur3(b"22||xyz")]

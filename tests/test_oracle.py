@@ -4,9 +4,12 @@ import pytest
 from compare import duck, duck_side, spark_side, type_differences
 
 import __spark_entry__ as entry_module
+from registry.oracle import all_oracles
+from registry.queries import all_queries
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+# The training-data queries have their own tests, beside their package.
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")

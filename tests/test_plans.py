@@ -2,12 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry_module
-from registry.queries import Shop
-from tradewind.plans import gold, kpis
+from registry.queries import Shop, all_queries
+from tradewind.plans import gold, insights, kpis, quality
 from tradewind.sources import retail
 
-QUERIES = entry_module.queries()
+QUERIES = all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +40,49 @@ def test_hot_groups_are_cut_before_every_shuffle(shop):
     for place, line in enumerate(plan):
         if "Exchange hashpartitioning" in line:
             below = " ".join(plan[place + 1:place + 3])
-            assert "partial_" in below or "WindowGroupLimit" in below or "keys=" in below
+            assert "partial_" in below or "WindowGroupLimit" in below
+
+
+def scans(df, table):
+    return physical(df).count(f"{table}.parquet")
+
+
+def test_category_sales_multiply_no_lines(shop):
+    assert "Expand" not in physical(shop.categories)
+
+
+def test_a_histogram_reads_its_input_once(shop, tmp_path):
+    path = str(tmp_path / "customers")
+    shop.customers.write.parquet(path)
+    stored = shop.spark.read.parquet(path)
+    histogram = insights.order_value_histogram(stored)
+    assert sorted(histogram.collect()) == sorted(insights.order_value_histogram(shop.customers).collect())
+
+
+def test_raw_checks_read_a_table_once_per_key(shop):
+    plan = quality.raw_checks(shop.raw)
+    assert scans(plan, "part") == 1 and scans(plan, "orders") == 1 and scans(plan, "lineitem") == 1
+    assert scans(plan, "customer") == 2  # by id, and by e-mail address
+
+
+def test_the_rank_starts_no_job_and_no_checkpoint(spark, shop):
+    group = "rank-plan"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        plan = gold.product_analytics(shop.silver["products"], shop.sales, retail.AS_OF, retail.THRESHOLDS)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+        assert "ExistingRDD" not in physical(plan)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_cohort_of_any_age_keeps_its_rates(spark):
+    cohorts = spark.createDataFrame([("1990-01", 0, 100.0), ("1990-01", 100, 25.0), ("1998-01", 0, 100.0)], "cohort_month string, months_since_first_purchase int, retention_rate double")
+    wide = {r.cohort_month: r for r in insights.retention_matrix(cohorts).collect()}
+    assert wide["1990-01"].month_100 == 25.0 and wide["1998-01"].month_100 is None
+    assert insights.retention_rates(cohorts).count() == 3
+    with pytest.raises(ValueError, match="100 months"):
+        insights.retention_matrix(cohorts, range(80))
 
 
 def test_revenue_adds_up_over_every_cut(shop):
