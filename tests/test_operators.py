@@ -86,6 +86,26 @@ def test_cluster_keeps_rows_and_sorts_files(spark, tmp_path):
     assert all(a.hi <= b.lo for a, b in zip(ranges, ranges[1:]))
 
 
+def test_every_cluster_column_skips_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(20_000).selectExpr(
+        "id AS order_id", "(id * 7919) % 500 AS customer_id", "date_add(DATE '2020-01-01', CAST((id * 31) % 700 AS INT)) AS order_date",
+        "concat('c', (id * 13) % 12) AS country",
+    )
+    for columns in (["order_id", "customer_id", "order_date"], ["customer_id", "country"]):
+        path = tmp_path / "_".join(columns)
+        cluster(df, columns, files=32).write.parquet(str(path))
+        files = [pq.ParquetFile(f) for f in path.glob("*.parquet")]
+        assert sum(f.metadata.num_rows for f in files) == 20_000 and len(files) == 32
+        for column in columns:
+            at = files[0].schema_arrow.get_field_index(column)
+            spans = [f.metadata.row_group(0).column(at).statistics for f in files]
+            middle = df.selectExpr(f"`{column}` AS x").orderBy("x").offset(10_000).first().x
+            read = sum(s.min <= middle <= s.max for s in spans)
+            assert read <= 20, (columns, column, read)
+
+
 def test_cluster_splits_a_hot_key(spark):
     rows = spark.range(3000).select(
         F.lit(1).alias("order_id"), F.lit(1).alias("product_id"), F.col("id").alias("order_item_id")

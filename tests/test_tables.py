@@ -65,12 +65,49 @@ def test_rewrite_clustered(spark, tmp_path):
     version = tables.rewrite_clustered(spark, "gold_daily_sales", path, files=4)
     assert version != path and spark.table("gold_daily_sales").count() == 200
     assert all(version.split(":")[-1] in f for f in spark.table("gold_daily_sales").inputFiles())
-    assert tables.read_layer(spark, path).count() == 200  # the old copy is untouched
+    assert tables.read_layer(spark, path).count() == 200
+    assert tables.current_path(spark, path) == version
     with pytest.raises(ValueError):
         tables.rewrite_clustered(spark, "something_else", path)
     spark.sql("DROP TABLE gold_daily_sales")
 
 
+def test_new_columns_survive_registration_and_compaction(spark, tmp_path):
+    path = str(tmp_path / "it's daily")
+    tables.overwrite(spark.range(50).withColumnRenamed("id", "order_date"), path)
+    tables.register(spark, "gold_daily_sales", path, properties=tables.gold_properties("daily_sales"))
+    wider = spark.range(80).select(F.col("id").alias("order_date"), (F.col("id") * 2).alias("revenue"), F.lit("x").alias("note"))
+    tables.overwrite(wider, path)
+    tables.register(spark, "gold_daily_sales", path)
+    assert spark.table("gold_daily_sales").columns == ["order_date", "revenue", "note"]
+    properties = {r.key: r.value for r in spark.sql("SHOW TBLPROPERTIES gold_daily_sales").collect()}
+    assert properties["business_ready"] == "true"
+    tables.overwrite(wider.withColumn("late", F.lit(1)), path)  # the entry does not know of this one
+    tables.rewrite_clustered(spark, "gold_daily_sales", path, files=3)
+    expected = sorted(wider.withColumn("late", F.lit(1)).collect())
+    assert sorted(spark.table("gold_daily_sales").collect()) == expected
+    assert sorted(tables.read_layer(spark, path).collect()) == expected
+    spark.sql("DROP TABLE gold_daily_sales")
+
+
+def test_a_failed_overwrite_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.overwrite(spark.range(7), path)
+    broken = spark.range(9).select(F.expr("IF(id = 8, CAST(raise_error('no') AS BIGINT), id)").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        tables.overwrite(broken, path)
+    assert tables.read_layer(spark, path).count() == 7
+
+
+def test_old_versions_are_removed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(1, 5):
+        tables.overwrite(spark.range(n), path)
+    versions = [p for p in tmp_path.iterdir() if "__v_" in p.name]
+    assert len(versions) == 2 and tables.read_layer(spark, path).count() == 4  # the last and the one before it
+    assert tables.remove_old_versions(spark, path) == 1 and tables.read_layer(spark, path).count() == 4
+
+
 def test_preview_drops_metadata(spark):
     columns = [F.lit(n).alias(f"c{n}") for n in range(12)]
     df = spark.range(9).select("id", F.lit(0).alias("bronze_x"), F.lit(0).alias("silver_y"), *columns)

@@ -18,6 +18,60 @@ from tradewind.operators.layout import CLUSTER_COLUMNS, cluster_table
 log = logging.getLogger(__name__)
 
 METADATA_PREFIXES = ("silver_", "bronze_")
+VERSION_MARK, POINTER_MARK = "__v_", "__current"
+
+
+# A table that is overwritten keeps its rows in a version directory beside its path, <path>__v_<id>; the small file
+# <path>__current names the version in force. A failed write leaves the pointer, and with it the table, as it was.
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's own readers and writers see them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def current_path(spark: SparkSession, path: str) -> str:
+    """Where the rows of a table are: the version in force, or the path itself if it was never overwritten."""
+    path = path.rstrip("/")
+    files, pointer = _hadoop(spark, path + POINTER_MARK)
+    if not files.exists(pointer):
+        return path
+    stream = files.open(pointer)
+    try:
+        version = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return path + version
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    """Put a version in force. The pointer is written beside and renamed, so a reader sees the old or the new one."""
+    files, pointer = _hadoop(spark, path + POINTER_MARK)
+    _, draft = _hadoop(spark, f"{path}{POINTER_MARK}_{version.removeprefix(VERSION_MARK)}")
+    stream = files.create(draft, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
+    renames = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    renames[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(files.makeQualified(draft), files.makeQualified(pointer), renames)
+
+
+def remove_old_versions(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> int:
+    """Delete the versions of a table that are neither in force nor in ``keep``; returns how many went."""
+    path = path.rstrip("/")
+    files, place = _hadoop(spark, path)
+    if not files.exists(place.getParent()):
+        return 0
+    wanted = {p.rstrip("/").rpartition("/")[2] for p in (current_path(spark, path), *keep)}
+    gone = 0
+    for status in files.listStatus(place.getParent()):
+        name = status.getPath().getName()
+        if name.startswith(place.getName() + VERSION_MARK) and name not in wanted:
+            files.delete(status.getPath(), True)
+            gone += 1
+    return gone
 
 
 def read_layer(
@@ -32,7 +86,7 @@ def read_layer(
         reader = reader.schema(schema)
     if merge_schema:
         reader = reader.option("mergeSchema", "true")
-    return reader.load(path)
+    return reader.load(current_path(spark, path))
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -48,14 +102,20 @@ def _inside(path: str, other: str) -> bool:
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet", sources: Sequence[str] = ()) -> int:
     """Replace the table at ``path``, schema included, and return the number of rows written.
 
-    The rows are counted by the write itself: the plan runs once. ``sources`` are the paths the plan
-    reads; overwriting one of them would delete the input before it is read.
+    The rows go to a new version, which is put in force when it is complete; the version before it stays for those
+    who are reading it, older ones are removed. The rows are counted by the write itself: the plan runs once.
+    ``sources`` are the paths the plan reads; a table is not to be replaced by what is read from it.
     """
     for source in sources:
         if _inside(path, source):
             raise ValueError(f"{path} is read by the plan that would overwrite it; write to a new version instead")
+    spark, path = df.sparkSession, path.rstrip("/")
+    before = current_path(spark, path)
+    version = f"{VERSION_MARK}{uuid4().hex[:12]}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).mode("overwrite").save(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).save(path + version)
+    _publish(spark, path, version)
+    remove_old_versions(spark, path, [before])
     return int(seen.get.get("rows", 0))
 
 
@@ -69,14 +129,30 @@ def rows_to_frame(spark: SparkSession, rows: Sequence[tuple], schema: StructType
     return spark.createDataFrame(list(rows), schema)
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def register(
     spark: SparkSession, name: str, path: str, fmt: str = "parquet", properties: Mapping[str, str] | None = None
 ) -> None:
-    """External catalog table over a path; an existing entry is pointed at the path and refreshed."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING {fmt} LOCATION '{path}'")
-    spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
-    if properties:
-        pairs = ", ".join(f"'{key}' = '{value}'" for key, value in properties.items())
+    """External catalog table over the version of a path that is in force.
+
+    An existing entry is pointed there and refreshed. If its columns aren't those of the files, it is made anew,
+    its properties included: an entry keeps the columns it was made with, and would hide the others.
+    """
+    place = current_path(spark, path)
+    kept: dict[str, str] = {}
+    if spark.catalog.tableExists(name):
+        columns = [(f.name, f.dataType) for f in spark.read.format(fmt).load(place).schema]
+        if [(f.name, f.dataType) for f in spark.table(name).schema] != columns:
+            kept = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+            kept = {k: v for k, v in kept.items() if not k.startswith(("spark.", "transient_"))}
+            spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING {fmt} LOCATION {_quoted(place)}")
+    spark.sql(f"ALTER TABLE {name} SET LOCATION {_quoted(place)}")
+    if stamped := {**kept, **(properties or {})}:
+        pairs = ", ".join(f"{_quoted(key)} = {_quoted(value)}" for key, value in stamped.items())
         spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({pairs})")
     spark.catalog.refreshTable(name)
 
@@ -106,20 +182,22 @@ def rewrite_clustered(
     files: int | None = None,
     layout_of: str | None = None,
 ) -> str:
-    """Rewrite a catalog table in clustered order and point the entry at the new copy.
+    """Rewrite a table in clustered order as a new version, and point its catalog entry there.
 
-    The copy goes to a new version directory beside ``path``: readers of the old files go on
-    undisturbed, and a failed rewrite leaves the table as it was. ``layout_of`` names the layout to use where
+    The files are read, not the entry, so columns that the entry doesn't know are kept. Readers of the old version go
+    on undisturbed, and a failed rewrite leaves the table as it was. ``layout_of`` names the layout to use where
     the catalog name is qualified. Returns the new path.
     """
     layout = layout_of or name
     if layout not in CLUSTER_COLUMNS:
         raise ValueError(f"no cluster columns are defined for {layout}")
-    version = f"{path.rstrip('/')}__v_{uuid4().hex[:12]}"
-    overwrite(cluster_table(spark.table(name), layout, files), version, fmt)
-    spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
-    spark.catalog.refreshTable(name)
-    return version
+    source = read_layer(spark, path, fmt)
+    clustered = cluster_table(source, layout, files)
+    if clustered.columns != source.columns:
+        raise ValueError(f"the clustered copy of {name} would have other columns than its source")
+    overwrite(clustered, path, fmt)
+    register(spark, name, path, fmt)
+    return current_path(spark, path)
 
 
 def preview(df: DataFrame, order_by: Sequence[str], columns: int = 10, rows: int = 3) -> DataFrame:
