@@ -56,6 +56,7 @@ def test_counts_come_from_the_writes(spark, finished):
         ("customer_analytics", "gc04_customer_analytics"), ("product_analytics", "gp09_product_analytics"),
         ("monthly_sales", "gs01_monthly_sales"), ("daily_sales", "gs06_daily_sales"),
         ("category_sales", "gs07_category_sales"), ("cohort_analysis", "gh03_cohort_analysis"),
+        ("cohort_by_month", "gh06_cohort_by_month"),
     ],
 )
 def test_stored_gold_equals_the_queries(spark, finished, small_dir, table, query):
@@ -87,13 +88,63 @@ def test_catalog_properties(spark, finished):
 def test_compaction_keeps_the_rows(spark, finished):
     run, _, chosen = finished
     name = f"{chosen.database}.silver_order_items"
-    before = sorted(r.order_item_id for r in spark.table(name).select("order_item_id").collect())
+    before = spark.table(name)
+    columns, rows = before.columns, sorted(map(str, before.collect()))
     run.compact("silver", "order_items", files=3)
-    assert sorted(r.order_item_id for r in spark.table(name).select("order_item_id").collect()) == before
+    after = spark.table(name)
+    assert after.columns == columns and sorted(map(str, after.collect())) == rows
+    assert sorted(map(str, run.read("silver", "order_items").collect())) == rows
     with pytest.raises(ValueError):
         run.compact("silver", "nothing")
 
 
+def test_all_tables_are_clustered_and_read_back(spark, finished):
+    run, report, chosen = finished
+    compacted = {n.removeprefix("compact_") for n in report.log.outcomes if n.startswith("compact_")}
+    assert compacted == {*[f"silver_{t}" for t in TABLES], *[f"gold_{t}" for t in medallion.CLUSTERED_GOLD]}
+    for name in compacted:
+        layer, _, table = name.partition("_")
+        path = tables.current_path(spark, chosen.layout.path(layer, table))
+        assert all(path.rpartition("/")[2] in f for f in spark.table(f"{chosen.database}.{name}").inputFiles())
+
+
+def test_checks_of_what_arrived_are_reported(finished):
+    _, report, _ = finished
+    assert {r.check_name: r.passed for r in report.raw_checks.collect()}["duplicate_customer_ids"] is False
+    shown = {r.table_name: r for r in report.bronze_validation.collect()}
+    assert set(shown) == set(TABLES) and all(not r.missing_columns and not r.extra_columns for r in shown.values())
+    assert {r.table_name for r in report.bronze_nulls.collect()} == set(TABLES)
+    assert all(r.passed for r in report.money_scale.collect())
+
+
+def test_reports_are_read_from_the_stored_tables(spark, finished, small_dir):
+    run, _, _ = finished
+    found = run.reports()
+    for name, query in (
+        ("retention_matrix", "an12_retention_matrix"), ("cohort_sizes", "an13_cohort_start_sizes"),
+        ("executive_metrics", "an14_executive_metrics"), ("order_value_histogram", "an16_order_value_histogram"),
+    ):
+        direct = entry_module.queries()[query](spark, small_dir)
+        assert canonical(direct.columns, found[name]().select(*direct.columns).collect()) == canonical(direct.columns, direct.collect())
+    assert all(build().columns for build in found.values())
+
+
+def test_required_rules_can_stop_the_run_before_gold(spark, small_dir, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    from tradewind.operators.rules import Rule
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS required_run")
+    chosen = replace(settings(tmp_path, "required_run"), required=True, clustered=False)
+    store_raw(spark, chosen.layout, small_dir)
+    monkeypatch.setattr(medallion.quality, "REQUIRED_CUSTOMER_RULES", (Rule("never", "customer_id < 0"),))
+    report = medallion.run(spark, chosen)
+    states = {name: o.status for name, o in report.log.outcomes.items()}
+    assert states[medallion.REQUIRED] == ERROR and states["silver_orders"] == SUCCESS
+    assert {s for n, s in states.items() if n.startswith("gold_")} == {SKIPPED}
+    spark.sql("DROP DATABASE required_run CASCADE")
+
+
 def test_missing_raw_table_stops_the_ingestion(spark, small_dir, tmp_path):
     chosen = settings(tmp_path)
     store_raw(spark, chosen.layout, small_dir, skip=["products"])

@@ -10,16 +10,24 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.config import TABLES, Layout, Thresholds
-from tradewind.operators.rules import check_rules_now, quality_scores
-from tradewind.plans import bronze, gold, kpis, quality, silver
-from tradewind.plans.audit import Outcome, RunLog
+from tradewind.operators.rules import check_rules_now, quality_scores, require
+from tradewind.plans import bronze, gold, kpis, quality, reports, silver
+from tradewind.plans.audit import ERROR, SUCCESS, Outcome, RunLog, log_step
 from tradewind.sources import tables as io
 
 GOLD_TABLES = tuple(quality.GOLD_KEY_COLUMNS)
+CLUSTERED_GOLD = (*GOLD_TABLES, "cohort_by_month")
+KEYS = {"customers": "customer_id", "products": "product_id", "orders": "order_id", "order_items": "order_item_id"}
+BRONZE_COLUMNS = (
+    "bronze_ingestion_timestamp", "bronze_ingestion_date", "source_system", "source_table", "data_quality_status",
+    "record_hash", "record_md5", "bronze_record_id",
+)
+REQUIRED = "required_rules"
 SALES = "sales_lines"
 LINEAGE = "data_lineage_bronze_to_silver"
 KPIS = "business_kpis"
@@ -28,7 +36,12 @@ MONITORING = "pipeline_monitoring"
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run needs to know besides the data."""
+    """What a run needs to know besides the data.
+
+    ``required``: gold is built only if the rules that silver customers must hold do hold. ``clustered``: all silver and
+    gold tables are rewritten in clustered order at the end. ``expected_columns``: what each raw table should
+    have; by default what it has.
+    """
 
     layout: Layout
     as_of: date
@@ -36,6 +49,9 @@ class Settings:
     survivor_order: Mapping[str, Sequence[str]] | None = None
     fmt: str = "parquet"
     database: str | None = None
+    required: bool = False
+    clustered: bool = True
+    expected_columns: Mapping[str, Sequence[str]] | None = None
 
     def survivors(self, table: str) -> Sequence[str]:
         return (self.survivor_order or {}).get(table, ())
@@ -54,6 +70,10 @@ class Report:
     gold_quality: DataFrame | None
     silver_quality: float | None
     healthy: bool
+    raw_checks: DataFrame | None = None
+    bronze_validation: DataFrame | None = None
+    bronze_nulls: DataFrame | None = None
+    money_scale: DataFrame | None = None
 
     @property
     def status(self) -> str:
@@ -67,6 +87,9 @@ class Medallion:
         self.spark = spark
         self.settings = settings
         self.log = RunLog(spark, settings.layout.path("gold", MONITORING))
+        self.raw_checks: DataFrame | None = None
+        self.bronze_validation: DataFrame | None = None
+        self.bronze_nulls: DataFrame | None = None
 
     # Files ---------------------------------------------------------------------------------
 
@@ -91,11 +114,50 @@ class Medallion:
 
         return self.log.step(f"bronze_{table}", work, reraise=True).records
 
+    def check_raw(self) -> DataFrame | None:
+        """Verdicts on the tables as they arrived, each failed one logged; nothing is held back for them."""
+        raw = {t: self.read("raw", t) for t in TABLES}
+        return self._noted("Raw checks", self._settled(quality.raw_checks(raw)))
+
+    def _noted(self, name: str, checks: DataFrame) -> DataFrame:
+        failed = [f"{r.check_name}: {r.failed_count}" for r in checks.collect() if not r.passed]
+        log_step(name, "FAILED CHECKS" if failed else SUCCESS, "; ".join(failed) or None)
+        return checks
+
+    def check_bronze(self) -> None:
+        """Counts, columns and duplicates of each bronze table, and NULLs per column; one small result for all."""
+        stored = self._stored("bronze", TABLES)
+        reports, nulls = [], []
+        for table, df in stored.items():
+            raw = [c for c in df.columns if c not in BRONZE_COLUMNS]
+            expected = (self.settings.expected_columns or {}).get(table, raw)
+            reports.append(bronze.validation_report(df, table, [*expected, *BRONZE_COLUMNS], [KEYS[table]]))
+            nulls.append(bronze.null_counts(df.select(*raw), table))
+        if not reports:
+            return
+        self.bronze_validation = self._settled(bronze.union_reports(reports))
+        self.bronze_nulls = self._settled(bronze.union_reports(nulls), 10_000)
+        for r in self.bronze_validation.collect():
+            odd = [f"missing {', '.join(r.missing_columns)}"] if r.missing_columns else []
+            odd += [f"unexpected {', '.join(r.extra_columns)}"] if r.extra_columns else []
+            odd += [f"{r.duplicate_count} repeated keys"] if r.duplicate_count else []
+            log_step(f"Validate bronze_{r.table_name}", "FAILED CHECKS" if odd else SUCCESS, "; ".join(odd) or None)
+
     def run_bronze(self) -> None:
         layout = self.settings.layout
+        self.raw_checks = self._try("Raw checks", self.check_raw)
         for table in TABLES:
             self.ingest_to_bronze(layout.path("raw", table), layout.path("bronze", table), table)
             self._register("bronze", table)
+        self._try("Bronze validation", self.check_bronze)
+
+    def _try(self, name: str, check: Callable[[], DataFrame | None]) -> DataFrame | None:
+        """A check of what arrived: that it can't be made is logged, and the steps that need the table will say so too."""
+        try:
+            return check()
+        except PySparkException as error:
+            log_step(name, ERROR, str(error).splitlines()[0])
+            return None
 
     # Silver --------------------------------------------------------------------------------
 
@@ -135,8 +197,25 @@ class Medallion:
         stored = self._stored("silver", TABLES)
         return self._settled(quality.cross_table_checks(stored)) if len(stored) == len(TABLES) else None
 
-    def _settled(self, small: DataFrame) -> DataFrame:
-        return self.spark.createDataFrame(io.to_driver(small, 100), small.schema)
+    def check_required(self) -> None:
+        """The step that gold waits for if the settings ask for it; fails with the rules that do not hold."""
+
+        def work() -> int:
+            customers = self.read("silver", "customers")
+            require(check_rules_now(customers, "customers", quality.REQUIRED_CUSTOMER_RULES))
+            return 0
+
+        self.log.step(REQUIRED, work, ["silver_customers"])
+
+    def check_money(self) -> DataFrame | None:
+        """Amounts with more decimals than the sums of money keep, per column; each is logged."""
+        stored = self._stored("silver", tuple(quality.MONEY_COLUMNS))
+        if len(stored) < len(quality.MONEY_COLUMNS):
+            return None
+        return self._noted("Money scale", self._settled(quality.money_scale_checks(stored)))
+
+    def _settled(self, small: DataFrame, limit: int = 100) -> DataFrame:
+        return self.spark.createDataFrame(io.to_driver(small, limit), small.schema)
 
     def _counts(self, layer: str) -> DataFrame:
         """Rows per table as counted by the writes; no table is read again."""
@@ -191,22 +270,28 @@ class Medallion:
                 ("silver_customers", "silver_orders"),
                 False,
             ),
+            "cohort_by_month": (
+                lambda: gold.cohort_by_month(cleaned("customers"), cleaned("orders")),
+                ("silver_customers", "silver_orders"),
+                False,
+            ),
         }
 
     def run_gold(self) -> None:
         """Join orders and lines once, store that, and build the item reports from it."""
+        first = [REQUIRED] if self.settings.required else []
         self.log.step(
             SALES,
             lambda: self._write(
                 gold.sales_lines(self.read("silver", "orders"), self.read("silver", "order_items")), "gold", SALES
             ),
-            ("silver_orders", "silver_order_items"),
+            ("silver_orders", "silver_order_items", *first),
         )
         for table, (plan, needs, updated) in self._gold_plans().items():
             outcome = self.log.step(
                 f"gold_{table}",
                 lambda p=plan, t=table, u=updated: self._write(gold.with_metadata(p(), updated=u), "gold", t),
-                needs,
+                [*needs, *first],
             )
             if outcome.succeeded:
                 self._register("gold", table, io.gold_properties(table))
@@ -237,6 +322,18 @@ class Medallion:
         current = self.settings.layout.path(layer, table)
         return io.rewrite_clustered(self.spark, self.settings.catalog_name(name), current, self.settings.fmt, files, name)
 
+    def compact_all(self) -> None:
+        """Cluster every silver and gold table that this run wrote, and remove the versions nobody reads any more."""
+        for layer, names in (("silver", TABLES), ("gold", CLUSTERED_GOLD)):
+            for table in names:
+                if self.log.succeeded([f"{layer}_{table}"]):
+                    self.log.step(f"compact_{layer}_{table}", lambda a=layer, b=table: self.compact(a, b) and 0)
+                    io.remove_old_versions(self.spark, self.settings.layout.path(layer, table))
+
+    def reports(self) -> dict[str, Callable[[], DataFrame]]:
+        """The reports over the stored gold tables, by name; each reads its tables when it is called."""
+        return reports.from_gold(lambda table: self.read("gold", table))
+
     # All -----------------------------------------------------------------------------------
 
     def run(self) -> Report:
@@ -248,15 +345,21 @@ class Medallion:
         if scores is not None:
             self.write_lineage(scores)
         references = self.check_references()
+        money = self.check_money()
+        if self.settings.required:
+            self.check_required()
         self.log.summarize("Silver layer complete", "silver_", f"average quality {average}")
         self.run_gold()
         self.write_kpis()
         assessed = self.check_gold()
         gold_average = None if assessed is None else assessed.agg(F.avg("quality_score")).first()[0]
         self.log.summarize("Gold layer complete", "gold_", f"average quality {gold_average}")
+        if self.settings.clustered:
+            self.compact_all()
         limits = self.settings.thresholds
         healthy = (average or 0) >= limits.healthy_silver and (gold_average or 0) >= limits.healthy_gold
-        return Report(self.log, rules, references, assessed, average, healthy)
+        checks = (self.raw_checks, self.bronze_validation, self.bronze_nulls, money)
+        return Report(self.log, rules, references, assessed, average, healthy, *checks)
 
 
 def run(spark: SparkSession, settings: Settings) -> Report:
