@@ -717,6 +717,7 @@ GROUP BY c.customer_id, full_name, country, customer_age_group""",
     "gh04_cohort_sizes": "SELECT * FROM cohort_size_by_month",
     "gh06_cohort_by_month": "SELECT * FROM cohort_by_month",
     "gk01_business_kpis": KPI_SQL,
+    "gk01_business_kpis_of_gold": KPI_SQL,
     "gk02_top_customers": "SELECT customer_id, full_name, total_spent, total_orders, value_segment FROM customer_analytics"
     " ORDER BY total_spent DESC, customer_id LIMIT 5",
     "gk03_top_products": "SELECT product_id, product_name, category, total_revenue, total_quantity_sold FROM product_figures"

@@ -100,6 +100,14 @@ class Shop:
     def products(self) -> DataFrame:
         return gold.product_figures(self.silver["products"], self.sales, retail.AS_OF, retail.THRESHOLDS)
 
+    @cached_property
+    def customer_standing(self) -> DataFrame:
+        return gold.customer_standing(self.silver["customers"], self.silver["orders"], retail.AS_OF, retail.THRESHOLDS)
+
+    @cached_property
+    def product_standing(self) -> DataFrame:
+        return gold.product_standing(self.silver["products"], self.sales)
+
     @cached_property
     def ranked_products(self) -> DataFrame:
         return gold.product_analytics(self.silver["products"], self.sales, retail.AS_OF, retail.THRESHOLDS)
@@ -154,8 +162,7 @@ def _bronze_validation(shop: Shop) -> DataFrame:
 
 
 def _lineage(shop: Shop) -> DataFrame:
-    scores = quality_scores(quality.silver_rule_results(shop.silver))
-    return quality.lineage(shop.bronze, shop.silver, scores).selectExpr(
+    return quality.lineage(shop.bronze, shop.silver).selectExpr(
         "* EXCEPT (lineage_timestamp, transformation_rules)",
         "array_join(transformation_rules, ',') AS transformation_rules",
     )
@@ -290,7 +297,8 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "gh04_cohort_sizes": lambda s: gold.cohort_sizes(gold.customer_days(s.silver["customers"], s.silver["orders"])),
     "gh06_cohort_by_month": lambda s: s.monthly_cohorts,
     # KPIs
-    "gk01_business_kpis": lambda s: kpis.business_kpis(s.customers, s.products, s.months, s.categories),
+    "gk01_business_kpis": lambda s: kpis.business_kpis_from_standing(s.customer_standing, s.product_standing, s.months),
+    "gk01_business_kpis_of_gold": lambda s: kpis.business_kpis(s.customers, s.products, s.months, s.categories),
     "gk02_top_customers": lambda s: kpis.top_customers(s.customers),
     "gk03_top_products": lambda s: kpis.top_products(s.products),
     "gk04_first_months": lambda s: kpis.first_months(s.months),
@@ -315,7 +323,9 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "an12_retention_matrix": lambda s: insights.retention_matrix(s.monthly_cohorts),
     "an12_retention_rates": lambda s: insights.retention_rates(s.monthly_cohorts),
     "an13_cohort_start_sizes": lambda s: insights.cohort_sizes_at_start(s.monthly_cohorts),
-    "an14_executive_metrics": lambda s: insights.executive_metrics(s.customers, s.products, s.months),
+    "an14_executive_metrics": lambda s: insights.executive_metrics(
+        s.customer_standing, gold.product_quantities(s.silver["products"], s.sales), s.months
+    ),
     "an15_top_category": lambda s: insights.top_category(s.categories),
     "an16_order_value_histogram": lambda s: insights.order_value_histogram(s.customers),
     "an17_top_age_group": lambda s: insights.top_age_group(s.customers),

@@ -65,6 +65,15 @@ def test_raw_checks_read_a_table_once_per_key(shop):
     assert scans(plan, "customer") == 2  # by id, and by e-mail address
 
 
+def test_key_figures_and_lineage_read_each_table_few_times(spark, shop, small_dir):
+    figures = QUERIES["gk01_business_kpis"](spark, small_dir)
+    assert scans(figures, "lineitem") == 1 and scans(figures, "part") == 1 and scans(figures, "orders") <= 3
+    executive = QUERIES["an14_executive_metrics"](spark, small_dir)
+    assert scans(executive, "lineitem") == 1 and scans(executive, "part") == 1 and scans(executive, "orders") <= 3
+    lineage = QUERIES["au05_lineage"](spark, small_dir)
+    assert [scans(lineage, t) for t in ("part", "orders", "lineitem")] == [2, 2, 2]
+
+
 def test_the_rank_starts_no_job_and_no_checkpoint(spark, shop):
     group = "rank-plan"
     spark.sparkContext.setJobGroup(group, "")

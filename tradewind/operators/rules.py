@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
@@ -41,7 +41,9 @@ class UniqueRule:
 AnyRule = Rule | UniqueRule
 
 
-def _counted(df: DataFrame, rules: Sequence[AnyRule]) -> tuple[list[AnyRule], DataFrame]:
+def _counted(
+    df: DataFrame, rules: Sequence[AnyRule], more: Mapping[str, str] | None = None
+) -> tuple[list[AnyRule], DataFrame]:
     """Failure counts of the rules that fit the schema; analysis only, no job.
 
     All rules are tried together first; only when that fails is each looked at alone.
@@ -49,7 +51,7 @@ def _counted(df: DataFrame, rules: Sequence[AnyRule]) -> tuple[list[AnyRule], Da
 
     def totals(chosen: Sequence[AnyRule]) -> DataFrame:
         counts = {f"rule_{rules.index(rule)}": rule.failures() for rule in chosen}
-        return aggregate(df, [], counts or {"none": "0"})
+        return aggregate(df, [], {**counts, **(more or {})} or {"none": "0"})
 
     try:
         return list(rules), totals(rules)
@@ -85,6 +87,14 @@ def check_rules(df: DataFrame, table: str, rules: Sequence[AnyRule]) -> DataFram
     return long_form(totals, [verdict(place, rule) for place, rule in enumerate(rules)])
 
 
+def counts_and_scores(df: DataFrame, table: str, rules: Sequence[AnyRule]) -> DataFrame:
+    """table_name, record_count, quality_score: rows and the share of passed rules in percent, from one pass."""
+    valid, totals = _counted(df, rules, {"record_count": "COUNT(*)"})
+    passed = " + ".join(f"IF(rule_{place} = 0, 1, 0)" for place, rule in enumerate(rules) if rule in valid) or "0"
+    score = f"round(({passed}) / {len(rules)} * 100, 1)"
+    return totals.selectExpr(f"{text(table)} AS table_name", "record_count", f"{score} AS quality_score")
+
+
 def check_rules_now(df: DataFrame, table: str, rules: Sequence[AnyRule]) -> DataFrame:
     """Like ``check_rules``, run at once; a rule that fails on the data is isolated as well.
 

@@ -179,7 +179,6 @@ def customer_analytics(
         .join(customer_order_metrics(orders), "customer_id", "left")
         .join(customer_product_metrics(sales, products), "customer_id", "left")
     )
-    idle = calendar.days_until(as_of, "last_order_date")
     money = dict.fromkeys(("total_spent", "avg_order_value", "total_tax_paid", "total_shipping_paid"), "0.0D")
     counts = dict.fromkeys(
         (
@@ -188,16 +187,7 @@ def customer_analytics(
         ),
         "0",
     )
-    segment = {
-        "value_segment": segments.at_least(
-            "total_spent", zip(thresholds.value, VALUE_LABELS), "Minimal Value", "No Purchase"
-        ),
-        "recency_segment": "IF(last_order_date IS NULL, 'Never Purchased',"
-        f" {segments.up_to(idle, zip(thresholds.recency, RECENCY_LABELS), 'Churned')})",
-        "frequency_segment": segments.at_least(
-            "total_orders", zip(thresholds.frequency, FREQUENCY_LABELS), "One-time", "No Purchase"
-        ),
-    }
+    idle = calendar.days_until(as_of, "last_order_date")
     return joined.selectExpr(
         *CUSTOMER_COLUMNS,
         *_filled(counts),
@@ -208,7 +198,51 @@ def customer_analytics(
         f"{idle} AS days_since_last_order",
         "coalesce(datediff(last_order_date, first_order_date), 0) AS customer_lifespan_days",
         f"{ratio('total_spent', 'total_orders')} AS calculated_aov",
-        *[f"{sql} AS {name}" for name, sql in segment.items()],
+        *_customer_segments(as_of, thresholds),
+    )
+
+
+def _customer_segments(as_of: date, thresholds: Thresholds) -> list[str]:
+    idle = calendar.days_until(as_of, "last_order_date")
+    segment = {
+        "value_segment": segments.at_least(
+            "total_spent", zip(thresholds.value, VALUE_LABELS), "Minimal Value", "No Purchase"
+        ),
+        "recency_segment": "IF(last_order_date IS NULL, 'Never Purchased',"
+        f" {segments.up_to(idle, zip(thresholds.recency, RECENCY_LABELS), 'Churned')})",
+        "frequency_segment": segments.at_least(
+            "total_orders", zip(thresholds.frequency, FREQUENCY_LABELS), "One-time", "No Purchase"
+        ),
+    }
+    return [f"{sql} AS {name}" for name, sql in segment.items()]
+
+
+def customer_standing(
+    customers: DataFrame, orders: DataFrame, as_of: date, thresholds: Thresholds = Thresholds()
+) -> DataFrame:
+    """customer_id and segments alone: what key figures need, without the item reports that the full table joins."""
+    joined = customers.select("customer_id").join(customer_order_metrics(orders), "customer_id", "left")
+    return joined.selectExpr("customer_id", *_customer_segments(as_of, thresholds))
+
+
+def product_quantities(products: DataFrame, sales: DataFrame) -> DataFrame:
+    """product_id and total_quantity_sold alone, NULL for what was never sold."""
+    sold = aggregate(sales, ["product_id"], {"total_quantity_sold": "SUM(quantity)"})
+    return products.select("product_id").join(sold, "product_id", "left")
+
+
+def product_standing(products: DataFrame, sales: DataFrame) -> DataFrame:
+    """Per category: its products, how many of them were sold, and the revenue; one pass over the sales lines."""
+    per_product = aggregate(sales, ["product_id"], {"quantity": "SUM(quantity)", "revenue_micros": "SUM(revenue_micros)"})
+    return aggregate(
+        products.select("product_id", "category").join(per_product, "product_id", "left"),
+        ["category"],
+        {
+            "products": "COUNT(*)",
+            "products_sold": "count_if(quantity > 0)",
+            "lines_found": "COUNT(revenue_micros)",
+            "total_revenue": REVENUE,
+        },
     )
 
 

@@ -45,7 +45,30 @@ def business_kpis(
         customers, [], {"total": "COUNT(*)", "active": COUNT_ACTIVE, "high_value": COUNT_HIGH_VALUE}
     )
     of_products = aggregate(products, [], {"total": "COUNT(*)", "sold": COUNT_SOLD})
-    of_months = aggregate(
+    of_categories = aggregate(categories, [], {"best": f"coalesce({BEST_CATEGORY}, {text(NO_CATEGORY)})"})
+    return _kpi_rows(of_customers, of_products, _months_total(months), of_categories)
+
+
+def business_kpis_from_standing(customers: DataFrame, by_category: DataFrame, months: DataFrame) -> DataFrame:
+    """The same KPIs from ``gold.customer_standing``, ``gold.product_standing`` and the months, with no gold table in between."""
+    of_customers = aggregate(
+        customers, [], {"total": "COUNT(*)", "active": COUNT_ACTIVE, "high_value": COUNT_HIGH_VALUE}
+    )
+    best = f"{BEST_CATEGORY} FILTER (WHERE lines_found > 0)"
+    of_products = aggregate(
+        by_category,
+        [],
+        {
+            "total": "coalesce(SUM(products), 0)",
+            "sold": "coalesce(SUM(products_sold), 0)",
+            "best": f"coalesce({best}, {text(NO_CATEGORY)})",
+        },
+    )
+    return _kpi_rows(of_customers, of_products, _months_total(months), None)
+
+
+def _months_total(months: DataFrame) -> DataFrame:
+    return aggregate(
         months,
         [],
         {
@@ -53,38 +76,37 @@ def business_kpis(
             "orders": "coalesce(SUM(total_orders), 0)",
         },
     )
-    of_categories = aggregate(categories, [], {"best": f"coalesce({BEST_CATEGORY}, {text(NO_CATEGORY)})"})
+
+
+def _kpi_rows(
+    of_customers: DataFrame, of_products: DataFrame, of_months: DataFrame, of_categories: DataFrame | None
+) -> DataFrame:
+    """The totals in long form; without ``of_categories`` the best category is a column of ``of_products``.
+
+    Fixed values: names, kinds and groups of the metrics.
+    """
     average = f"round({ratio('revenue', 'orders')}, 2)"
-    return union_reports(
-        [
-            long_form(
-                of_customers,
-                [
-                    _metric("Total Customers", "total", "count", "Customer"),
-                    _metric("Active Customers", "active", "count", "Customer"),
-                    _metric("Customer Activation Rate", percent("active", "total"), "percentage", "Customer"),
-                    _metric("High Value Customers", "high_value", "count", "Customer"),
-                ],
-            ),
-            long_form(
-                of_months,
-                [
-                    _metric("Total Revenue", "round(revenue, 2)", "currency", "Revenue"),
-                    _metric("Total Orders", "orders", "count", "Orders"),
-                    _metric("Average Order Value", average, "currency", "Orders"),
-                ],
-            ),
-            long_form(
-                of_products,
-                [
-                    _metric("Total Products", "total", "count", "Product"),
-                    _metric("Products with Sales", "sold", "count", "Product"),
-                    _metric("Product Sales Rate", percent("sold", "total"), "percentage", "Product"),
-                ],
-            ),
-            long_form(of_categories, [_metric("Top Category", "NULL", "text", "Product", "best")]),
-        ]
-    )
+    customers = [
+        _metric("Total Customers", "total", "count", "Customer"),
+        _metric("Active Customers", "active", "count", "Customer"),
+        _metric("Customer Activation Rate", percent("active", "total"), "percentage", "Customer"),
+        _metric("High Value Customers", "high_value", "count", "Customer"),
+    ]
+    months = [
+        _metric("Total Revenue", "round(revenue, 2)", "currency", "Revenue"),
+        _metric("Total Orders", "orders", "count", "Orders"),
+        _metric("Average Order Value", average, "currency", "Orders"),
+    ]
+    products = [
+        _metric("Total Products", "total", "count", "Product"),
+        _metric("Products with Sales", "sold", "count", "Product"),
+        _metric("Product Sales Rate", percent("sold", "total"), "percentage", "Product"),
+    ]
+    best = [_metric("Top Category", "NULL", "text", "Product", "best")]
+    reports = [long_form(of_customers, customers), long_form(of_months, months)]
+    if of_categories is None:
+        return union_reports([*reports, long_form(of_products, products + best)])
+    return union_reports([*reports, long_form(of_products, products), long_form(of_categories, best)])
 
 
 def stamped_kpis(kpis: DataFrame, created_at: str = "current_timestamp()") -> DataFrame:

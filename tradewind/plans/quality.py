@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from tradewind.config import TABLES
 from tradewind.functions.money import money_sum, off_scale
 from tradewind.functions.sql import aggregate, array_of, long_form, text
-from tradewind.operators.rules import AnyRule, Rule, UniqueRule, check_rules
+from tradewind.operators.rules import AnyRule, Rule, UniqueRule, check_rules, counts_and_scores
 from tradewind.plans.bronze import row_counts, union_reports
 
 # The rules of each silver table.
@@ -219,11 +219,12 @@ def lineage_from_counts(bronze: DataFrame, silver: DataFrame, scores: DataFrame)
 
     All three inputs have one row per table; a table without bronze rows counts as 0.
     """
-    joined = (
-        silver.selectExpr("table_name", "record_count AS silver_records")
-        .join(bronze.selectExpr("table_name", "record_count AS before"), "table_name", "left")
-        .join(scores.selectExpr("table_name", "quality_score AS score"), "table_name", "left")
-    )
+    return _lineage_rows(bronze, silver.join(scores.select("table_name", "quality_score"), "table_name", "left"))
+
+
+def _lineage_rows(bronze: DataFrame, silver: DataFrame) -> DataFrame:
+    after = silver.selectExpr("table_name", "record_count AS silver_records", "quality_score AS score")
+    joined = after.join(bronze.selectExpr("table_name", "record_count AS before"), "table_name", "left")
     return joined.selectExpr(
         "table_name",
         "coalesce(before, 0) AS bronze_records",
@@ -236,9 +237,8 @@ def lineage_from_counts(bronze: DataFrame, silver: DataFrame, scores: DataFrame)
     )
 
 
-def lineage(bronze: Mapping[str, DataFrame], silver: Mapping[str, DataFrame], scores: DataFrame) -> DataFrame:
-    """Lineage rows straight from the frames, for use outside a run."""
+def lineage(bronze: Mapping[str, DataFrame], silver: Mapping[str, DataFrame]) -> DataFrame:
+    """Lineage rows straight from the frames, for use outside a run; each table is read once per layer."""
     tables = [t for t in TABLES if t in silver]
-    return lineage_from_counts(
-        row_counts({t: bronze[t] for t in tables if t in bronze}), row_counts({t: silver[t] for t in tables}), scores
-    )
+    scored = union_reports([counts_and_scores(silver[t], t, SILVER_RULES[t]) for t in tables])
+    return _lineage_rows(row_counts({t: bronze[t] for t in tables if t in bronze}), scored)
