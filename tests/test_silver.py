@@ -308,3 +308,14 @@ def test_item_classes(items):
 )
 def test_empty_input_gives_empty_output(spark, schema, clean):
     assert clean(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_renamed_source_column_is_an_error(spark, small_dir, tmp_path):
+    from tradewind.sources import retail
+
+    for table in ("part", "orders"):
+        df = spark.read.parquet(f"{small_dir}/{table}.parquet")
+        (df.withColumnRenamed("p_brand", "brand") if table == "part" else df).write.parquet(str(tmp_path / f"{table}.parquet"))
+    with pytest.raises(ValueError, match="p_brand"):
+        retail.raw_products(spark, str(tmp_path))
+    assert retail.raw_orders(spark, str(tmp_path)).count() > 0
