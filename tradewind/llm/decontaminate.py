@@ -125,7 +125,7 @@ def word_counts(base: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
 
 def occurrences(base: DataFrame, items: list[tuple], size: int) -> DataFrame:
-    """(id, row_key, n_words, starts, ends, items) of each row against one block: hit windows, and whose they are."""
+    """(id, row_key, n_words, n_hit, starts, ends, items) of each row against one block: hit windows, and whose they are."""
     counts = word_counts(base, Windows(items, size, None).vocabulary)
     index = base.sparkSession.sparkContext.broadcast(Windows(items, size, counts))
 
@@ -141,22 +141,24 @@ def occurrences(base: DataFrame, items: list[tuple], size: int) -> DataFrame:
             local = begin - np.repeat(w.first[:-1], np.diff(cut))
             ends = local + windows.lengths[window] if len(window) else local
             whose = [sorted({n for k in set(window[a:b].tolist()) for n in windows.items[k]}) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            hit = [merged(local[a:b], ends[a:b]) if a < b else 0 for a, b in zip(cut[:-1], cut[1:], strict=True)]
             lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c).slice(i, j - i) for c in (0, 1)],
                     pa.array(np.diff(w.first), pa.int64()),
+                    pa.array(hit, pa.int64()),
                     lists(local),
                     lists(ends),
                     pa.array(whose, pa.list_(pa.string())),
                 ],
-                ["id", "row_key", "n_words", "starts", "ends", "items"],
+                ["id", "row_key", "n_words", "n_hit", "starts", "ends", "items"],
             )
 
     kind = base.schema["id"].dataType.simpleString()
     return base.select("id", "row_key", "content").mapInArrow(
         run,
-        f"id {kind}, row_key bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>",
+        f"id {kind}, row_key bigint, n_words bigint, n_hit bigint, starts array<bigint>, ends array<bigint>, items array<string>",
     )
 
 
@@ -205,18 +207,21 @@ def decontaminate(
             .select(F.col("id").alias("i"), F.col("row_key").alias("k"), *[F.col(c).alias(f"more_{c}") for c in ("starts", "ends", "items")])
         )
         out = stored(out).join(more, F.col("id").eqNullSafe(F.col("i")) & (F.col("row_key") == F.col("k")), "left").select(
-            "id", "row_key", "n_words", *[F.concat(c, F.coalesce(f"more_{c}", F.array().cast(out.schema[c].dataType))).alias(c) for c in ("starts", "ends", "items")]
+            "id", "row_key", "n_words", "n_hit", *[F.concat(c, F.coalesce(f"more_{c}", F.array().cast(out.schema[c].dataType))).alias(c) for c in ("starts", "ends", "items")]
         )
 
-    @F.pandas_udf("bigint")
-    def covered(starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([merged(a, b) if len(a) else 0 for a, b in zip(starts, ends, strict=True)], dtype="int64")
+    if blocks > 1:  # windows of several blocks may overlap
 
+        @F.pandas_udf("bigint")
+        def covered(starts: pd.Series, ends: pd.Series) -> pd.Series:
+            return pd.Series([merged(a, b) if len(a) else 0 for a, b in zip(starts, ends, strict=True)], dtype="int64")
+
+        out = out.withColumn("n_hit", covered("starts", "ends"))
     return out.select(
         F.col("id").alias(id_col),
         *(["row_key"] if carry_key else []),
         "n_words",
-        covered("starts", "ends").alias("n_hit"),
+        "n_hit",
         F.array_sort(F.array_distinct("items")).alias("items"),
         "starts",
         "ends",
