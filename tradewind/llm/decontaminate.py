@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.store import stored
+from tradewind.llm.store import bound_batches, stored
 from tradewind.llm.words import ALNUM, LOWER, Powers, Sums, byte_values, documents, words
 
 BLOCK = 16 << 20  # bytes of benchmark text that are held against all documents at once
@@ -187,6 +187,7 @@ def decontaminate(
     though its windows hit. Rows of ``docs`` that share id and text get the same result, items that repeat count once.
     Extra columns are ignored; an empty benchmark hits nothing. ``carry_key`` adds ``row_key``, a hash of id and text.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("content"))
     base = base.withColumn("row_key", F.xxhash64("id", "content"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("content"))

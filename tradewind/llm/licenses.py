@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.store import bound_batches
 from tradewind.llm.words import ALNUM, LOWER, Powers, byte_values, documents, words
 
 # The phrases that name a licence, and their labels.
@@ -220,6 +221,7 @@ def license_scan(
     gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("content"))
+    bound_batches(docs.sparkSession)
     scanner_args = (tuple(phrases), tuple(templates), min_match, gap)
 
     def scan(batches):

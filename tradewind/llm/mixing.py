@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.store import running, stored
+from tradewind.llm.store import bound_batches, running, stored
 from tradewind.llm.words import SPACE, documents, mix
 
 PIECE = 1 << 14  # slots that one row is unfolded into at once
@@ -109,6 +109,7 @@ def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
             own = [batch.column(c).slice(i, j - i) for c in range(3)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sums[offsets[1:]] - sums[offsets[:-1]], pa.int64())], ["id", "row_key", "source", "size"])
 
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("content"))
     base = base.select("id", F.xxhash64("id", "content").alias("row_key"), "source", "content")
     return base.mapInArrow(count, f"id {base.schema['id'].dataType.simpleString()}, row_key bigint, source string, size bigint")

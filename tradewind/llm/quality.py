@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.store import stored
+from tradewind.llm.store import bound_batches, stored
 from tradewind.llm.words import VISIBLE, Powers, byte_values, chunks, mix, text_bytes, words
 
 
@@ -133,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 def scorer(spark: SparkSession, weights: np.ndarray, s: Settings):
     """The score of a text column: the sparse dot product of its features and the weights."""
+    bound_batches(spark)
     model = spark.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")

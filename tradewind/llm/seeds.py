@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.store import membership, stored
+from tradewind.llm.store import bound_batches, membership, stored
 from tradewind.llm.words import VISIBLE, Powers, Sums, byte_values, chunks, mix, text_bytes, words
 
 BITS = 1 << 25  # a membership bitmap of 4 MB
@@ -133,6 +133,7 @@ def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def base_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("content"))
     return base.select("id", F.xxhash64("id", "content").alias("row_key"), "content")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.graph import components
-from tradewind.llm.store import stored
+from tradewind.llm.store import bound_batches, stored
 from tradewind.llm.words import LOWER
 
 HASH_SEED = 42
@@ -43,6 +43,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, carr
         F.col(text_col).cast("string").alias("content"), F.col(id_col).alias("id"), *[F.col(c).alias(f"carried_{c}") for c in carry]
     )
     rest = base.columns[1:]
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

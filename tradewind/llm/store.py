@@ -27,6 +27,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python and back in batches of about 8 MB instead of 64 MB, unless the session asks for another size.
+
+    A batch is held several times over, by the JVM and by each Python worker beside it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):
+        spark.conf.set(name, str(8 << 20))
+
+
 def membership(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     """A bitmap of ``bits`` bits with one bit set per hash ``key`` (bigint), as rows (bucket, bitmap) of 4 KB.
 
