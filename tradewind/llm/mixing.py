@@ -147,7 +147,7 @@ class Mix:
         times = self.slots.groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("times"))
         sums = (
             self.pieces()
-            .join(times, ["source_key", "block"])
+            .join(times.hint("merge"), ["source_key", "block"])  # Spark would take the unfolded slots for a small table
             .groupBy("source_key", "start")
             .agg(F.sum((F.col("high") - F.col("low")) * F.col("times")).alias("taken"))
         )
@@ -161,7 +161,7 @@ class Mix:
         """(id, row_key, round, spans): the word spans of a document that each round through its source takes."""
         return (
             self.pieces()
-            .join(self.slots.select("source_key", "block", "round"), ["source_key", "block"])
+            .join(self.slots.select("source_key", "block", "round").hint("merge"), ["source_key", "block"])
             .groupBy("id", "row_key", "round")
             .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
         )
