@@ -6,14 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-RANGES = 64
-_VALUES, _KEYS, _BUCKET, _SPLIT, _BEFORE = "__values", "__keys", "__bucket", "__split", "__before"
-
-
-def _borders(df: DataFrame, number: str) -> DataFrame:
-    """Values that cut ``number`` into ranges of about equal size, as a scalar subquery of one row."""
-    shares = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
-    return df.selectExpr(f"array_distinct(percentile_approx({number}, array({shares}))) AS borders").scalar()
+RANGES = 32
+_KEY, _VALUE, _BORDERS, _BUCKET, _SPLIT, _BEFORE, _INSIDE = "__key", "__value", "__borders", "__bucket", "__split", "__before", "__inside"
 
 
 def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
@@ -22,21 +16,29 @@ def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
     A few quantiles of the values are the borders of buckets: one bucket for each stretch between two borders, and one
     for each border itself, which takes a value that very many rows share. In such a bucket only the key orders the rows,
     so it is cut again at quantiles of the keys. Rows are numbered inside their bucket and moved up by what
-    the buckets before hold. The borders are scalar subqueries: no job runs while the plan is built, and both uses of
+    the buckets before hold. The borders are a scalar subquery: no job runs while the plan is built, and both uses of
     the buckets see the same ones. What passes through one task, and is broadcast, has one row per bucket, of which there are
     at most ``2 * RANGES * RANGES``.
 
-    Keys that aren't numbers are cut by their first seven bytes; many keys with one beginning then share a bucket.
+    All this sees the two columns only, behind one exchange that its parts share, so they are computed once; the rank is
+    joined to the full rows by the key. Keys that aren't numbers are cut by their first seven bytes; many keys with one beginning then
+    share a bucket.
     """
-    kind = df.schema[key].dataType
-    number = key if isinstance(kind, NumericType) else f"CAST(conv(hex(substr(CAST({key} AS STRING), 1, 7)), 16, 10) AS BIGINT)"
-    marked = df.withColumn(_VALUES, _borders(df, value)).withColumn(_KEYS, _borders(df, number))
-    reached = f"size(filter({_VALUES}, b -> b >= {value}))"
-    at_border = f"coalesce(array_contains({_VALUES}, {value}), false)"
-    placed = marked.selectExpr(
-        f"* EXCEPT ({_VALUES}, {_KEYS})",
-        f"IF({value} IS NULL, {2 * RANGES + 1}, 2 * {reached} - IF({at_border}, 1, 0)) AS {_BUCKET}",
-        f"IF({at_border} OR {value} IS NULL, coalesce(size(filter({_KEYS}, b -> b < {number})), 0), 0) AS {_SPLIT}",
+    narrow = df.select(F.col(key).alias(_KEY), F.col(value).alias(_VALUE)).repartition(_KEY)
+    number = _KEY
+    if not isinstance(df.schema[key].dataType, NumericType):
+        number = f"CAST(conv(hex(substr(CAST({_KEY} AS STRING), 1, 7)), 16, 10) AS BIGINT)"
+    shares = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    borders = narrow.selectExpr(
+        f"struct(array_distinct(percentile_approx({_VALUE}, array({shares}))) AS v,"
+        f" array_distinct(percentile_approx({number}, array({shares}))) AS k) AS borders"
+    ).scalar()
+    at_border = f"coalesce(array_contains({_BORDERS}.v, {_VALUE}), false)"
+    placed = narrow.withColumn(_BORDERS, borders).selectExpr(
+        _KEY,
+        _VALUE,
+        f"IF({_VALUE} IS NULL, {2 * RANGES + 1}, 2 * size(filter({_BORDERS}.v, b -> b >= {_VALUE})) - IF({at_border}, 1, 0)) AS {_BUCKET}",
+        f"IF({at_border} OR {_VALUE} IS NULL, coalesce(size(filter({_BORDERS}.k, b -> b < {number})), 0), 0) AS {_SPLIT}",
     )
     sizes = placed.groupBy(_BUCKET, _SPLIT).agg(F.expr("COUNT(*) AS n"))
     offsets = sizes.selectExpr(
@@ -45,12 +47,10 @@ def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
         f"coalesce(SUM(n) OVER (ORDER BY {_BUCKET}, {_SPLIT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
         f" AS {_BEFORE}",
     )
-    inside = f"row_number() OVER (PARTITION BY {_BUCKET}, {_SPLIT} ORDER BY {value} DESC, {key})"
-    numbered = placed.selectExpr("*", f"{inside} AS {name}_inside")
+    inside = f"row_number() OVER (PARTITION BY {_BUCKET}, {_SPLIT} ORDER BY {_VALUE} DESC, {_KEY}) AS {_INSIDE}"
     same = (F.col(_BUCKET) == F.col("of_bucket")) & (F.col(_SPLIT) == F.col("of_split"))
-    return numbered.join(F.broadcast(offsets), same).selectExpr(
-        f"* EXCEPT ({_BUCKET}, {_SPLIT}, of_bucket, of_split, {_BEFORE}, {name}_inside)", f"{_BEFORE} + {name}_inside AS {name}"
-    )
+    ranks = placed.selectExpr("*", inside).join(F.broadcast(offsets), same).selectExpr(_KEY, f"{_BEFORE} + {_INSIDE} AS {name}")
+    return df.join(ranks, F.col(key).eqNullSafe(F.col(_KEY))).drop(_KEY)
 
 
 def small_rank(order_by: str) -> str:

@@ -28,7 +28,7 @@ BRONZE_COLUMNS = (
     "record_hash", "record_md5", "bronze_record_id",
 )
 REQUIRED = "required_rules"
-SALES = "sales_lines"
+SALES, FIGURES = "sales_lines", "product_figures"
 LINEAGE = "data_lineage_bronze_to_silver"
 KPIS = "business_kpis"
 MONITORING = "pipeline_monitoring"
@@ -254,8 +254,8 @@ class Medallion:
                 True,
             ),
             "product_analytics": (
-                lambda: gold.product_analytics(cleaned("products"), sales(), s.as_of, s.thresholds),
-                ("silver_products", SALES),
+                lambda: gold.with_revenue_rank(self.read("gold", FIGURES)),
+                (FIGURES,),
                 True,
             ),
             "monthly_sales": (lambda: gold.monthly_sales(cleaned("orders")), ("silver_orders",), False),
@@ -287,6 +287,17 @@ class Medallion:
             ),
             ("silver_orders", "silver_order_items", *first),
         )
+        self.log.step(
+            FIGURES,
+            lambda: self._write(
+                gold.product_figures(
+                    self.read("silver", "products"), self.read("gold", SALES), self.settings.as_of, self.settings.thresholds
+                ),
+                "gold",
+                FIGURES,
+            ),
+            ("silver_products", SALES),
+        )
         for table, (plan, needs, updated) in self._gold_plans().items():
             outcome = self.log.step(
                 f"gold_{table}",
