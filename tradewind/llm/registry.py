@@ -82,6 +82,39 @@ def op10_quality(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_substring_dedup, op4_license_scan, op5_line_dedup, op6_sharding, op7_exact_dedup, op8_mixing, op9_decontaminate, op10_quality)}
 
 ORACLE = {
+    "op1_suffix_dedup": r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+place AS (
+  SELECT doc_id, i, substr(x, 2 * i - 1, 2) AS byte, CASE WHEN 2 * (i + 199) <= length(x) THEN md5(substr(x, 2 * i - 1, 400)) END AS h
+  FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 + 1)) AS i FROM b)),
+twice AS (SELECT h FROM place WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, i, byte,
+         count(t.h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM place LEFT JOIN twice t ON place.h = t.h),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM covered)
+SELECT b.doc_id, CAST(length(any_value(x)) // 2 AS BIGINT) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed,
+       count(*) FILTER (WHERE begins) AS n_spans,
+       sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256
+FROM b LEFT JOIN edge e ON b.doc_id = e.doc_id
+GROUP BY b.doc_id
+""",
+    "op3_substring_dedup": r"""
+WITH n AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+place AS (
+  SELECT doc_id, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i + 34], ' ')) END AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM n)),
+twice AS (SELECT h FROM place WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, i, word,
+         count(t.h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM place LEFT JOIN twice t ON place.h = t.h)
+SELECT n.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM n LEFT JOIN covered c ON n.doc_id = c.doc_id
+GROUP BY n.doc_id
+""",
     "op5_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
