@@ -20,7 +20,7 @@ from tradewind.llm.store import bound_batches, membership, stored
 from tradewind.llm.words import VISIBLE, Powers, Sums, byte_values, chunks, mix, text_bytes, words
 
 BITS = 1 << 25  # a membership bitmap of 4 MB
-BYTES_AT_ONCE = 1 << 19
+BYTES_AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
