@@ -10,7 +10,7 @@ RANGES = 32
 _KEY, _VALUE, _BORDERS, _BUCKET, _SPLIT, _BEFORE, _INSIDE = "__key", "__value", "__borders", "__bucket", "__split", "__before", "__inside"
 
 
-def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
+def global_rank(df: DataFrame, value: str, key: str, name: str, values: DataFrame | None = None) -> DataFrame:
     """Add ``name`` = 1..n by ``value`` descending, NULLs last, then by the unique ``key``.
 
     A few quantiles of the values are the borders of buckets: one bucket for each stretch between two borders, and one
@@ -20,11 +20,11 @@ def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
     the buckets see the same ones. What passes through one task, and is broadcast, has one row per bucket, of which there are
     at most ``2 * RANGES * RANGES``.
 
-    All this sees the two columns only, behind one exchange that its parts share, so they are computed once; the rank is
-    joined to the full rows by the key. Keys that aren't numbers are cut by their first seven bytes; many keys with one beginning then
-    share a bucket.
+    All this sees the two columns only, and computes them three times; the rank is joined to the full rows by the key.
+    ``values``, a frame of the same keys and values, may give them in a cheaper way than ``df`` does. Keys that
+    aren't numbers are cut by their first seven bytes; many keys with one beginning then share a bucket.
     """
-    narrow = df.select(F.col(key).alias(_KEY), F.col(value).alias(_VALUE)).repartition(_KEY)
+    narrow = (df if values is None else values).select(F.col(key).alias(_KEY), F.col(value).alias(_VALUE))
     number = _KEY
     if not isinstance(df.schema[key].dataType, NumericType):
         number = f"CAST(conv(hex(substr(CAST({_KEY} AS STRING), 1, 7)), 16, 10) AS BIGINT)"

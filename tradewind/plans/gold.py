@@ -332,12 +332,15 @@ def product_analytics(
     products: DataFrame, sales: DataFrame, as_of: date, thresholds: Thresholds = Thresholds()
 ) -> DataFrame:
     """Product figures with revenue_rank, the place among all products."""
-    return with_revenue_rank(product_figures(products, sales, as_of, thresholds))
+    figures = product_figures(products, sales, as_of, thresholds)
+    sold = aggregate(sales, ["product_id"], {"total_revenue": REVENUE})
+    revenues = products.select("product_id").join(sold, "product_id", "left")
+    return with_revenue_rank(figures, revenues.selectExpr("product_id", "coalesce(total_revenue, 0.0D) AS total_revenue"))
 
 
-def with_revenue_rank(figures: DataFrame) -> DataFrame:
-    """Best read from a stored table: the rank looks at the revenues more than once."""
-    return global_rank(figures, "total_revenue", "product_id", "revenue_rank")
+def with_revenue_rank(figures: DataFrame, revenues: DataFrame | None = None) -> DataFrame:
+    """Best read from a stored table, as the rank looks at the revenues more than once; ``revenues`` spares it the rest."""
+    return global_rank(figures, "total_revenue", "product_id", "revenue_rank", revenues)
 
 
 # Sales -----------------------------------------------------------------------------------------
@@ -406,23 +409,22 @@ def daily_sales(orders: DataFrame) -> DataFrame:
 def category_sales(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Per category: quantity, money, distinct orders, customers and products, rank by revenue.
 
-    Added up per (category, product), (category, customer) and (category, order) first: what is to be counted
+    Added up per (category, product), and per (category, customer, order), first: what is to be counted
     are then rows, and a category with most of the lines is spread over all tasks. The lines are not multiplied.
     """
     sold = sales.join(products.select("product_id", "category"), "product_id")
     per_product = aggregate(sold, ["category", "product_id"], {part: f"SUM({part})" for part in LINE_PARTS})
 
-    def counted(column: str, name: str) -> DataFrame:
-        found = aggregate(aggregate(sold, ["category", column], {"n": "COUNT(*)"}), ["category"], {name: f"COUNT({column})"})
-        return found.withColumnRenamed("category", f"category_of_{name}")
-
+    # An order has one customer, so orders are counted on the way to customers.
+    per_order = aggregate(sold, ["category", "customer_id", "order_id"], {"n": "COUNT(*)"})
+    per_customer = aggregate(per_order, ["category", "customer_id"], {"orders": "COUNT(order_id)"})
+    buyers = aggregate(
+        per_customer, ["category"], {"unique_orders": "SUM(orders)", "unique_customers": "COUNT(customer_id)"}
+    ).withColumnRenamed("category", "category_of_buyers")
     totals = aggregate(
         per_product, ["category"], {**_line_sums("total_discounts", "total_items"), "unique_products": "COUNT(product_id)"}
     )
-    for column, name in (("order_id", "unique_orders"), ("customer_id", "unique_customers")):
-        counts = counted(column, name)
-        of = f"category_of_{name}"
-        totals = totals.join(counts, F.col("category").eqNullSafe(F.col(of))).drop(of)
+    totals = totals.join(buyers, F.col("category").eqNullSafe(F.col("category_of_buyers"))).drop("category_of_buyers")
     ranked = add(
         totals,
         {
