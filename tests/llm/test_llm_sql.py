@@ -17,5 +17,5 @@ def test_query_equals_sql(spark, directory, name):
 
 def test_all_are_registered():
     names = entry_module.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 14)} and "pipeline" in names
     assert set(registry.ORACLE) < set(registry.QUERIES)
