@@ -104,8 +104,9 @@ def test_all_tables_are_clustered_and_read_back(spark, finished):
     assert compacted == {*[f"silver_{t}" for t in TABLES], *[f"gold_{t}" for t in medallion.CLUSTERED_GOLD]}
     for name in compacted:
         layer, _, table = name.partition("_")
-        path = tables.current_path(spark, chosen.layout.path(layer, table))
-        assert all(path.rpartition("/")[2] in f for f in spark.table(f"{chosen.database}.{name}").inputFiles())
+        place = tables.location(spark, f"{chosen.database}.{name}")
+        assert chosen.layout.path(layer, table) in place
+        assert sorted(map(str, spark.read.parquet(place).collect())) == sorted(map(str, run.read(layer, table).collect()))
 
 
 def test_checks_of_what_arrived_are_reported(finished):
@@ -117,6 +118,81 @@ def test_checks_of_what_arrived_are_reported(finished):
     assert all(r.passed for r in report.money_scale.collect())
 
 
+def test_checks_on_the_way_equal_those_of_the_stored_tables(spark, finished):
+    """What the writes counted, against one look at each table as it is stored."""
+    from tradewind.plans import bronze, quality
+
+    run, report, _ = finished
+    silver = {t: run.read("silver", t) for t in TABLES}
+    assert sorted(report.silver_rules.collect()) == sorted(quality.silver_rule_results(silver).collect())
+    assert sorted(report.money_scale.collect()) == sorted(quality.money_scale_checks(silver).collect())
+    gold_tables = {t: run.read("gold", t) for t in medallion.GOLD_TABLES}
+    assert sorted(report.gold_quality.collect()) == sorted(quality.gold_assessment(gold_tables).collect())
+    nulls = bronze.union_reports([bronze.null_counts(run.read("raw", t), t) for t in TABLES])
+    assert sorted(report.bronze_nulls.collect()) == sorted(nulls.collect()) and any(r.null_count for r in nulls.collect())
+
+
+def test_the_checks_of_the_run_read_no_table_but_for_uniqueness(spark, finished, monkeypatch):
+    run, _, _ = finished
+    read, asked = run.read, []
+    monkeypatch.setattr(run, "read", lambda layer, table: asked.append(f"{layer}_{table}") or read(layer, table))
+    verdicts = run.check_silver()
+    run.check_gold()
+    run.check_money()
+    assert len(verdicts.collect()) == sum(map(len, medallion.quality.SILVER_RULES.values()))
+    assert sorted(asked) == sorted(f"silver_{t}" for t in TABLES)  # handed on, and looked at for uniqueness alone
+    sc = spark.sparkContext
+    sc.setJobGroup("verdicts", "")
+    try:
+        run.check_gold()
+        quality_job_ids = list(sc.statusTracker().getJobIdsForGroup("verdicts"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert quality_job_ids == []
+
+
+def test_a_rule_that_fails_on_the_data_does_not_stop_the_write(spark, small_dir, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    from tradewind.operators.rules import Rule
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS failing_rule")
+    chosen = replace(settings(tmp_path, "failing_rule"), clustered=False)
+    store_raw(spark, chosen.layout, small_dir)
+    rules = {**medallion.quality.SILVER_RULES, "orders": (Rule("breaks", "CAST(status AS INT) > 0"), *medallion.quality.SILVER_RULES["orders"])}
+    monkeypatch.setattr(medallion.quality, "SILVER_RULES", rules)
+    report = medallion.run(spark, chosen)
+    assert {o.status for o in report.log.outcomes.values()} == {SUCCESS}
+    found = {r.rule_name: r.passed for r in report.silver_rules.filter("table_name = 'orders'").collect()}
+    assert found.pop("breaks (error)") is False and set(found.values()) == {True}
+    spark.sql("DROP DATABASE failing_rule CASCADE")
+
+
+def test_bucketed_orders_join_without_an_exchange(spark, small_dir, tmp_path):
+    from dataclasses import replace
+
+    from tradewind.plans import gold
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucketed_run")
+    chosen = replace(settings(tmp_path, "bucketed_run"), order_buckets=6)
+    store_raw(spark, chosen.layout, small_dir)
+    run = medallion.Medallion(spark, chosen)
+    report = run.run()
+    assert report.status == SUCCESS and not {"compact_silver_orders", "compact_silver_order_items"} & set(report.log.outcomes)
+    orders, items = run.read("silver", "orders"), run.read("silver", "order_items")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = gold.sales_lines(orders, items)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        plain = gold.sales_lines(orders.repartition(3), items.repartition(5))
+        assert sorted(joined.collect()) == sorted(plain.collect()) == sorted(run.read("gold", medallion.SALES).collect())
+        totals = medallion.quality.order_total_mismatches(orders, items)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in totals
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sql("DROP DATABASE bucketed_run CASCADE")
+
+
 def test_reports_are_read_from_the_stored_tables(spark, finished, small_dir):
     run, _, _ = finished
     found = run.reports()

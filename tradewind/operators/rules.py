@@ -114,6 +114,34 @@ def check_rules_now(df: DataFrame, table: str, rules: Sequence[AnyRule]) -> Data
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
+def row_metrics(df: DataFrame, rules: Sequence[AnyRule], prefix: str = "rule") -> dict[str, str]:
+    """name -> aggregate of the row rules that fit the schema: failure counts a write of ``df`` can take on its way.
+
+    Rules on uniqueness aren't among them: distinct values can't be counted on the way.
+    """
+    rows = [rule for rule in rules if isinstance(rule, Rule)]
+    valid, _ = _counted(df, rows)
+    return {f"{prefix}_{rules.index(rule)}": rule.failures() for rule in valid}
+
+
+def settled_rules(stored: DataFrame, table: str, rules: Sequence[AnyRule], counts: Mapping[str, int] | None, prefix: str = "rule") -> DataFrame:
+    """The verdicts of ``check_rules_now`` from what the write of the table counted (``row_metrics``).
+
+    Only the rules on uniqueness look at the stored table, at their own column. Without ``counts`` all rules do.
+    """
+    if counts is None:
+        return check_rules_now(stored, table, rules)
+    rows = []
+    for place, rule in enumerate(rules):
+        if isinstance(rule, UniqueRule):
+            rows += check_rules_now(stored, table, [rule]).collect()
+        elif (failed := counts.get(f"{prefix}_{place}")) is not None:
+            rows.append((table, rule.name, int(failed), failed == 0))
+        else:
+            rows.append((table, f"{rule.name} (error)", None, False))
+    return stored.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
+
+
 def quality_scores(results: DataFrame) -> DataFrame:
     """Share of passed rules per table in percent, one decimal."""
     return aggregate(

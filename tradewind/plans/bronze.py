@@ -47,6 +47,16 @@ def null_counts(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def null_metrics(columns: Sequence[str]) -> dict[str, str]:
+    """name -> aggregate of the NULLs of each column, to be counted by the write of a table."""
+    return {f"null_{i}": f"count_if(`{c}` IS NULL)" for i, c in enumerate(columns) if not c.startswith(METADATA_PREFIX)}
+
+
+def nulls_of_counts(table: str, columns: Sequence[str], counts: Mapping[str, int]) -> list[tuple[str, str, int]]:
+    """The rows of ``null_counts`` from what the write counted."""
+    return [(table, c, int(counts[f"null_{i}"] or 0)) for i, c in enumerate(columns) if f"null_{i}" in counts]
+
+
 def duplicate_count(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     """table_name, record_count, distinct_count, duplicate_count over the key columns.
 

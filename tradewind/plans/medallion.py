@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.config import TABLES, Layout, Thresholds
-from tradewind.operators.rules import check_rules_now, quality_scores, require
+from tradewind.operators.rules import quality_scores, require, row_metrics, settled_rules
 from tradewind.plans import bronze, gold, kpis, quality, reports, silver
 from tradewind.plans.audit import ERROR, SUCCESS, Outcome, RunLog, log_step
 from tradewind.sources import tables as io
@@ -40,7 +40,9 @@ class Settings:
 
     ``required``: gold is built only if the rules that silver customers must hold do hold. ``clustered``: all silver and
     gold tables are rewritten in clustered order at the end. ``expected_columns``: what each raw table should
-    have; by default what it has.
+    have; by default what it has. ``order_buckets``: silver orders and items are stored in so many buckets by order
+    instead of clustered, so that joining and adding them up by order needs no exchange; not for data in which single orders
+    hold a large share of the lines, as a bucket is read by one task.
     """
 
     layout: Layout
@@ -52,6 +54,11 @@ class Settings:
     required: bool = False
     clustered: bool = True
     expected_columns: Mapping[str, Sequence[str]] | None = None
+    order_buckets: int | None = None
+
+    def buckets_of(self, layer: str, table: str) -> tuple[int, Sequence[str]] | None:
+        bucketed = self.order_buckets and layer == "silver" and table in ("orders", "order_items")
+        return (self.order_buckets, ("order_id",)) if bucketed else None
 
     def survivors(self, table: str) -> Sequence[str]:
         return (self.survivor_order or {}).get(table, ())
@@ -90,29 +97,38 @@ class Medallion:
         self.raw_checks: DataFrame | None = None
         self.bronze_validation: DataFrame | None = None
         self.bronze_nulls: DataFrame | None = None
+        # What the write of each table counted on its way, by step; None where a rule failed on the data.
+        self.counted: dict[str, dict | None] = {}
 
     # Files ---------------------------------------------------------------------------------
 
     def read(self, layer: str, table: str) -> DataFrame:
-        return io.read_layer(self.spark, self.settings.layout.path(layer, table), self.settings.fmt)
-
-    def _write(self, df: DataFrame, layer: str, table: str, sources: Sequence[str] = ()) -> int:
-        return io.overwrite(df, self.settings.layout.path(layer, table), self.settings.fmt, sources)
-
-    def _register(self, layer: str, table: str, properties: Mapping[str, str] | None = None) -> None:
-        name = self.settings.catalog_name(f"{layer}_{table}")
-        io.register(self.spark, name, self.settings.layout.path(layer, table), self.settings.fmt, properties)
+        """Raw tables are read by their path, all others through their catalog entries."""
+        if layer == "raw":
+            return io.read_layer(self.spark, self.settings.layout.path(layer, table), self.settings.fmt)
+        return io.read_table(self.spark, self.settings.catalog_name(f"{layer}_{table}"))
+
+    def _publish(
+        self, df: DataFrame, layer: str, table: str, properties: Mapping[str, str] | None = None, metrics: Mapping[str, str] | None = None
+    ) -> dict:
+        s = self.settings
+        name, path = s.catalog_name(f"{layer}_{table}"), s.layout.path(layer, table)
+        return io.publish(df, name, path, s.fmt, properties, metrics, s.buckets_of(layer, table))
 
     # Bronze --------------------------------------------------------------------------------
 
     def ingest_to_bronze(self, source: str, target: str, table: str) -> int:
-        """Add metadata to a raw table and store it; returns the number of rows, errors are logged and raised."""
+        """Add metadata to a raw table and publish it below ``target``; returns the number of rows, errors are logged and raised."""
+        step = f"bronze_{table}"
 
         def work() -> int:
             raw = io.read_layer(self.spark, source, self.settings.fmt)
-            return io.overwrite(bronze.with_metadata(raw, table), target, self.settings.fmt, [source])
+            name, fmt = self.settings.catalog_name(step), self.settings.fmt
+            metrics = bronze.null_metrics(raw.columns)
+            self.counted[step] = found = io.publish(bronze.with_metadata(raw, table), name, target, fmt, metrics=metrics)
+            return int(found["rows"])
 
-        return self.log.step(f"bronze_{table}", work, reraise=True).records
+        return self.log.step(step, work, reraise=True).records
 
     def check_raw(self) -> DataFrame | None:
         """Verdicts on the tables as they arrived, each failed one logged; nothing is held back for them."""
@@ -125,18 +141,18 @@ class Medallion:
         return checks
 
     def check_bronze(self) -> None:
-        """Counts, columns and duplicates of each bronze table, and NULLs per column; one small result for all."""
+        """Counts, columns and duplicates of each bronze table, and the NULLs per column that its write counted."""
         stored = self._stored("bronze", TABLES)
         reports, nulls = [], []
         for table, df in stored.items():
             raw = [c for c in df.columns if c not in BRONZE_COLUMNS]
             expected = (self.settings.expected_columns or {}).get(table, raw)
             reports.append(bronze.validation_report(df, table, [*expected, *BRONZE_COLUMNS], [KEYS[table]]))
-            nulls.append(bronze.null_counts(df.select(*raw), table))
+            nulls += bronze.nulls_of_counts(table, raw, self.counted[f"bronze_{table}"])
         if not reports:
             return
         self.bronze_validation = self._settled(bronze.union_reports(reports))
-        self.bronze_nulls = self._settled(bronze.union_reports(nulls), 10_000)
+        self.bronze_nulls = io.rows_to_frame(self.spark, nulls, "table_name string, column_name string, null_count bigint")
         for r in self.bronze_validation.collect():
             odd = [f"missing {', '.join(r.missing_columns)}"] if r.missing_columns else []
             odd += [f"unexpected {', '.join(r.extra_columns)}"] if r.extra_columns else []
@@ -148,7 +164,6 @@ class Medallion:
         self.raw_checks = self._try("Raw checks", self.check_raw)
         for table in TABLES:
             self.ingest_to_bronze(layout.path("raw", table), layout.path("bronze", table), table)
-            self._register("bronze", table)
         self._try("Bronze validation", self.check_bronze)
 
     def _try(self, name: str, check: Callable[[], DataFrame | None]) -> DataFrame | None:
@@ -172,24 +187,37 @@ class Medallion:
             return silver.clean_orders(df, s.as_of, s.thresholds, order)
         return silver.clean_order_items(df, s.thresholds, order)
 
+    def store_silver(self, table: str) -> int:
+        """Clean and publish a table; its write counts the rows that break rules, and amounts off scale.
+
+        A rule may also fail on the data (a cast, say), and the write with it: then the table is written without them, and
+        the rules are checked one by one on what is stored.
+        """
+        step, df = f"silver_{table}", self.clean(table)
+        metrics = {**row_metrics(df, quality.SILVER_RULES[table]), **quality.money_metrics(table)}
+        if table == "customers":
+            metrics |= row_metrics(df, quality.REQUIRED_CUSTOMER_RULES, "required")
+        try:
+            self.counted[step] = found = self._publish(df, "silver", table, io.silver_properties(table), metrics)
+        except PySparkException as error:
+            log_step(f"Rules on the way of {step}", ERROR, str(error).splitlines()[0])
+            self.counted[step], found = None, self._publish(df, "silver", table, io.silver_properties(table))
+        return int(found["rows"])
+
     def run_silver(self) -> None:
         for table in TABLES:
-            outcome = self.log.step(
-                f"silver_{table}", lambda t=table: self._write(self.clean(t), "silver", t), [f"bronze_{table}"]
-            )
-            if outcome.succeeded:
-                self._register("silver", table, io.silver_properties(table))
+            self.log.step(f"silver_{table}", lambda t=table: self.store_silver(t), [f"bronze_{table}"])
 
     def _stored(self, layer: str, names: Sequence[str]) -> dict[str, DataFrame]:
         return {t: self.read(layer, t) for t in names if self.log.succeeded([f"{layer}_{t}"])}
 
     def check_silver(self) -> DataFrame | None:
-        """Verdicts of the silver rules; one job per table, a handful of rows each."""
+        """Verdicts of the silver rules, a handful of rows each; uniqueness alone reads the stored tables."""
         stored = self._stored("silver", TABLES)
         if not stored:
             return None
         return bronze.union_reports(
-            [check_rules_now(df, t, quality.SILVER_RULES[t]) for t, df in stored.items()]
+            [settled_rules(df, t, quality.SILVER_RULES[t], self.counted[f"silver_{t}"]) for t, df in stored.items()]
         )
 
     def check_references(self) -> DataFrame | None:
@@ -201,18 +229,20 @@ class Medallion:
         """The step that gold waits for if the settings ask for it; fails with the rules that do not hold."""
 
         def work() -> int:
-            customers = self.read("silver", "customers")
-            require(check_rules_now(customers, "customers", quality.REQUIRED_CUSTOMER_RULES))
+            customers, counts = self.read("silver", "customers"), self.counted["silver_customers"]
+            require(settled_rules(customers, "customers", quality.REQUIRED_CUSTOMER_RULES, counts, "required"))
             return 0
 
         self.log.step(REQUIRED, work, ["silver_customers"])
 
     def check_money(self) -> DataFrame | None:
-        """Amounts with more decimals than the sums of money keep, per column; each is logged."""
-        stored = self._stored("silver", tuple(quality.MONEY_COLUMNS))
-        if len(stored) < len(quality.MONEY_COLUMNS):
+        """Amounts with more decimals than the sums of money keep, per column, as the writes counted them; each is logged."""
+        if not self.log.succeeded([f"silver_{t}" for t in quality.MONEY_COLUMNS]):
             return None
-        return self._noted("Money scale", self._settled(quality.money_scale_checks(stored)))
+        counts = {t: self.counted[f"silver_{t}"] for t in quality.MONEY_COLUMNS}
+        if None in counts.values():
+            return self._noted("Money scale", self._settled(quality.money_scale_checks(self._stored("silver", tuple(counts)))))
+        return self._noted("Money scale", quality.money_scale_of_counts(self.spark, counts))
 
     def _settled(self, small: DataFrame, limit: int = 100) -> DataFrame:
         return self.spark.createDataFrame(io.to_driver(small, limit), small.schema)
@@ -280,32 +310,29 @@ class Medallion:
     def run_gold(self) -> None:
         """Join orders and lines once, store that, and build the item reports from it."""
         first = [REQUIRED] if self.settings.required else []
+        s = self.settings
+
+        def stored(df: DataFrame, table: str, properties: Mapping[str, str] | None = None) -> int:
+            metrics = {"null_issues": quality.null_issues(df.columns, table)} if table in GOLD_TABLES else {}
+            self.counted[f"gold_{table}"] = found = self._publish(df, "gold", table, properties, metrics)
+            return int(found["rows"])
+
         self.log.step(
             SALES,
-            lambda: self._write(
-                gold.sales_lines(self.read("silver", "orders"), self.read("silver", "order_items")), "gold", SALES
-            ),
+            lambda: stored(gold.sales_lines(self.read("silver", "orders"), self.read("silver", "order_items")), SALES),
             ("silver_orders", "silver_order_items", *first),
         )
         self.log.step(
             FIGURES,
-            lambda: self._write(
-                gold.product_figures(
-                    self.read("silver", "products"), self.read("gold", SALES), self.settings.as_of, self.settings.thresholds
-                ),
-                "gold",
-                FIGURES,
-            ),
+            lambda: stored(gold.product_figures(self.read("silver", "products"), self.read("gold", SALES), s.as_of, s.thresholds), FIGURES),
             ("silver_products", SALES),
         )
         for table, (plan, needs, updated) in self._gold_plans().items():
-            outcome = self.log.step(
+            self.log.step(
                 f"gold_{table}",
-                lambda p=plan, t=table, u=updated: self._write(gold.with_metadata(p(), updated=u), "gold", t),
+                lambda p=plan, t=table, u=updated: stored(gold.with_metadata(p(), updated=u), t, io.gold_properties(t)),
                 [*needs, *first],
             )
-            if outcome.succeeded:
-                self._register("gold", table, io.gold_properties(table))
 
     def write_kpis(self) -> Outcome:
         path = self.settings.layout.path("gold", KPIS)
@@ -320,13 +347,15 @@ class Medallion:
         return self.log.step(f"gold_{KPIS}", work, [f"gold_{t}" for t in sources])
 
     def check_gold(self) -> DataFrame | None:
-        stored = self._stored("gold", GOLD_TABLES)
-        return self._settled(quality.gold_assessment(stored)) if stored else None
+        """Grades of the gold tables by the NULLs that their writes counted; no table is read."""
+        done = [t for t in GOLD_TABLES if self.log.succeeded([f"gold_{t}"])]
+        counts = {t: (int(found["rows"]), int(found["null_issues"] or 0)) for t in done if (found := self.counted[f"gold_{t}"])}
+        return quality.assessment_of_counts(self.spark, counts) if counts else None
 
     # Upkeep --------------------------------------------------------------------------------
 
     def compact(self, layer: str, table: str, files: int | None = None) -> str:
-        """Rewrite a stored table in clustered order under a new path and move the catalog entry there."""
+        """Publish a stored table anew in clustered order; returns where it is."""
         name = f"{layer}_{table}"
         if not self.log.succeeded([name]):
             raise ValueError(f"{name} was not written by this run")
@@ -334,12 +363,11 @@ class Medallion:
         return io.rewrite_clustered(self.spark, self.settings.catalog_name(name), current, self.settings.fmt, files, name)
 
     def compact_all(self) -> None:
-        """Cluster every silver and gold table that this run wrote, and remove the versions nobody reads any more."""
+        """Cluster every silver and gold table that this run wrote and that isn't stored in buckets."""
         for layer, names in (("silver", TABLES), ("gold", CLUSTERED_GOLD)):
             for table in names:
-                if self.log.succeeded([f"{layer}_{table}"]):
+                if self.log.succeeded([f"{layer}_{table}"]) and not self.settings.buckets_of(layer, table):
                     self.log.step(f"compact_{layer}_{table}", lambda a=layer, b=table: self.compact(a, b) and 0)
-                    io.remove_old_versions(self.spark, self.settings.layout.path(layer, table))
 
     def reports(self) -> dict[str, Callable[[], DataFrame]]:
         """The reports over the stored gold tables, by name; each reads its tables when it is called."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.config import TABLES
 from tradewind.functions.money import money_sum, off_scale
@@ -158,18 +158,46 @@ def money_scale_checks(silver: Mapping[str, DataFrame]) -> DataFrame:
     return union_reports(reports)
 
 
+def money_metrics(table: str) -> dict[str, str]:
+    """name -> aggregate of the amounts off scale, to be counted by the write of a table."""
+    return {f"money_{c}": f"count_if({off_scale(c)})" for c in MONEY_COLUMNS.get(table, ())}
+
+
+def money_scale_of_counts(spark: SparkSession, counts: Mapping[str, Mapping[str, int]]) -> DataFrame:
+    """The checks of ``money_scale_checks`` from what the writes of the tables counted."""
+    rows = [
+        (f"{table}_{c}_off_scale", int(counts[table][f"money_{c}"] or 0), not counts[table][f"money_{c}"])
+        for table, columns in MONEY_COLUMNS.items() if table in counts for c in columns
+    ]
+    return spark.createDataFrame(rows, "check_name string, failed_count bigint, passed boolean")
+
+
 def checks_passed(checks: DataFrame) -> DataFrame:
     return aggregate(checks, [], {"checks_passed": "count_if(passed)", "checks_total": "COUNT(*)"})
 
 
+def null_issues(columns: Sequence[str], table: str) -> str:
+    """Aggregate: NULLs among the key figures of a gold table."""
+    return " + ".join(f"count_if({c} IS NULL)" for c in GOLD_KEY_COLUMNS[table] if c in columns) or "CAST(0 AS BIGINT)"
+
+
 def null_assessment(df: DataFrame, table: str) -> DataFrame:
     """table_name, total_records, null_issues, quality_score, status from the key figures; one scan."""
-    nulls = " + ".join(f"count_if({c} IS NULL)" for c in GOLD_KEY_COLUMNS[table] if c in df.columns)
-    totals = aggregate(df, [], {"total_records": "COUNT(*)", "null_issues": nulls or "CAST(0 AS BIGINT)"})
+    totals = aggregate(df, [], {"total_records": "COUNT(*)", "null_issues": null_issues(df.columns, table)})
+    return _graded(totals.selectExpr(f"{text(table)} AS table_name", "*"))
+
+
+def assessment_of_counts(spark: SparkSession, counts: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """The same from (records, NULLs) of each table as its write counted them."""
+    rows = [(table, records, nulls) for table, (records, nulls) in counts.items()]
+    return _graded(spark.createDataFrame(rows, "table_name string, total_records bigint, null_issues bigint"))
+
+
+def _graded(totals: DataFrame) -> DataFrame:
     # Graded on the full score; only the reported score is rounded.
     score = "IF(total_records > 0, greatest(0.0D, 100.0D - null_issues / total_records * 100), 0.0D)"
     return totals.selectExpr(
-        f"{text(table)} AS table_name",
+        "table_name",
         "total_records",
         "null_issues",
         f"round({score}, 1) AS quality_score",

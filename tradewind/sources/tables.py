@@ -1,13 +1,15 @@
 """Tables as directories and as catalog entries.
 
-The format is a parameter everywhere; Parquet is the default because every Spark has it.
+A table of a layer is an external catalog entry. Publishing writes a complete new version to a folder of its own and
+then points the entry there, all with Spark's own SQL: ``spark.table`` and a plain read of the entry's location see
+the version in force, and a job that fails leaves the one before. The format is a parameter everywhere; Parquet is the
+default because every Spark has it.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -18,60 +20,7 @@ from tradewind.operators.layout import CLUSTER_COLUMNS, cluster_table
 log = logging.getLogger(__name__)
 
 METADATA_PREFIXES = ("silver_", "bronze_")
-VERSION_MARK, POINTER_MARK = "__v_", "__current"
-
-
-# A table that is overwritten keeps its rows in a version directory beside its path, <path>__v_<id>; the small file
-# <path>__current names the version in force. A failed write leaves the pointer, and with it the table, as it was.
-
-
-def _hadoop(spark: SparkSession, path: str):
-    """The file system of a path, and the path, as Spark's own readers and writers see them."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def current_path(spark: SparkSession, path: str) -> str:
-    """Where the rows of a table are: the version in force, or the path itself if it was never overwritten."""
-    path = path.rstrip("/")
-    files, pointer = _hadoop(spark, path + POINTER_MARK)
-    if not files.exists(pointer):
-        return path
-    stream = files.open(pointer)
-    try:
-        version = bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-    return path + version
-
-
-def _publish(spark: SparkSession, path: str, version: str) -> None:
-    """Put a version in force. The pointer is written beside and renamed, so a reader sees the old or the new one."""
-    files, pointer = _hadoop(spark, path + POINTER_MARK)
-    _, draft = _hadoop(spark, f"{path}{POINTER_MARK}_{version.removeprefix(VERSION_MARK)}")
-    stream = files.create(draft, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
-    renames = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    renames[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(files.makeQualified(draft), files.makeQualified(pointer), renames)
-
-
-def remove_old_versions(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> int:
-    """Delete the versions of a table that are neither in force nor in ``keep``; returns how many went."""
-    path = path.rstrip("/")
-    files, place = _hadoop(spark, path)
-    if not files.exists(place.getParent()):
-        return 0
-    wanted = {p.rstrip("/").rpartition("/")[2] for p in (current_path(spark, path), *keep)}
-    gone = 0
-    for status in files.listStatus(place.getParent()):
-        name = status.getPath().getName()
-        if name.startswith(place.getName() + VERSION_MARK) and name not in wanted:
-            files.delete(status.getPath(), True)
-            gone += 1
-    return gone
+VERSIONS = 3  # folders that the versions of a table take in turn
 
 
 def read_layer(
@@ -86,7 +35,7 @@ def read_layer(
         reader = reader.schema(schema)
     if merge_schema:
         reader = reader.option("mergeSchema", "true")
-    return reader.load(current_path(spark, path))
+    return reader.load(path)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -99,64 +48,134 @@ def _inside(path: str, other: str) -> bool:
     return one.startswith(two) or two.startswith(one)
 
 
+def _observed(df: DataFrame, metrics: Mapping[str, str] | None) -> tuple[DataFrame, Observation]:
+    """``df`` with a row count and further aggregates that are taken while it is written."""
+    seen = Observation()
+    more = [F.expr(sql).alias(name) for name, sql in (metrics or {}).items()]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), seen
+
+
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet", sources: Sequence[str] = ()) -> int:
-    """Replace the table at ``path``, schema included, and return the number of rows written.
+    """Replace the files at ``path``, schema included, and return the number of rows written.
 
-    The rows go to a new version, which is put in force when it is complete; the version before it stays for those
-    who are reading it, older ones are removed. The rows are counted by the write itself: the plan runs once.
-    ``sources`` are the paths the plan reads; a table is not to be replaced by what is read from it.
+    This is Spark's own overwrite, for folders without a catalog entry: the old files go before the new ones are complete, so a job
+    that fails loses them; ``publish`` doesn't. ``sources`` are the paths the plan reads; a table is not to be replaced by
+    what is read from it. The rows are counted by the write itself: the plan runs once.
     """
     for source in sources:
         if _inside(path, source):
-            raise ValueError(f"{path} is read by the plan that would overwrite it; write to a new version instead")
-    spark, path = df.sparkSession, path.rstrip("/")
-    before = current_path(spark, path)
-    version = f"{VERSION_MARK}{uuid4().hex[:12]}"
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).save(path + version)
-    _publish(spark, path, version)
-    remove_old_versions(spark, path, [before])
+            raise ValueError(f"{path} is read by the plan that would overwrite it; publish a new version instead")
+    df, seen = _observed(df, None)
+    df.write.format(fmt).mode("overwrite").save(path)
     return int(seen.get.get("rows", 0))
 
 
-def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Add rows to an audit table."""
-    df.write.format(fmt).mode("append").save(path)
+def _details(spark: SparkSession, name: str) -> dict[str, str]:
+    """What the catalog says about an entry, by its headings (Location, Num Buckets, ...)."""
+    return {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
 
 
-def rows_to_frame(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str) -> DataFrame:
-    """A typed frame from a few driver rows (audit entries); data never takes this way."""
-    return spark.createDataFrame(list(rows), schema)
+def location(spark: SparkSession, name: str) -> str | None:
+    """The folder of the version in force; None without an entry."""
+    return _details(spark, name)["Location"] if spark.catalog.tableExists(name) else None
 
 
-def _quoted(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _columns(schema: StructType) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in schema]
 
 
-def register(
-    spark: SparkSession, name: str, path: str, fmt: str = "parquet", properties: Mapping[str, str] | None = None
+def _create(spark: SparkSession, name: str, schema: StructType, fmt: str, place: str, buckets: tuple[int, Sequence[str]] | None) -> None:
+    columns = ", ".join(f"`{column}` {kind}" for column, kind in _columns(schema))
+    grouped = ""
+    if buckets:
+        keys = ", ".join(f"`{c}`" for c in buckets[1])
+        grouped = f" CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets[0]} BUCKETS"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING {fmt}{grouped} LOCATION {_quoted(place)}")
+
+
+def publish(
+    df: DataFrame,
+    name: str,
+    path: str,
+    fmt: str = "parquet",
+    properties: Mapping[str, str] | None = None,
+    metrics: Mapping[str, str] | None = None,
+    buckets: tuple[int, Sequence[str]] | None = None,
+    versions: int = VERSIONS,
+) -> dict:
+    """Replace table ``name``, schema included, by a version below ``path``; returns its ``rows`` and ``metrics`` (name -> count).
+
+    The versions take the folders ``path/v0``, ``path/v1``, ... in turn. The rows are written to the next one, which is not the one in
+    force, through an entry of their own; then the entry is pointed there in one statement, or, if columns or buckets
+    changed, made anew with its properties. The plan may read the table that it replaces. Readers of a
+    version are undisturbed until its folder's turn comes again, ``versions - 1`` publications later. One writer a table at a time.
+    ``buckets`` (number, columns): files are dealt and sorted by these columns, so that joins and groupings by them need no exchange.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    before = location(spark, name)
+    turn = before.rpartition("/v")[2] if before else ""
+    place = f"{path}/v{(int(turn) + 1) % versions if turn.isdigit() else 0}"
+    staged = f"{name}__next"
+    spark.sql(f"DROP TABLE IF EXISTS {staged}")
+    _create(spark, staged, df.schema, fmt, place, buckets)
+    try:
+        watched, seen = _observed(df, metrics)
+        watched.write.insertInto(staged, overwrite=True)
+        _point(spark, name, df.schema, fmt, place, buckets, properties)
+    finally:
+        spark.sql(f"DROP TABLE {staged}")  # external: the files stay
+    return {"rows": 0, **dict.fromkeys(metrics or {}, 0), **seen.get}  # an empty plan may be written without being observed
+
+
+def _point(
+    spark: SparkSession, name: str, schema: StructType, fmt: str, place: str, buckets: tuple[int, Sequence[str]] | None, properties: Mapping[str, str] | None
 ) -> None:
-    """External catalog table over the version of a path that is in force.
+    """An entry for these files; one that has other columns or buckets is made anew, its properties included.
 
-    An existing entry is pointed there and refreshed. If its columns aren't those of the files, it is made anew,
-    its properties included: an entry keeps the columns it was made with, and would hide the others.
+    An entry keeps the columns it was made with, and would hide the others.
     """
-    place = current_path(spark, path)
     kept: dict[str, str] = {}
-    if spark.catalog.tableExists(name):
-        columns = [(f.name, f.dataType) for f in spark.read.format(fmt).load(place).schema]
-        if [(f.name, f.dataType) for f in spark.table(name).schema] != columns:
+    exists = spark.catalog.tableExists(name)
+    if exists:
+        details = _details(spark, name)
+        dealt = (details.get("Num Buckets"), details.get("Bucket Columns"))
+        wanted = (str(buckets[0]), str([f"`{c}`" for c in buckets[1]]).replace("'", "")) if buckets else (None, None)
+        if _columns(spark.table(name).schema) != _columns(schema) or dealt != wanted:
             kept = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
             kept = {k: v for k, v in kept.items() if not k.startswith(("spark.", "transient_"))}
             spark.sql(f"DROP TABLE {name}")  # external: the files stay
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING {fmt} LOCATION {_quoted(place)}")
-    spark.sql(f"ALTER TABLE {name} SET LOCATION {_quoted(place)}")
+            exists = False
+    if exists:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {_quoted(place)}")
+    else:
+        _create(spark, name, schema, fmt, place, buckets)
     if stamped := {**kept, **(properties or {})}:
         pairs = ", ".join(f"{_quoted(key)} = {_quoted(value)}" for key, value in stamped.items())
         spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({pairs})")
     spark.catalog.refreshTable(name)
 
 
+def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Add rows to an audit table."""
+    df.write.format(fmt).mode("append").save(path)
+
+
+def rows_to_frame(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str) -> DataFrame:
+    """A typed frame from a few driver rows (audit entries); data never takes this way."""
+    return spark.createDataFrame(list(rows), schema)
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def register(
+    spark: SparkSession, name: str, path: str, fmt: str = "parquet", properties: Mapping[str, str] | None = None
+) -> None:
+    """External catalog entry over the files at a path; an existing entry is pointed there and refreshed."""
+    _point(spark, name, spark.read.format(fmt).load(path).schema, fmt, path, None, properties)
+
+
 def silver_properties(table: str) -> dict[str, str]:
     return {
         "description": f"Silver layer cleaned and enriched {table}",
@@ -182,22 +201,19 @@ def rewrite_clustered(
     files: int | None = None,
     layout_of: str | None = None,
 ) -> str:
-    """Rewrite a table in clustered order as a new version, and point its catalog entry there.
+    """Publish a table anew in clustered order. ``layout_of`` names the layout where the catalog name is qualified.
 
-    The files are read, not the entry, so columns that the entry doesn't know are kept. Readers of the old version go
-    on undisturbed, and a failed rewrite leaves the table as it was. ``layout_of`` names the layout to use where
-    the catalog name is qualified. Returns the new path.
+    Readers of the old version go on undisturbed, and a failed rewrite leaves the table as it was. Returns the new location.
     """
     layout = layout_of or name
     if layout not in CLUSTER_COLUMNS:
         raise ValueError(f"no cluster columns are defined for {layout}")
-    source = read_layer(spark, path, fmt)
+    source = read_table(spark, name)
     clustered = cluster_table(source, layout, files)
     if clustered.columns != source.columns:
         raise ValueError(f"the clustered copy of {name} would have other columns than its source")
-    overwrite(clustered, path, fmt)
-    register(spark, name, path, fmt)
-    return current_path(spark, path)
+    publish(clustered, name, path, fmt)
+    return location(spark, name)
 
 
 def preview(df: DataFrame, order_by: Sequence[str], columns: int = 10, rows: int = 3) -> DataFrame:
