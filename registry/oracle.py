@@ -577,15 +577,10 @@ SUMMARY_SQL = "\nUNION ALL\n".join(
         _summary("last_registration", "NULL", "MAX(registration_date)", "raw_customers"),
     ]
 )
-# Every age up to the highest is a column, whether or not a cohort has a rate for it; the row that names them all goes.
 _MATRIX = """
-SELECT * FROM (
-  PIVOT (
-    SELECT cohort_month, 'month_' || months_since_first_purchase AS age, retention_rate FROM cohort_by_month
-    UNION ALL
-    SELECT NULL, 'month_' || unnest(range((SELECT MAX(months_since_first_purchase) FROM cohort_by_month) + 1)), NULL
-  ) ON age USING MAX(retention_rate) GROUP BY cohort_month
-) WHERE cohort_month IS NOT NULL"""
+SELECT cohort_month, string_agg(months_since_first_purchase || '=' || CAST(retention_rate AS DECIMAL(18,2)), ' '
+       ORDER BY months_since_first_purchase) AS rates
+FROM cohort_by_month GROUP BY cohort_month"""
 _MEAN8 = "CAST(SUM(CAST({0} AS DECIMAL(28,8))) AS DOUBLE) / COUNT({0})"
 
 SELECTS: dict[str, str] = {

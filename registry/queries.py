@@ -203,6 +203,12 @@ def _stamps(df: DataFrame, keys: tuple[str, ...], updated: bool) -> DataFrame:
     return replace(stamped, {c: f"CAST({c} AS STRING)" for c in moments})
 
 
+def _retention_matrix(shop: Shop) -> DataFrame:
+    """The matrix, its rates as text: age=rate with two decimals, by age."""
+    rates = "transform(map_entries(rates), e -> concat(e.key, '=', CAST(e.value AS DECIMAL(18,2))))"
+    return insights.retention_matrix(shop.monthly_cohorts).selectExpr("cohort_month", f"array_join({rates}, ' ') AS rates")
+
+
 def _feature_rows(shop: Shop) -> DataFrame:
     """The feature vectors, unpacked."""
     rows = forecast.with_features(forecast.with_month_number(shop.months))
@@ -320,7 +326,7 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "an09_monthly_trend": lambda s: insights.monthly_trend(s.months),
     "an10_daily_revenue": lambda s: insights.daily_revenue(s.days),
     "an11_weekday_performance": lambda s: insights.weekday_performance(s.days),
-    "an12_retention_matrix": lambda s: insights.retention_matrix(s.monthly_cohorts),
+    "an12_retention_matrix": _retention_matrix,
     "an12_retention_rates": lambda s: insights.retention_rates(s.monthly_cohorts),
     "an13_cohort_start_sizes": lambda s: insights.cohort_sizes_at_start(s.monthly_cohorts),
     "an14_executive_metrics": lambda s: insights.executive_metrics(

@@ -197,7 +197,7 @@ def test_reports_are_read_from_the_stored_tables(spark, finished, small_dir):
     run, _, _ = finished
     found = run.reports()
     for name, query in (
-        ("retention_matrix", "an12_retention_matrix"), ("cohort_sizes", "an13_cohort_start_sizes"),
+        ("retention_rates", "an12_retention_rates"), ("cohort_sizes", "an13_cohort_start_sizes"),
         ("executive_metrics", "an14_executive_metrics"), ("order_value_histogram", "an16_order_value_histogram"),
     ):
         direct = entry_module.queries()[query](spark, small_dir)

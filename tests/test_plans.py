@@ -47,16 +47,47 @@ def scans(df, table):
     return physical(df).count(f"{table}.parquet")
 
 
-def test_category_sales_multiply_no_lines(shop):
-    assert "Expand" not in physical(shop.categories)
+def test_category_sales_read_the_lines_once(shop):
+    plan = shop.categories
+    assert "Expand" not in physical(plan) and scans(plan, "lineitem") == 1 and scans(plan, "orders") == 1
 
 
-def test_a_histogram_reads_its_input_once(shop, tmp_path):
-    path = str(tmp_path / "customers")
-    shop.customers.write.parquet(path)
-    stored = shop.spark.read.parquet(path)
-    histogram = insights.order_value_histogram(stored)
-    assert sorted(histogram.collect()) == sorted(insights.order_value_histogram(shop.customers).collect())
+def test_a_histogram_computes_its_input_once(spark, tmp_path):
+    """Counted by an accumulator in the input: each row is computed for one of both uses."""
+    from pyspark.sql import functions as F
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000, numPartitions=4).select((F.col("id") % 70).cast("double").alias("avg_order_value")).mapInArrow(seen, "avg_order_value double")
+    histogram = insights.order_value_histogram(df)
+    assert calls.value == 0
+    assert sum(r.customer_count for r in histogram.collect()) == 1000 and calls.value == 1000
+
+
+def test_the_rank_computes_the_figures_once(shop):
+    plan = gold.product_analytics(shop.silver["products"], shop.sales, retail.AS_OF, retail.THRESHOLDS)
+    text = physical(plan)
+    # Every scan of the lines is inside what is kept, which has one of them.
+    assert text.count("InMemoryRelation") >= 4 and text.count("lineitem.parquet") == text.count("InMemoryRelation")
+
+
+def test_kept_rows_go_with_the_result(spark):
+    from tradewind.operators.reuse import computed_once
+
+    def stored():
+        return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    before = stored()
+    result = computed_once(spark.range(100).selectExpr("id % 7 AS k"), lambda df: df.join(df.groupBy("k").count(), "k"))
+    assert result.count() == 100 and stored() == before + 1
+    derived = result.where("k = 1")
+    del result
+    assert stored() == before and derived.count() == 15
 
 
 def test_raw_checks_read_a_table_once_per_key(shop):
@@ -86,12 +117,28 @@ def test_the_rank_starts_no_job_and_no_checkpoint(spark, shop):
 
 
 def test_a_cohort_of_any_age_keeps_its_rates(spark):
-    cohorts = spark.createDataFrame([("1990-01", 0, 100.0), ("1990-01", 100, 25.0), ("1998-01", 0, 100.0)], "cohort_month string, months_since_first_purchase int, retention_rate double")
-    wide = {r.cohort_month: r for r in insights.retention_matrix(cohorts).collect()}
-    assert wide["1990-01"].month_100 == 25.0 and wide["1998-01"].month_100 is None
-    assert insights.retention_rates(cohorts).count() == 3
-    with pytest.raises(ValueError, match="100 months"):
-        insights.retention_matrix(cohorts, range(80))
+    rows = [("1990-01", 0, 100.0), ("1990-01", 100, 25.0), ("1998-01", 0, 100.0), ("1998-01", 1, None)]
+    cohorts = spark.createDataFrame(rows, "cohort_month string, months_since_first_purchase int, retention_rate double")
+    group = spark.sparkContext
+    group.setJobGroup("matrix-plan", "")
+    try:
+        matrix, narrow = insights.retention_matrix(cohorts), insights.retention_table(cohorts, [0, 1])
+        assert list(group.statusTracker().getJobIdsForGroup("matrix-plan")) == []
+    finally:
+        group.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in matrix.collect()] == [("1990-01", {0: 100.0, 100: 25.0}), ("1998-01", {0: 100.0, 1: None})]
+    assert insights.retention_rates(cohorts).count() == 4
+    with pytest.raises(Exception, match="1990-01 has rates for months that are not among the columns: 100"):
+        narrow.collect()
+    wide = insights.retention_table(cohorts, range(101)).collect()
+    assert (wide[0].month_100, wide[0].month_1, wide[1].month_0) == (25.0, None, 100.0)
+
+
+def test_an_inner_age_that_is_not_named_is_not_lost(spark):
+    rows = [("2000-01", age, 50.0) for age in (0, 1, 2)]
+    cohorts = spark.createDataFrame(rows, "cohort_month string, months_since_first_purchase int, retention_rate double")
+    with pytest.raises(Exception, match="columns: 1"):
+        insights.retention_table(cohorts, [0, 2]).collect()
 
 
 def test_revenue_adds_up_over_every_cut(shop):

@@ -6,38 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-RANGES = 32
+# Buckets by value: as many as the session's shuffle partitions, within these limits. Parts of one bucket by key, at most.
+FEWEST, MOST, SPLITS = 16, 1_024, 64
 _KEY, _VALUE, _BORDERS, _BUCKET, _SPLIT, _BEFORE, _INSIDE = "__key", "__value", "__borders", "__bucket", "__split", "__before", "__inside"
 
 
-def global_rank(df: DataFrame, value: str, key: str, name: str, values: DataFrame | None = None) -> DataFrame:
+def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
     """Add ``name`` = 1..n by ``value`` descending, NULLs last, then by the unique ``key``.
 
     A few quantiles of the values are the borders of buckets: one bucket for each stretch between two borders, and one
     for each border itself, which takes a value that very many rows share. In such a bucket only the key orders the rows,
     so it is cut again at quantiles of the keys. Rows are numbered inside their bucket and moved up by what
     the buckets before hold. The borders are a scalar subquery: no job runs while the plan is built, and both uses of
-    the buckets see the same ones. What passes through one task, and is broadcast, has one row per bucket, of which there are
-    at most ``2 * RANGES * RANGES``.
+    the buckets see the same ones. There are as many borders as shuffle partitions, so a bucket is about what a task of any other step
+    gets. What is broadcast has one row per bucket, ``2 * MOST * SPLITS`` at most.
 
-    All this sees the two columns only, and computes them three times; the rank is joined to the full rows by the key.
-    ``values``, a frame of the same keys and values, may give them in a cheaper way than ``df`` does. Keys that
-    aren't numbers are cut by their first seven bytes; many keys with one beginning then share a bucket.
+    All but the last join sees the two columns only. ``df`` is read four times: a stored table, or rows that ``computed_once`` keeps.
+    Keys that aren't numbers are cut by their first seven bytes; many keys with one beginning then share a bucket.
     """
-    narrow = (df if values is None else values).select(F.col(key).alias(_KEY), F.col(value).alias(_VALUE))
+    narrow = df.select(F.col(key).alias(_KEY), F.col(value).alias(_VALUE))
+    ranges = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), FEWEST), MOST)
     number = _KEY
     if not isinstance(df.schema[key].dataType, NumericType):
         number = f"CAST(conv(hex(substr(CAST({_KEY} AS STRING), 1, 7)), 16, 10) AS BIGINT)"
-    shares = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    shares, splits = (", ".join(f"{i / n}D" for i in range(1, n)) for n in (ranges, min(ranges, SPLITS)))
     borders = narrow.selectExpr(
         f"struct(array_distinct(percentile_approx({_VALUE}, array({shares}))) AS v,"
-        f" array_distinct(percentile_approx({number}, array({shares}))) AS k) AS borders"
+        f" array_distinct(percentile_approx({number}, array({splits}))) AS k) AS borders"
     ).scalar()
     at_border = f"coalesce(array_contains({_BORDERS}.v, {_VALUE}), false)"
     placed = narrow.withColumn(_BORDERS, borders).selectExpr(
         _KEY,
         _VALUE,
-        f"IF({_VALUE} IS NULL, {2 * RANGES + 1}, 2 * size(filter({_BORDERS}.v, b -> b >= {_VALUE})) - IF({at_border}, 1, 0)) AS {_BUCKET}",
+        f"IF({_VALUE} IS NULL, {2 * ranges + 1}, 2 * size(filter({_BORDERS}.v, b -> b >= {_VALUE})) - IF({at_border}, 1, 0)) AS {_BUCKET}",
         f"IF({at_border} OR {_VALUE} IS NULL, coalesce(size(filter({_BORDERS}.k, b -> b < {number})), 0), 0) AS {_SPLIT}",
     )
     sizes = placed.groupBy(_BUCKET, _SPLIT).agg(F.expr("COUNT(*) AS n"))

@@ -16,6 +16,7 @@ from tradewind.functions import calendar, segments
 from tradewind.functions.money import micros_sum, percent, ratio, total_of_micros
 from tradewind.functions.sql import add, aggregate, text
 from tradewind.operators.ranking import global_rank, small_rank
+from tradewind.operators.reuse import computed_once
 
 # Status counted as a sale, version stamp, and the labels of the segments.
 COMPLETED = "completed"
@@ -331,16 +332,13 @@ def product_figures(
 def product_analytics(
     products: DataFrame, sales: DataFrame, as_of: date, thresholds: Thresholds = Thresholds()
 ) -> DataFrame:
-    """Product figures with revenue_rank, the place among all products."""
-    figures = product_figures(products, sales, as_of, thresholds)
-    sold = aggregate(sales, ["product_id"], {"total_revenue": REVENUE})
-    revenues = products.select("product_id").join(sold, "product_id", "left")
-    return with_revenue_rank(figures, revenues.selectExpr("product_id", "coalesce(total_revenue, 0.0D) AS total_revenue"))
+    """Product figures with revenue_rank, the place among all products; the figures are computed once for both."""
+    return computed_once(product_figures(products, sales, as_of, thresholds), with_revenue_rank)
 
 
-def with_revenue_rank(figures: DataFrame, revenues: DataFrame | None = None) -> DataFrame:
-    """Best read from a stored table, as the rank looks at the revenues more than once; ``revenues`` spares it the rest."""
-    return global_rank(figures, "total_revenue", "product_id", "revenue_rank", revenues)
+def with_revenue_rank(figures: DataFrame) -> DataFrame:
+    """Best over a stored table, as the rank looks at the revenues more than once."""
+    return global_rank(figures, "total_revenue", "product_id", "revenue_rank")
 
 
 # Sales -----------------------------------------------------------------------------------------
@@ -409,22 +407,31 @@ def daily_sales(orders: DataFrame) -> DataFrame:
 def category_sales(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Per category: quantity, money, distinct orders, customers and products, rank by revenue.
 
-    Added up per (category, product), and per (category, customer, order), first: what is to be counted
-    are then rows, and a category with most of the lines is spread over all tasks. The lines are not multiplied.
+    What is to be counted is made into rows: of (customer, order), which also carry the sums, and of products, both from
+    one pass over the sales lines. So a category with most of the lines is spread over all tasks; the second copy of a line is a product
+    alone, of which each task keeps one.
     """
     sold = sales.join(products.select("product_id", "category"), "product_id")
-    per_product = aggregate(sold, ["category", "product_id"], {part: f"SUM({part})" for part in LINE_PARTS})
-
+    no_sums = ", ".join("NULL" for _ in LINE_PARTS)
+    kept = sold.selectExpr(
+        "category",
+        f"stack(2, true, customer_id, order_id, {', '.join(LINE_PARTS)}, false, product_id, NULL, {no_sums})"
+        f" AS (is_order, one, two, {', '.join(LINE_PARTS)})",
+    )
+    sums = {part: f"SUM({part})" for part in LINE_PARTS}
+    per_order = aggregate(kept, ["category", "is_order", "one", "two"], sums)
     # An order has one customer, so orders are counted on the way to customers.
-    per_order = aggregate(sold, ["category", "customer_id", "order_id"], {"n": "COUNT(*)"})
-    per_customer = aggregate(per_order, ["category", "customer_id"], {"orders": "COUNT(order_id)"})
-    buyers = aggregate(
-        per_customer, ["category"], {"unique_orders": "SUM(orders)", "unique_customers": "COUNT(customer_id)"}
-    ).withColumnRenamed("category", "category_of_buyers")
+    per_customer = aggregate(per_order, ["category", "is_order", "one"], {**sums, "orders": "COUNT(two)"})
     totals = aggregate(
-        per_product, ["category"], {**_line_sums("total_discounts", "total_items"), "unique_products": "COUNT(product_id)"}
+        per_customer,
+        ["category"],
+        {
+            **_line_sums("total_discounts", "total_items"),
+            "unique_products": "COUNT(IF(is_order, NULL, one))",
+            "unique_orders": "SUM(orders)",
+            "unique_customers": "COUNT(IF(is_order, one, NULL))",
+        },
     )
-    totals = totals.join(buyers, F.col("category").eqNullSafe(F.col("category_of_buyers"))).drop("category_of_buyers")
     ranked = add(
         totals,
         {

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.money import money_avg, money_sum, percent, ratio
 from tradewind.functions.sql import aggregate, long_form, text
+from tradewind.operators.reuse import computed_once
 from tradewind.plans.kpis import BEST_CATEGORY, COUNT_ACTIVE, COUNT_HIGH_VALUE, COUNT_SOLD
 
 
@@ -97,23 +98,29 @@ def weekday_performance(days: DataFrame) -> DataFrame:
     return means.orderBy("weekday_performance")
 
 
-def last_cohort_month(cohorts: DataFrame) -> int:
-    """Highest age among the cohorts: one number, to size the matrix."""
-    return int(cohorts.agg(F.max("months_since_first_purchase")).first()[0] or 0)
+def retention_matrix(cohorts: DataFrame) -> DataFrame:
+    """cohort_month, and ``rates``: a map from full months since the first purchase to the retention.
+
+    A row is as wide as its cohort is old, so no column list has to be known, and no job runs to find one.
+    """
+    pair = F.struct(F.col("months_since_first_purchase"), F.col("retention_rate"))
+    entries = F.array_sort(F.collect_list(F.when(F.col("months_since_first_purchase").isNotNull(), pair)))
+    # Bounded: a cohort has one row per month of age.
+    return cohorts.groupBy("cohort_month").agg(F.map_from_entries(entries).alias("rates")).orderBy("cohort_month")
 
 
-def retention_matrix(cohorts: DataFrame, months: Sequence[int] | None = None) -> DataFrame:
-    """Cohorts in rows, full months since the first purchase in columns ``month_<n>``, retention inside.
+def retention_table(cohorts: DataFrame, months: Sequence[int]) -> DataFrame:
+    """The matrix with a column ``month_<n>`` for each of ``months``, for a chart of known width.
 
-    The columns are all ages up to the highest that occurs, which is found by one small job. ``months`` may name
-    more; an age that occurs and isn't named is an error, as its rates would be lost.
+    A cohort with a rate for an age that isn't among them stops the query, as its rates would be lost.
     """
-    highest = last_cohort_month(cohorts)
-    ages = list(range(highest + 1)) if months is None else list(months)
-    if highest not in ages and not cohorts.isEmpty():
-        raise ValueError(f"cohorts reach the age of {highest} months, which is not among the columns")
-    wide = cohorts.groupBy("cohort_month").pivot("months_since_first_purchase", ages).agg(F.first("retention_rate"))
-    return wide.selectExpr("cohort_month", *[f"`{age}` AS month_{age}" for age in ages]).orderBy("cohort_month")
+    named = f"array({', '.join(str(int(m)) for m in months)})" if months else "CAST(array() AS ARRAY<INT>)"
+    other = f"array_except(map_keys(rates), {named})"
+    checked = (
+        f"IF(size({other}) > 0, raise_error(concat('cohort ', cohort_month, ' has rates for months that are not among the columns: ',"
+        f" array_join({other}, ', '))), cohort_month) AS cohort_month"
+    )
+    return retention_matrix(cohorts).selectExpr(checked, *[f"rates[{int(m)}] AS month_{int(m)}" for m in months])
 
 
 def retention_rates(cohorts: DataFrame) -> DataFrame:
@@ -171,14 +178,20 @@ def top_category(categories: DataFrame) -> DataFrame:
 def order_value_histogram(customers: DataFrame, bins: int = 20, column: str = "avg_order_value") -> DataFrame:
     """Customers per equal-width bin between the smallest and the largest value; empty bins are left out.
 
-    The two borders come from one scalar subquery, not from a job of their own.
+    The customers are counted per value first, in one pass; borders and bins come from these counts.
     """
-    values = customers.select(F.col(column).alias("v")).filter("v IS NOT NULL")
-    borders = values.selectExpr("struct(MIN(v) AS low, MAX(v) AS high) AS borders").scalar()
-    values = values.select("v", borders.alias("b"))
+    counts = aggregate(customers.filter(f"{column} IS NOT NULL"), [column], {"n": "COUNT(*)"}).withColumnRenamed(column, "v")
+    return computed_once(counts, lambda kept: _binned(kept, bins))
+
+
+def _binned(counts: DataFrame, bins: int) -> DataFrame:
+    """The histogram of (value v, number n)."""
+    borders = counts.selectExpr("struct(MIN(v) AS low, MAX(v) AS high) AS borders").scalar()
     place = f"floor({bins} * (v - b.low) / NULLIF(b.high - b.low, 0.0D)) + 1"
-    binned = values.selectExpr(f"CAST(least(coalesce({place}, 1), {bins}) AS INT) AS bin", "b.low", "b.high")
-    counted = aggregate(binned, ["bin", "low", "high"], {"customer_count": "COUNT(*)"})
+    binned = counts.select("v", "n", borders.alias("b")).selectExpr(
+        f"CAST(least(coalesce({place}, 1), {bins}) AS INT) AS bin", "b.low", "b.high", "n"
+    )
+    counted = aggregate(binned, ["bin", "low", "high"], {"customer_count": "SUM(n)"})
     return counted.selectExpr(
         "bin",
         f"low + (bin - 1) * (high - low) / {bins} AS bin_start",
