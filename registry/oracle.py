@@ -350,6 +350,23 @@ SELECT order_year, order_month, total_orders, slope * month_numeric + intercept
 FROM split_months, fitted_line WHERE NOT is_train
 """
 
+CTES["category_months"] = """
+SELECT category, CAST(year(o.order_date) AS INTEGER) AS order_year, CAST(month(o.order_date) AS INTEGER) AS order_month,
+       COUNT(DISTINCT o.order_id) AS total_orders, CAST(SUM(quantity) AS BIGINT) AS total_quantity_sold
+FROM silver_order_items i JOIN done o ON i.order_id = o.order_id JOIN silver_products p ON i.product_id = p.product_id
+GROUP BY 1, 2, 3
+"""
+CTES["split_category_months"] = """
+SELECT *, month_numeric < low + ceil((high - low + 1) * 0.8::DOUBLE) AS is_train
+FROM (SELECT *, MIN(month_numeric) OVER w AS low, MAX(month_numeric) OVER w AS high
+      FROM (SELECT *, order_year * 12 + order_month AS month_numeric FROM category_months) WINDOW w AS (PARTITION BY category))
+"""
+CTES["category_lines"] = """
+SELECT category, regr_slope(total_orders, month_numeric) AS slope, regr_intercept(total_orders, month_numeric) AS intercept,
+       CAST(regr_count(total_orders, month_numeric) AS BIGINT) AS months
+FROM split_category_months WHERE is_train GROUP BY category
+"""
+
 RULES = {
     "customers": (
         ("no_null_customer_id", "customer_id IS NOT NULL"),
@@ -484,6 +501,44 @@ def _bronze(table: str) -> str:
     )
 
 
+def _let(x: str, body: str) -> str:
+    """``body`` with v standing for the value of ``x``."""
+    return f"list_transform([{x}], lambda v: {body})[1]"
+
+
+def _murmur3(text: str) -> str:
+    """Signed 32-bit Murmur3 (seed 42) of an ASCII text: blocks of four bytes, then each byte of the tail as a block."""
+
+    def u(n: int) -> str:
+        return f"CAST({n} AS UBIGINT)"
+
+    mask = u(0xFFFFFFFF)
+
+    def times(x: str, n: int) -> str:
+        return f"(({x}) * {u(n)} & {mask})"
+
+    def rotate(x: str, r: int) -> str:
+        return _let(x, f"((v << {r}) | (v >> {32 - r})) & {mask}")
+
+    def spread(x: str, r: int) -> str:
+        return _let(x, f"xor(v, v >> {r})")
+
+    parts = (
+        f"list_transform([list_transform(range(1, length({text}) + 1), lambda i: CAST(ord(({text})[i]) AS UBIGINT))], lambda b: list_concat("
+        f"list_transform(range(0, len(b) // 4), lambda k: b[4 * k + 1] + b[4 * k + 2] * {u(1 << 8)} + b[4 * k + 3] * {u(1 << 16)} + b[4 * k + 4] * {u(1 << 24)}),"
+        f" b[len(b) - len(b) % 4 + 1:len(b)]))[1]"
+    )
+    mixed = rotate(f"xor(h, {times(rotate(times('k', 0xCC9E2D51), 15), 0x1B873593)})", 13)
+    blocks = f"list_reduce(list_prepend({u(42)}, {parts}), lambda h, k: ({times(mixed, 5)} + {u(0xE6546B64)}) & {mask})"
+    ended = spread(f"xor({blocks}, CAST(length({text}) AS UBIGINT))", 16)
+    ended = spread(times(spread(times(ended, 0x85EBCA6B), 13), 0xC2B2AE35), 16)
+    return _let(ended, f"CAST(CASE WHEN v >= {u(1 << 31)} THEN CAST(v AS BIGINT) - {1 << 32} ELSE CAST(v AS BIGINT) END AS INTEGER)")
+
+
+def _joined(table: str) -> str:
+    return f"concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in DIGEST_COLUMNS[table])})"
+
+
 def _gold_nulls(table: str, source: str, columns: tuple[str, ...]) -> str:
     issues = " + ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL)" for c in columns)
     return f"""
@@ -606,10 +661,11 @@ FROM ("""
         f" (SELECT COUNT(*) FROM silver_{t}) AS silver_records" for t in KEYS
     )
     + ") n JOIN quality_scores q ON n.table_name = q.table_name",
-    "br01_bronze_orders_full": """
-SELECT *, '2001-08-02 12:30:00' AS bronze_ingestion_timestamp, DATE '2001-08-02' AS bronze_ingestion_date,
-       'data_generation' AS source_system, 'orders' AS source_table, 'raw' AS data_quality_status FROM raw_orders""",
-    "br04_record_hash": "SELECT order_id, ingest_seq, true AS hashed FROM raw_orders",
+    "br01_bronze_orders_full": f"""
+SELECT * EXCLUDE (joined), '2001-08-02 12:30:00' AS bronze_ingestion_timestamp, DATE '2001-08-02' AS bronze_ingestion_date,
+       {_murmur3('joined')} AS record_hash, true AS has_record_id
+FROM (SELECT *, {_joined('orders')} AS joined FROM ({_bronze('orders')}))""",
+    "br04_record_hash": f"SELECT order_id, ingest_seq, {_murmur3('joined')} AS record_hash FROM (SELECT *, {_joined('orders')} AS joined FROM raw_orders)",
     "br05_record_id": "SELECT COUNT(*) AS records, COUNT(*) AS ids, COUNT(*) AS distinct_ids FROM raw_orders",
     "br03_bronze_customers": _bronze("customers"),
     "br03_bronze_products": _bronze("products"),
@@ -772,6 +828,11 @@ GROUP BY bin, low, high""",
     "ml04_fitted_line": f"SELECT {_six('slope')} AS slope, {_six('intercept')} AS intercept, months FROM fitted_line",
     "ml05_predictions": f"SELECT order_year, order_month, total_orders, {_six('prediction')} AS prediction,"
     f" {_six('residual')} AS residual FROM predictions",
+    "gs07_category_months": "SELECT * FROM category_months",
+    "ml04_lines_by_category": f"SELECT category, {_six('slope')} AS slope, {_six('intercept')} AS intercept, months FROM category_lines",
+    "ml05_rmse_by_category": f"SELECT s.category, {_six('sqrt(avg(pow(total_orders - (slope * month_numeric + intercept), 2)))')} AS rmse,"
+    " COUNT(*) AS test_months FROM split_category_months s JOIN category_lines l ON s.category = l.category"
+    " WHERE NOT is_train GROUP BY s.category",
     "ml05_rmse": f"SELECT {_six('sqrt(avg(pow(residual, 2)))')} AS rmse, COUNT(residual) AS test_months FROM predictions",
 }
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.functions.sql import aggregate, replace
-from tradewind.functions.text import record_md5
+from tradewind.functions.text import record_hash, record_md5
 from tradewind.operators.layout import cluster_table
 from tradewind.operators.rules import check_rules, quality_scores
 from tradewind.plans import bronze, forecast, gold, insights, kpis, quality, silver
@@ -132,6 +132,11 @@ class Shop:
     def monthly_cohorts(self) -> DataFrame:
         return gold.cohort_by_month(self.silver["customers"], self.silver["orders"])
 
+    @cached_property
+    def split_category_months(self) -> DataFrame:
+        months = gold.category_months(self.sales, self.silver["products"])
+        return forecast.with_split(forecast.with_month_number(months), by=["category"])
+
     @cached_property
     def split_months(self) -> DataFrame:
         return forecast.with_split(forecast.with_month_number(self.months))
@@ -189,13 +194,21 @@ def _model_forecast(shop: Shop) -> DataFrame:
 
 
 def _bronze_full(shop: Shop) -> DataFrame:
-    """Bronze orders as of a fixed time, without digests and row ids."""
+    """Bronze orders as of a fixed time; both digests over the columns that read alike as text in every engine."""
     return bronze.with_metadata(shop.raw["orders"], "orders", LOADED_AT).selectExpr(
         "* EXCEPT (bronze_ingestion_timestamp, record_hash, record_md5, bronze_record_id)",
         "CAST(bronze_ingestion_timestamp AS STRING) AS bronze_ingestion_timestamp",
+        f"{record_hash(DIGEST_COLUMNS['orders'])} AS record_hash",
+        f"{record_md5(DIGEST_COLUMNS['orders'])} AS record_md5",
+        "bronze_record_id IS NOT NULL AND bronze_record_id >= 0 AS has_record_id",
     )
 
 
+def _record_hashes(shop: Shop) -> DataFrame:
+    """The Murmur3 hash of every raw order."""
+    return shop.raw["orders"].selectExpr("order_id", "ingest_seq", f"{record_hash(DIGEST_COLUMNS['orders'])} AS record_hash")
+
+
 def _stamps(df: DataFrame, keys: tuple[str, ...], updated: bool) -> DataFrame:
     """Gold metadata as of a fixed time, times as text."""
     stamped = gold.with_metadata(df.select(*keys), LOADED_AT, updated)
@@ -249,9 +262,7 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "br03_bronze_products": lambda s: _bronze_table(s, "products"),
     "br03_bronze_orders": lambda s: _bronze_table(s, "orders"),
     "br03_bronze_order_items": lambda s: _bronze_table(s, "order_items"),
-    "br04_record_hash": lambda s: s.bronze["orders"].selectExpr(
-        "order_id", "ingest_seq", "record_hash IS NOT NULL AS hashed"
-    ),
+    "br04_record_hash": _record_hashes,
     "br05_record_id": lambda s: aggregate(
         s.bronze["orders"],
         [],
@@ -296,6 +307,7 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "gp10_metadata": lambda s: _stamps(s.products, ("product_id",), True),
     "gs01_monthly_sales": lambda s: s.months,
     "gs01_monthly_counts": lambda s: gold.monthly_counts(s.silver["orders"]),
+    "gs07_category_months": lambda s: gold.category_months(s.sales, s.silver["products"]),
     "gs06_daily_sales": lambda s: s.days,
     "gs07_category_sales": lambda s: s.categories,
     "gs09_metadata": lambda s: _stamps(s.days, ("order_date",), False),
@@ -345,11 +357,17 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "ml02_features": _feature_rows,
     "ml03_time_split": lambda s: s.split_months.select("order_year", "order_month", "is_train"),
     "ml04_fitted_line": lambda s: _rounded(forecast.fit_line(s.split_months), "slope", "intercept"),
+    "ml04_lines_by_category": lambda s: _rounded(
+        forecast.lines_of_sums(forecast.regression_sums(s.split_category_months, ["category"]), ["category"]), "slope", "intercept"
+    ),
     "ml04_model_forecast": _model_forecast,
     "ml05_predictions": lambda s: _rounded(
         forecast.predict(s.split_months).select("order_year", "order_month", "total_orders", "prediction", "residual"),
         "prediction", "residual",
     ),
+    "ml05_rmse_by_category": lambda s: _rounded(
+        forecast.rmse(forecast.predict(s.split_category_months, ["category"]), ["category"]), "rmse"
+    ),
     "ml05_rmse": lambda s: _rounded(forecast.rmse(forecast.predict(s.split_months)), "rmse"),
 }
 

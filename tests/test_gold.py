@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tradewind.config import Thresholds
 from tradewind.plans import forecast, gold, insights, kpis, silver
@@ -284,3 +285,42 @@ def test_forecast_per_group(spark):
     lines = {r.category: round(r.slope, 9) for r in forecast.fit_line(split, ["category"]).collect()}
     assert lines == {"x": 2.0, "y": 5.0}
     assert forecast.rmse(forecast.predict(split, ["category"])).first().rmse < 1e-6
+
+
+def test_lines_per_group_come_from_sums_that_add_up(spark):
+    """Against numpy; sums of two halves of the months, stored apart, give the lines of the whole."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(g, 1998 + m // 12, m % 12 + 1, rng.randrange(10**12)) for g, n in (("a", 40), ("b", 25), (None, 9), ("one", 1)) for m in range(n)]
+    months = forecast.with_month_number(spark.createDataFrame(rows, "category string, order_year int, order_month int, total_orders bigint"))
+    split = forecast.with_split(months, by=["category"])
+    sums = forecast.regression_sums(split, ["category"])
+    halves = sums.filter("month_numeric % 2 = 0").unionAll(sums.filter("month_numeric % 2 = 1"))
+    merged = halves.groupBy("category").agg(*[F.sum(c).alias(c) for c in forecast.SUMS])
+    lines = {r.category: r for r in forecast.lines_of_sums(sums, ["category"]).collect()}
+    assert lines == {r.category: r for r in forecast.lines_of_sums(merged, ["category"]).collect()}
+    train = {}
+    for r in split.collect():
+        if r.is_train:
+            train.setdefault(r.category, []).append((r.month_numeric, r.total_orders))
+    assert lines["one"].slope is None and {k: len(v) for k, v in train.items()} == {k: r.months for k, r in lines.items()}
+    for g in ("a", "b", None):
+        slope, intercept = np.polyfit(*np.array(train[g], float).T, 1)
+        assert np.isclose(lines[g].slope, slope, rtol=1e-6) and np.isclose(lines[g].intercept, intercept, rtol=1e-6)
+    errors = {r.category: r for r in forecast.rmse(forecast.predict(split, ["category"]), ["category"]).collect()}
+    held = [r for r in split.collect() if r.category == "a" and not r.is_train]
+    expected = np.sqrt(np.mean([(r.total_orders - lines["a"].slope * r.month_numeric - lines["a"].intercept) ** 2 for r in held]))
+    assert np.isclose(errors["a"].rmse, expected) and errors["a"].test_months == len(held) == 8
+    assert {"a", "b", None} <= set(errors)  # a group without a name has its line too
+
+
+def test_category_months_count_orders_once(cleaned, sales):
+    rows = {(r.category, r.order_year, r.order_month): r.total_orders for r in gold.category_months(sales, cleaned["products"]).collect()}
+    joined = sales.join(cleaned["products"].select("product_id", "category"), "product_id").collect()
+    expected = {}
+    for r in joined:
+        expected.setdefault((r.category, r.order_date.year, r.order_date.month), set()).add(r.order_id)
+    assert rows == {k: len(v) for k, v in expected.items()}

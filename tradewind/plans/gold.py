@@ -389,6 +389,24 @@ def monthly_counts(orders: DataFrame) -> DataFrame:
     return months.orderBy("order_year", "order_month")
 
 
+def category_months(sales: DataFrame, products: DataFrame) -> DataFrame:
+    """Per category and month: orders with a line of the category, and the quantity sold.
+
+    Added up per (category, order) first, so orders are rows to count; one category or order may hold most of the lines.
+    """
+    sold = sales.join(products.select("product_id", "category"), "product_id")
+    per_order = aggregate(
+        sold.selectExpr("category", "order_id", "quantity", "year(order_date) AS order_year", "month(order_date) AS order_month"),
+        ["category", "order_year", "order_month", "order_id"],
+        {"quantity": "SUM(quantity)"},
+    )
+    return aggregate(
+        per_order,
+        ["category", "order_year", "order_month"],
+        {"total_orders": "COUNT(order_id)", "total_quantity_sold": "SUM(quantity)"},
+    )
+
+
 def daily_sales(orders: DataFrame) -> DataFrame:
     day = ["order_date", "order_day_name", "is_weekend"]
     days = aggregate(
