@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.store import running, stored
 
-CELLS = 200_000  # places at which the driver may cut, at most
+CELLS = 1_000_000  # places at which the driver may cut that it sees at once
 
 
-def cuts_of(starts: np.ndarray, total: int, shards: int) -> list[int]:
+def cuts_of(starts: np.ndarray, total: int, shards: int, largest: int = 0) -> list[int]:
     """Where shards 1, 2, ... begin, among the ``starts`` of atomic groups that lie one after the other up to ``total``.
 
+    Starts may be missing where no cut lies; ``largest`` is then the size of the largest group.
+
     The smallest feasible capacity is found by binary search; a capacity is feasible if filling each shard as far as
     it goes needs at most ``shards`` of them. Within that capacity each cut is put as near as can be to an even share of
     what is left, so that no shard is full at the price of the last. A shard is empty only if there are fewer groups.
@@ -33,7 +35,7 @@ def cuts_of(starts: np.ndarray, total: int, shards: int) -> list[int]:
                 return True
         return False
 
-    low, high = max(int((ends - starts).max()), -(-total // shards)), total
+    low, high = max(largest or int((ends - starts).max()), -(-total // shards)), total
     while low < high:
         middle = (low + high) // 2
         low, high = (low, middle) if feasible(middle) else (middle + 1, high)
@@ -53,6 +55,63 @@ def cuts_of(starts: np.ndarray, total: int, shards: int) -> list[int]:
     return cuts
 
 
+def walk(starts: np.ndarray, limits: np.ndarray, total: int, shards: int, capacity: int) -> list[int]:
+    """How far 1, 2, ... shards of this capacity reach. A start that stands for a cell of them counts as its last possible one, ``limits``."""
+    at, out = 0, []
+    for _ in range(shards):
+        i = int(np.searchsorted(starts, at + capacity, "right")) - 1
+        at = total if at + capacity >= total else max(at, min(at + capacity, int(limits[i]))) if i >= 0 else at
+        out.append(at)
+    return out
+
+
+def smallest(starts: np.ndarray, limits: np.ndarray, total: int, shards: int, low: int, high: int) -> int:
+    """The smallest capacity from ``low`` to ``high`` at which the last shard reaches the end."""
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if walk(starts, limits, total, shards, middle)[-1] >= total else (middle + 1, high)
+    return low
+
+
+def boundaries(atoms: DataFrame, total: int, largest: int, shards: int) -> np.ndarray:
+    """Starts of groups, among them all at which an optimal partition cuts; ``CELLS`` or fewer are fetched at once.
+
+    Where there are more, the first start of each cell of equal length is fetched. The capacity that these starts
+    allow is too large, the one found by taking every cell's last place for a start too small; between the two, each of
+    the shards can only end in a window some cells wide. The starts in these windows follow, in finer cells if they
+    are too many, until all of them are known: the search over the result is then the search over all starts.
+    """
+    if atoms.count() <= CELLS:
+        return np.sort(np.asarray(atoms.distinct().toArrow().column(0)))
+    low, high, windows, cell = max(largest, -(-total // shards)), total, [(0, total)], max(1, total // CELLS)
+    starts = limits = np.zeros(0, np.int64)
+    while True:
+        near = F.lit(False)
+        for a, b in windows:
+            near = near | F.col("start").between(a, b)
+        inside = atoms.where(near)
+        exact = cell == 1 or inside.count() <= CELLS
+        if not exact:
+            inside = inside.groupBy((F.col("start") / cell).cast("long")).agg(F.min("start").alias("start")).select("start")
+        found = np.sort(np.asarray(inside.distinct().toArrow().column(0)))
+        ends = found if exact else np.minimum((found // cell + 1) * cell - 1, total)
+        # Starts that are known already may be found again; the finer limit holds.
+        starts, first = np.unique(np.concatenate([found, starts]), return_index=True)
+        limits = np.concatenate([ends, limits])[first]
+        if exact:
+            return starts
+        high = smallest(starts, starts, total, shards, low, high)
+        low = smallest(starts, limits, total, shards, low, high)
+        spans = zip(walk(starts, starts, total, shards, low), walk(starts, limits, total, shards, high), strict=True)
+        windows = []
+        for a, b in sorted(spans):
+            if windows and a <= windows[-1][1] + 1:
+                windows[-1] = (windows[-1][0], max(b, windows[-1][1]))
+            else:
+                windows.append((a, b))
+        cell = max(1, min(cell // 2, -(-sum(b - a + 1 for a, b in windows) // CELLS)))
+
+
 def shard_evenly(
     docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -60,9 +119,8 @@ def shard_evenly(
 
     The size is the UTF-8 length plus ``overhead``. Rows of equal text are a group and stay together, unless they
     exceed an even share by themselves: no partition with such a group whole has shards of nearly one size, so its rows
-    are then placed one by one. Groups lie in the order of their smallest ids. What the driver sees are at most
-    200,000 places at which it may cut, the first group start in each of as many cells of equal size; where a cell
-    holds more, the largest shard exceeds the optimum by at most two cells, 1/2500 of a share of 40.
+    are then placed one by one. Groups lie in the order of their smallest ids. The largest shard is the smallest
+    possible for this order; the driver sees a million group starts at once, and of more groups those near the cuts (``boundaries``).
 
     NULL texts equal empty ones; a NULL id comes last; rows that repeat id and text get slots of their own. Extra
     columns are ignored; an empty table gives an empty result.
@@ -82,12 +140,11 @@ def shard_evenly(
         "id", "size", "text_crc32", "same", "low", (F.col("bytes") > F.lit(total / shards)).alias("split"), F.lit(1).cast("long").alias("one")
     )
     laid = stored(running(placed, [], ["low", "same", "id"], {"start": "size", "number": "one"}))
-    cell = max(1, total // CELLS)
-    atoms = laid.where("not split").groupBy("same").agg(F.min("start").alias("start")).select("start")
-    atoms = atoms.unionAll(laid.where("split").select("start"))
-    places = atoms.groupBy((F.col("start") / cell).cast("long")).agg(F.min("start").alias("start")).select("start")
-    starts = np.sort(places.toPandas()["start"].to_numpy(np.int64))  # at most one row per cell
-    cuts = cuts_of(starts, int(total), shards) if len(starts) else []
+    atoms = laid.where("not split").groupBy("same").agg(F.min("start").alias("start"), F.sum("size").alias("size")).select("start", "size")
+    atoms = stored(atoms.unionAll(laid.where("split").select("start", "size")))
+    largest = atoms.agg(F.max("size")).first()[0] or 0
+    starts = boundaries(atoms.select("start"), int(total), int(largest), shards)
+    cuts = cuts_of(starts, int(total), shards, int(largest)) if len(starts) else []
     shard = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("start"))) if cuts else F.lit(0)
     dealt = laid.withColumn("shard", shard)
     first = {r["shard"]: r["n"] for r in dealt.groupBy("shard").agg(F.min("number").alias("n")).collect()}
