@@ -14,6 +14,7 @@ from tradewind.llm.store import bound_batches, running, stored
 from tradewind.llm.words import SPACE, documents, mix
 
 PIECE = 1 << 14  # slots that one row is unfolded into at once
+SLOTS_PER_TASK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -61,16 +62,15 @@ def draws(slots: list[int], s: Settings) -> np.ndarray:
     for k in range(s.shards):
         rng = np.random.Generator(np.random.PCG64([s.seed, k]))
         out[k] = rng.multinomial(total // s.shards + (k < total % s.shards), n / total)
-    over = out.sum(axis=0) - n
-    k = 0
+    over, k = out.sum(axis=0) - n, 0
     while over.any():
-        for i in np.flatnonzero(over > 0):
-            for j in np.flatnonzero(over < 0):
-                m = min(int(over[i]), int(-over[j]), int(out[k, i]), max(1, int(over[i]) // s.shards))
-                out[k, i] -= m
-                out[k, j] += m
-                over[i] -= m
-                over[j] += m
+        # Of this shard's blocks, those of sources that have too many give way to sources that have too few.
+        give = np.minimum(np.minimum(np.maximum(over, 0), out[k]), np.maximum(1, over // s.shards))
+        take = np.maximum(-over, 0)
+        moved = min(give.sum(), take.sum())
+        give, take = (np.clip(moved - (np.cumsum(x) - x), 0, x) for x in (give, take))
+        out[k] += take - give
+        over += take - give
         k = (k + 1) % s.shards
     return out
 
@@ -177,7 +177,7 @@ def mix_sources(
     sums over all shards are what the targets ask for. The slots of a source are numbered through all shards; the slot
     number leads, through a pseudorandom permutation of the source's blocks, one for each round, to the block. A block
     comes once a round, so no document exceeds its source's cap. What passes through the driver are one row per
-    source and one per source and shard.
+    source and one per source and shard: sources are collections, some ten thousand at most, not sites or pages.
 
     NULL texts have no words; NULL is the last source; sources without words have the target 0. Rows that repeat id
     and text are documents of their own. Extra columns are ignored; an empty table gives an empty mix.
@@ -210,11 +210,13 @@ def mix_sources(
             out = [b.column(c) for c in ("shard", "slot", "source_key")]
             yield pa.RecordBatch.from_arrays([*out, pa.array(permuted(number % size, size, seeds)), pa.array(rounds)], ["shard", "slot", "source_key", "block", "round"])
 
+    # A fixed number of tasks: the rows of the plan are few and small, but what they unfold into isn't.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // SLOTS_PER_TASK)
     planned = spark.createDataFrame(plan, "shard int, source_key string, source_number bigint, blocks bigint, first bigint, begin bigint, n bigint")
     piece = F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("n") - 1) / PIECE).cast("long")))
     unfolded = (
         planned.withColumn("piece", piece)
-        .repartition("shard", "source_key", "piece")
+        .repartition(tasks, "shard", "source_key", "piece")
         .withColumn("i", F.explode(F.sequence(F.col("piece") * PIECE, F.least(F.col("n"), (F.col("piece") + 1) * PIECE) - 1)))
     )
     slots = unfolded.select(
@@ -236,7 +238,8 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix as rows with the columns of ``docs``: each document once for each round that takes words of it, with these words.
 
-    Ids are expected to be unique; rows that repeat id and text each get the words that the mix takes of all of them.
+    Ids are expected to be unique: rows that repeat id and text each get the words that the mix takes of all of them, which
+    is more than the mix takes. NULL texts and empty tables give no rows; very long texts are cut like others, and extra columns kept.
     """
     spans = mix_sources(docs, id_col, text_col, source_col, settings).spans()
     spans = spans.select(F.col("id").alias("id_of_mix"), F.col("row_key").alias("key_of_mix"), F.col("spans").alias("spans_of_mix"))
