@@ -14,6 +14,8 @@ from tradewind.llm.store import bound_batches, stored
 from tradewind.llm.words import ALNUM, LOWER, Powers, Sums, byte_values, documents, words
 
 BLOCK = 16 << 20  # bytes of benchmark text that are held against all documents at once
+CROWD = 64  # windows of one word up to which each is a candidate at every place of the word
+STEP = 1 << 20  # candidates that are looked at together
 
 
 def folded_values() -> np.ndarray:
@@ -61,6 +63,13 @@ class Windows:
         self.words, begin = np.unique(word[by_word], return_index=True)
         self.begin = np.append(begin, len(word))
         self.by_word = by_word
+        # Windows of a word that files very many are found by the hash of their words: (place, length) -> their order by hash.
+        self.crowded = np.diff(self.begin) > CROWD
+        crowd = by_word[np.repeat(self.crowded, np.diff(self.begin))]
+        self.by_hash = {}
+        for p, n in sorted(set(zip(self.place[crowd].tolist(), self.lengths[crowd].tolist(), strict=True))):
+            own = crowd[(self.place[crowd] == p) & (self.lengths[crowd] == n)]
+            self.by_hash[p, n] = own[np.argsort(self.hashes[own], kind="stable")]
         self.absent = np.ones(1 << 16, bool)
         self.absent[(self.words & np.uint64(0xFFFF)).astype(np.int64)] = False
 
@@ -74,14 +83,18 @@ class Windows:
         hit = self.words[slot] == w.hash[at]
         at, slot = at[hit], slot[hit]
         found = [], []
-        for i in range(0, len(at), 1 << 16):  # a frequent word meets many windows
-            a, s = at[i : i + (1 << 16)], slot[i : i + (1 << 16)]
-            n = self.begin[s + 1] - self.begin[s]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            window = self.by_word[np.repeat(self.begin[s], n) + step]
-            begin = np.repeat(a, n) - self.place[window]
+        many = self.crowded[slot]
+        for x, v in zip(found, self.hashed(at[many], w, sums), strict=True):
+            x.append(v)
+        at, slot = at[~many], slot[~many]
+        n = self.begin[slot + 1] - self.begin[slot]
+        for i in range(0, len(at), STEP // CROWD):  # at most STEP candidates at once
+            a, s, m = (x[i : i + STEP // CROWD] for x in (at, slot, n))
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            window = self.by_word[np.repeat(self.begin[s], m) + step]
+            begin = np.repeat(a, m) - self.place[window]
             end = begin + self.lengths[window]
-            doc = np.searchsorted(w.first, np.repeat(a, n), "right") - 1
+            doc = np.searchsorted(w.first, np.repeat(a, m), "right") - 1
             inside = (begin >= w.first[doc]) & (end <= w.first[doc + 1])
             window, begin, end = window[inside], begin[inside], end[inside]
             same = sums.hash(begin, end) == self.hashes[window]
@@ -98,6 +111,22 @@ class Windows:
         return window[exact], begin[exact]
 
 
+    def hashed(self, at: np.ndarray, w, sums: Sums) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates at words that file very many windows: one look-up for each place and length, not one per window."""
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        doc = np.searchsorted(w.first, at, "right") - 1
+        for (p, n), own in self.by_hash.items():
+            begin = at - p
+            begin = begin[(begin >= w.first[doc]) & (begin + n <= w.first[doc + 1])]
+            h, known = sums.hash(begin, begin + n), self.hashes[own]
+            first, last = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+            times = last - first  # 0 or 1, but for windows whose hashes clash
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            found[0].append(own[np.repeat(first, times) + step])
+            found[1].append(np.repeat(begin, times))
+        return np.concatenate(found[0]), np.concatenate(found[1])
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> int:
     """How many words the spans cover together."""
     order = np.argsort(starts, kind="stable")
@@ -181,7 +210,8 @@ def decontaminate(
     The benchmark is the stated query set. It is cut into blocks of about ``block`` bytes, and each block goes over all
     documents: its vocabulary is counted in them, each window is filed under its rarest word, and a document word
     that is some window's rarest leads to the windows it may lie in. Those that reach over the document's borders
-    go, hashes of the word sequences are compared, then the words themselves. Only one block is ever broadcast.
+    go, hashes of the word sequences are compared, then the words themselves. A word that files very many windows (an item of few
+    different words) leads to them by the hash of the document's words around it instead of one by one. Only one block is ever broadcast.
 
     NULL texts have no words; items without words have no windows and never occur; a NULL item id counts as no item,
     though its windows hit. Rows of ``docs`` that share id and text get the same result, items that repeat count once.
