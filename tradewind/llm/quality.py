@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm.store import bound_batches, stored
-from tradewind.llm.words import VISIBLE, Powers, byte_values, chunks, mix, text_bytes, words
+from tradewind.llm.words import VISIBLE, Powers, byte_values, chunks, documents, mix, text_bytes, words
 
 
 @dataclass(frozen=True)
@@ -101,19 +101,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("content"))
         .join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
         .select(F.col("id").cast("string").alias("id"), "label", F.coalesce("content", F.lit("")).alias("content"))
-        .withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(s.shards)))
+        .select(F.pmod(F.xxhash64("id"), F.lit(s.shards)).alias("shard"), "id", "label", F.md5(F.col("content").cast("binary")).alias("text"), "content")
     )
 
+    def sparse(batches):
+        """Texts become sparse rows where they are read: the learner gets their features, whose number is bounded, not the texts."""
+        powers = Powers()
+        for batch, data, offsets, i, j in documents(batches):
+            first, index, x = rows_of(*features(data, offsets, powers, s.bits), j - i, s.bits)
+            first = pa.array(first, pa.int32())
+            own = [batch.column(c).slice(i, j - i) for c in range(4)]
+            lists = [pa.ListArray.from_arrays(first, v) for v in (pa.array(index, pa.int32()), pa.array(x, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*own, *lists], ["shard", "id", "label", "text", "feature", "value"])
+
+    bound_batches(docs.sparkSession)
+    sample = sample.mapInArrow(sparse, "shard bigint, id string, label int, text string, feature array<int>, value array<float>")
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        leader, powers = Leader(s), Powers()
-        # One order whatever the partitioning: by hash of the id, then by label and text.
-        pdf = pdf.assign(h=pd.util.hash_array(pdf["id"].to_numpy(object))).sort_values(["h", "id", "label", "content"])
-        made = []
-        for text, label in zip(pdf["content"], pdf["label"], strict=True):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            doc, index = features(raw, np.array([0, len(raw)]), powers, s.bits)
-            _, index, x = rows_of(doc, index, 1, s.bits)
-            made.append((np.append(0, index).astype(np.int32), np.append(1.0, x).astype(np.float32), label))
+        leader = Leader(s)
+        # One order whatever the partitioning: by hash of the id, then by label and digest of the text.
+        pdf = pdf.assign(h=pd.util.hash_array(pdf["id"].to_numpy(object))).sort_values(["h", "id", "label", "text"])
+        made = [
+            (np.append(0, i).astype(np.int32), np.append(np.float32(1), x), label)
+            for i, x, label in zip(pdf["feature"], pdf["value"], pdf["label"], strict=True)
+        ]
         count = np.bincount(pdf["label"], minlength=2) + 1
         weight = np.maximum(count[::-1] / count, 1.0) ** s.balance
         for _ in range(s.epochs):
