@@ -262,3 +262,125 @@ def test_quality_of_odd_rows(spark, messy, rows, nothing):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert {r.score for r in quality.quality_scores(messy, none).collect()} == {0.5}
     assert quality.quality_scores(nothing, labels).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("cells", [7, 60])
+def test_boundaries_of_many_groups_give_the_optimum(spark, seed, cells, monkeypatch):
+    """With only some starts on the driver at once, the largest shard is what all starts allow."""
+    monkeypatch.setattr(sharding, "CELLS", cells)
+    rng = random.Random(seed)
+    sizes = [rng.choice([16, 17, 40, 400, rng.randrange(16, 3000)]) for _ in range(rng.choice([70, 300]))]
+    if seed % 3 == 0:
+        sizes[rng.randrange(len(sizes))] = sum(sizes) // 4
+    shards, total = rng.choice([2, 5, 11]), sum(sizes)
+    starts = np.cumsum(sizes) - sizes
+    atoms = spark.createDataFrame([(int(x),) for x in starts], "start bigint")
+    seen = sharding.boundaries(atoms, total, max(sizes), shards)
+    assert set(seen.tolist()) <= set(starts.tolist())
+
+    def largest(cuts):
+        return max(b - a for a, b in zip([0, *cuts], [*cuts, total], strict=True))
+
+    assert largest(sharding.cuts_of(seen, total, shards, max(sizes))) == largest(sharding.cuts_of(starts, total, shards))
+
+
+def test_sharding_in_cells_is_as_even(messy, monkeypatch):
+    def sizes():
+        return max(sum(r.size for r in found if r.shard == k) for k in {r.shard for r in found})
+
+    found = sharding.shard_evenly(messy, 5).collect()
+    whole = sizes()
+    monkeypatch.setattr(sharding, "CELLS", 12)
+    found = sharding.shard_evenly(messy, 5).collect()
+    assert sizes() == whole
+
+
+def test_slots_unfold_in_as_many_tasks_as_the_session_has_partitions(spark, messy):
+    mix = mixing.mix_sources(messy, settings=mixing.Settings(block=2))
+    assert mix.slots.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_draws_add_up(seed):
+    rng = random.Random(seed)
+    slots = [rng.choice([0, 1, 3, 50, 4000]) for _ in range(rng.randrange(1, 40))]
+    out = mixing.draws(slots, mixing.Settings(shards=7, seed=seed))
+    assert (out >= 0).all() and out.sum(axis=0).tolist() == slots
+    assert max(out.sum(axis=1)) - min(out.sum(axis=1)) <= 1
+
+
+def test_an_item_of_few_words_needs_no_candidate_per_window(spark, monkeypatch):
+    """A sequence of four letters: most windows have the same rarest word. Held against windows of plain strings."""
+    rng = random.Random(8)
+    dna = [rng.choice("acgt") for _ in range(3000)]
+    texts = [" ".join(rng.choice("acgt") for _ in range(2000)), " ".join(dna[500:540]), "x " + " ".join(dna[:9]), " ".join(dna), "a c g t" * 5]
+    items = [("dna", " ".join(dna)), ("short", "c g t a"), ("plain", "nothing of all this")]
+    looked = []
+    repeat = np.repeat
+    monkeypatch.setattr(d, "STEP", 1 << 14)
+    index = d.Windows(items, 10, {})
+    data, offsets = d_bytes(texts)
+    powers = d.Powers()
+    w = d.words(data, offsets, powers, d.ALNUM, d.folded_values())
+    monkeypatch.setattr(d.np, "repeat", lambda a, n, *x: looked.append(int(np.sum(n))) or repeat(a, n, *x))
+    window, begin = index.find(data, w, d.Sums(w.hash, powers))
+    monkeypatch.undo()
+    assert max(looked) <= len(w.starts) + (1 << 14)
+    windows = {t.decode() for t in index.texts}
+    expected = set()
+    for k, t in enumerate(texts):
+        parts = alnum_words(t)
+        expected |= {(int(w.first[k]) + i, " ".join(parts[i:i + n])) for n in (4, 10) for i in range(len(parts) - n + 1) if " ".join(parts[i:i + n]) in windows}
+    assert {(b, index.texts[k].decode()) for k, b in zip(window.tolist(), begin.tolist(), strict=True)} == expected
+    assert len(window) == len(expected)
+
+
+def d_bytes(texts):
+    joined = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(joined), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in joined])]).astype(np.int64)
+
+
+def test_quality_weights_equal_a_plain_learner(spark):
+    """Follow-the-regularised-leader over dictionaries, one example and one coordinate at a time."""
+    import math
+
+    import pandas as pd
+
+    rng = random.Random(11)
+    words_of = {1: ["calm", "river", "stone"], 0: ["BUY", "now", "$$$"]}
+    rows = [(i, " ".join(rng.choice(words_of[i % 2] + ["and"]) for _ in range(rng.randrange(0, 9)))) for i in range(40)]
+    s = quality.Settings(bits=12, epochs=3, shards=2)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    found = quality.train(docs, labels, "doc_id", "text", "quality", s)
+    used = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    shard = {r.id: r.p for r in spark.createDataFrame([(str(i),) for i, _ in used], "id string").selectExpr("id", "pmod(xxhash64(id), 2) AS p").collect()}
+    total = defaultdict(float)
+    for k in range(2):
+        mine = [(i, t) for i, t in used if shard[str(i)] == k]
+        mine.sort(key=lambda r: (int(pd.util.hash_array(np.array([str(r[0])], object))[0]), str(r[0])))
+        labelled = Counter(i % 2 for i, _ in mine)
+        weight = {y: max((labelled[1 - y] + 1) / (labelled[y] + 1), 1.0) ** s.balance for y in (0, 1)}
+        z, n = defaultdict(float), defaultdict(float)
+
+        def w_of(i, z=z, n=n):
+            return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+        for _ in range(s.epochs):
+            for i, t in mine:
+                raw = np.frombuffer(t.encode(), np.uint8)
+                _, index = quality.features(raw, np.array([0, len(raw)]), d.Powers(), s.bits)
+                counted = Counter(index.tolist())
+                norm = math.sqrt(sum((1 + math.log(c)) ** 2 for c in counted.values())) or 1.0
+                x = {0: 1.0} | {f: (1 + math.log(c)) / norm for f, c in counted.items()}
+                w = {f: w_of(f) for f in x}
+                p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items())))
+                for f, v in x.items():
+                    g = weight[i % 2] * (p - i % 2) * v
+                    z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / s.alpha * w[f]
+                    n[f] += g * g
+        for f in z:
+            total[f] += w_of(f) / s.shards
+    expected = np.array([total.get(f, 0.0) for f in range(1 << s.bits)])
+    assert np.abs(found - expected).max() < 1e-4 and np.abs(expected).max() > 0.1
