@@ -220,3 +220,35 @@ def test_every_window_has_one_anchor_that_its_content_settles():
     by_content = {}
     for i, distance in anchor.items():
         assert by_content.setdefault(text[i:i + s.window].tobytes(), distance) == distance
+
+
+@pytest.mark.parametrize("light", [2, 5])
+def test_crowds_around_one_passage_go_through_the_method(spark, light, monkeypatch):
+    """Many texts share a passage shorter than a window, and some of them a word more to either side: level after level of finer pieces."""
+    rng = random.Random(12)
+    core = [f"c{i}" for i in range(20)]
+    sides = [[f"s{rng.randrange(3)}" for _ in range(18)] for _ in range(12)]
+    texts = []
+    for _ in range(90):
+        left, right = rng.choice(sides), rng.choice(sides)
+        cut = rng.randrange(19)
+        noise = [f"n{rng.randrange(10**6)}" for _ in range(40)]
+        texts.append(" ".join([*noise[:20], *left[cut:], *core, *right[: rng.randrange(19)], *noise[20:]]))
+    texts += [texts[3], " ".join(core * 6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    crowds = []
+    real = seeds.finer_pieces
+    monkeypatch.setattr(seeds, "finer_pieces", lambda variants, s: crowds.append(s.parts) or real(variants, s))
+    for module in (substring_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "LIGHT", light)
+    found = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df, window=35).collect()}
+    units = [t.split() for t in texts]
+    gone = removal(units, 35)
+    assert found == {i: (sum(g), " ".join(w for w, x in zip(u, g, strict=True) if not x)) for i, (u, g) in enumerate(zip(units, gone, strict=True))}
+    assert len(crowds) > 1 and crowds == sorted(set(crowds))
+    crowds.clear()
+    found = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(df, window=100, gram=24).collect()}
+    units = [t.encode() for t in texts]
+    gone = removal(units, 100)
+    assert found == {i: (sum(g), bytes(c for c, x in zip(u, g, strict=True) if not x)) for i, (u, g) in enumerate(zip(units, gone, strict=True))}
+    assert crowds

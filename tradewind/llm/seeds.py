@@ -9,7 +9,7 @@ are its key. Two equal windows are in pieces of equal keys, whatever the texts a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -191,26 +191,70 @@ def scan(base: DataFrame, s: Seeding, anchors, keys=None) -> DataFrame:
     return base.mapInArrow(run, f"id {kind}, row_key bigint, key bigint, around bigint, low int, high int")
 
 
-def window_counts(variants: DataFrame, s: Seeding) -> DataFrame:
-    """Which windows of the variants (key, around, n, content) repeat, as (key, around, spans), by counting the hashes of
-    all their windows. Linear and split freely, so it serves the keys with too many variants for one task."""
+def finer_pieces(variants: DataFrame, s: Seeding) -> DataFrame:
+    """The variants cut by the distance of window and anchor into the pieces of ``s``: each row with (sub_key, sub_around,
+    sub_at, sub_content), and where the piece begins in it, ``low``, and its number of units, ``size``."""
 
     def run(batches):
         powers, values = Powers(), byte_values()
         for batch in batches:
-            for i, text in enumerate(batch.column("content")):
-                data = np.frombuffer(text.as_py(), np.uint8)
-                v = words(data, np.array([0, len(data)]), powers, VISIBLE, values).hash if s.words else values[data]
-                at = np.arange(len(v) - s.window + 1)
-                h = Sums(v, powers).hash(at, at + s.window)
-                own = [batch.column(c).take(pa.array(np.full(len(at), i))) for c in ("key", "around", "n")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["key", "around", "n", "place", "hash"])
+            data, offsets = text_bytes(batch.column("content").cast(pa.large_binary()).view(pa.large_string()))
+            at = batch.column("anchor_at").to_numpy().astype(np.int64)
+            for i, j in chunks(offsets, BYTES_AT_ONCE):
+                d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                w = words(d, o, powers, VISIBLE, values) if s.words else None
+                v, first = (w.hash, w.first) if s.words else (values[d], o)
+                sums = Sums(v, powers)
+                which, key, around, low, end = pieces(sums, first[:-1] + at[i:j], first[:-1], first[1:] - s.window, s)
+                plain = d.tobytes()
+                begins, ends = (w.starts[low], w.ends[end - 1]) if s.words else (low, end)
+                # Words are joined by single spaces already, so a piece is one run of bytes.
+                text = [plain[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
+                own = [batch.column(c).take(pa.array(which + i)) for c in ("key", "around", "n")]
+                place = (first[:-1] + at[i:j])[which] - low
+                rest = [pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(text, pa.binary())]
+                rest += [pa.array((low - first[:-1][which]).astype(np.int32)), pa.array((end - low).astype(np.int32))]
+                names = ["key", "around", "n", "sub_key", "sub_around", "sub_at", "sub_content", "low", "size"]
+                yield pa.RecordBatch.from_arrays([*own, *rest], names)
+
+    return variants.mapInArrow(
+        run, "key bigint, around bigint, n bigint, sub_key bigint, sub_around bigint, sub_at int, sub_content binary, low int, size int"
+    )
 
-    each = stored(variants.mapInArrow(run, "key bigint, around bigint, n bigint, place int, hash bigint"))
-    again = stored(each.groupBy("key", "hash").agg(F.sum("n").alias("total")).where("total > 1").select("key", "hash"))
-    found = each.join(again, ["key", "hash"], "left_semi").groupBy("key", "around").agg(F.collect_list("place").alias("places"))
-    span = lambda p: F.struct(p.alias("low"), (p + s.window).alias("high"))
-    return found.select("key", "around", F.transform("places", span).alias("spans"))
+
+def resolved(variants: DataFrame, s: Seeding, resolve, light: int) -> DataFrame:
+    """(key, around, spans) of variants (key, around, n, anchor_at, content), all texts of each key.
+
+    A key with more than ``light`` texts is cut into finer pieces, whose keys hold more of the units around the anchor: two
+    equal windows are in pieces of one finer key too, so no match is lost, and texts that differ near the anchor part. That goes on for
+    the finer keys that are still crowded; a piece of one window has one text to a key. Whatever the crowd, every
+    comparison is made by ``resolve`` within a bounded group, and equal texts are one row with their number ``n``.
+    """
+    sizes = variants.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+    counted = stored(variants.join(sizes, "key"))
+    few, many = counted.where(F.col("texts") <= light).drop("texts"), counted.where(F.col("texts") > light).drop("texts")
+    # A fixed number of tasks: these are long for their few bytes, so small partitions must not be put together.
+    tasks = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = resolve(few.repartition(tasks, "key").sortWithinPartitions("key"), s)
+    if many.isEmpty():
+        return found
+    finer = replace(s, parts=min(s.window - s.gram + 1, 4 * s.parts))
+    cut = stored(finer_pieces(many, finer))
+    texts = stored(
+        cut.groupBy(F.col("sub_key").alias("key"), F.col("sub_around").alias("around")).agg(
+            F.sum("n").alias("n"), F.first("sub_at").alias("anchor_at"), F.first("sub_content").alias("content"), F.first("size").alias("size")
+        )
+    )
+    crowds = texts.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("texts")).where("texts > 1 and least = 1").select("key")
+    inner = resolved(texts.join(crowds, "key", "left_semi").drop("size"), finer, resolve, light)
+    single = texts.where("n = 1").select("key", "around")
+    whole = texts.where("n > 1").select("key", "around", F.array(F.struct(F.lit(0).alias("low"), F.col("size").alias("high"))).alias("spans"))
+    verdict = whole.unionAll(inner.join(single, ["key", "around"], "left_semi")).select(
+        F.col("key").alias("sub_key"), F.col("around").alias("sub_around"), "spans"
+    )
+    moved = F.transform("spans", lambda x: F.struct((x["low"] + F.col("low")).alias("low"), (x["high"] + F.col("low")).alias("high")))
+    back = cut.drop("sub_content").join(verdict, ["sub_key", "sub_around"]).select("key", "around", moved.alias("spans"))
+    return found.unionAll(back.groupBy("key", "around").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def repeated_spans(base: DataFrame, s: Seeding, resolve, light: int) -> DataFrame:
@@ -231,16 +275,12 @@ def repeated_spans(base: DataFrame, s: Seeding, resolve, light: int) -> DataFram
         variants.groupBy("key")
         .agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("texts"))
         .where("texts > 1 and least = 1")
-        .select("key", "texts")
+        .select("key")
     )
     keys = context.broadcast(bitmap(open_keys, "key"))
     read = scan(base, s, anchors, keys).groupBy("key", "around").agg(F.first("anchor_at").alias("anchor_at"), F.first("content").alias("content"))
-    mixed = stored(variants.join(open_keys, "key").join(read, ["key", "around"]).select("key", "around", "n", "texts", "anchor_at", "content"))
-    few = mixed.where(F.col("texts") <= light).drop("texts")
-    # A fixed number of tasks: these are long for their few bytes, so small partitions must not be put together.
-    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partly = resolve(few.repartition(tasks, "key").sortWithinPartitions("key"), s)
-    partly = partly.unionAll(window_counts(mixed.where(F.col("texts") > light).drop("texts"), s))
+    mixed = variants.join(open_keys.select("key"), "key").join(read, ["key", "around"]).select("key", "around", "n", "anchor_at", "content")
+    partly = resolved(mixed, s, resolve, light)
     empty = F.lit(None).cast("array<struct<low:int,high:int>>")
     whole = variants.where("n > 1").select("key", "around", empty.alias("spans"))
     single = variants.where("n = 1").select("key", "around")

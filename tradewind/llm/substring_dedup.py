@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradewind.llm.seeds import Seeding, base_of, by_key, repeated_spans, spread, without_spans
 from tradewind.llm.words import VISIBLE, Powers, byte_values, words
 
-LIGHT = 32  # texts around equal anchors that are compared with one another; more are resolved by window counts
+LIGHT = 32  # texts around equal anchors that are compared with one another; of more, finer pieces are
 AT_ONCE = 1 << 20
 
 

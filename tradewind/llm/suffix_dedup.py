@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.seeds import Seeding, base_of, by_key, repeated_spans, spread, without_spans
 
-LIGHT = 1024  # texts around equal anchors that go into one transform; more are resolved by window counts
+LIGHT = 1024  # texts around equal anchors that go into one transform; of more, finer pieces do
 AT_ONCE = 1 << 19  # bytes of text in one transform
 PACKED = 8  # bytes of a suffix that are compared as one number
 
