@@ -223,16 +223,14 @@ def finer_pieces(variants: DataFrame, s: Seeding) -> DataFrame:
 
 
 def resolved(variants: DataFrame, s: Seeding, resolve, light: int) -> DataFrame:
-    """(key, around, spans) of variants (key, around, n, anchor_at, content), all texts of each key.
+    """(key, around, spans) of stored variants (key, texts, around, n, anchor_at, content), all ``texts`` texts of each key.
 
     A key with more than ``light`` texts is cut into finer pieces, whose keys hold more of the units around the anchor: two
     equal windows are in pieces of one finer key too, so no match is lost, and texts that differ near the anchor part. That goes on for
     the finer keys that are still crowded; a piece of one window has one text to a key. Whatever the crowd, every
     comparison is made by ``resolve`` within a bounded group, and equal texts are one row with their number ``n``.
     """
-    sizes = variants.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-    counted = stored(variants.join(sizes, "key"))
-    few, many = counted.where(F.col("texts") <= light).drop("texts"), counted.where(F.col("texts") > light).drop("texts")
+    few, many = variants.where(F.col("texts") <= light).drop("texts"), variants.where(F.col("texts") > light).drop("texts")
     # A fixed number of tasks: these are long for their few bytes, so small partitions must not be put together.
     tasks = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = resolve(few.repartition(tasks, "key").sortWithinPartitions("key"), s)
@@ -245,8 +243,8 @@ def resolved(variants: DataFrame, s: Seeding, resolve, light: int) -> DataFrame:
             F.sum("n").alias("n"), F.first("sub_at").alias("anchor_at"), F.first("sub_content").alias("content"), F.first("size").alias("size")
         )
     )
-    crowds = texts.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("texts")).where("texts > 1 and least = 1").select("key")
-    inner = resolved(texts.join(crowds, "key", "left_semi").drop("size"), finer, resolve, light)
+    crowds = texts.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("texts")).where("texts > 1 and least = 1").drop("least")
+    inner = resolved(stored(texts.join(crowds, "key").drop("size")), finer, resolve, light)
     single = texts.where("n = 1").select("key", "around")
     whole = texts.where("n > 1").select("key", "around", F.array(F.struct(F.lit(0).alias("low"), F.col("size").alias("high"))).alias("spans"))
     verdict = whole.unionAll(inner.join(single, ["key", "around"], "left_semi")).select(
@@ -275,11 +273,11 @@ def repeated_spans(base: DataFrame, s: Seeding, resolve, light: int) -> DataFram
         variants.groupBy("key")
         .agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("texts"))
         .where("texts > 1 and least = 1")
-        .select("key")
+        .select("key", "texts")
     )
     keys = context.broadcast(bitmap(open_keys, "key"))
     read = scan(base, s, anchors, keys).groupBy("key", "around").agg(F.first("anchor_at").alias("anchor_at"), F.first("content").alias("content"))
-    mixed = variants.join(open_keys.select("key"), "key").join(read, ["key", "around"]).select("key", "around", "n", "anchor_at", "content")
+    mixed = stored(variants.join(open_keys, "key").join(read, ["key", "around"]).select("key", "around", "n", "texts", "anchor_at", "content"))
     partly = resolved(mixed, s, resolve, light)
     empty = F.lit(None).cast("array<struct<low:int,high:int>>")
     whole = variants.where("n > 1").select("key", "around", empty.alias("spans"))
