@@ -31,6 +31,13 @@ def test_license_phrases(messy, rows, nothing):
     assert licenses.license_scan(nothing).count() == 0
 
 
+def test_a_phrase_of_one_word_is_found_anywhere(spark):
+    texts = ["zzz unlicense qqq", "this is unlicense here", "Unlicense", "unlicensed", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = sorted(licenses.license_scan(df, phrases=[*licenses.PHRASES, ("unlicense", "unlicense")]).select("doc_id", "n_base", "first_word").collect())
+    assert [tuple(r) for r in found] == [(0, 1, 1), (1, 1, 2), (2, 1, 0), (3, 0, None), (4, 0, None), (5, 0, None)]
+
+
 def test_license_templates_with_gaps(spark):
     label, text = licenses.TEMPLATES[3]
     w = text.split()

@@ -123,6 +123,7 @@ class Scanner:
         self.vocabulary = np.unique(np.concatenate(hashes))
         self.tokens = [np.searchsorted(self.vocabulary, h).tolist() for h in hashes]
         self.n_phrases = len(phrases)
+        self.shortest = min([min_match, *map(len, self.tokens[: self.n_phrases])])
         self.automaton = Automaton()
         for k, t in enumerate(self.tokens):
             self.automaton.add(k, t)
@@ -232,7 +233,7 @@ def license_scan(
             doc = np.searchsorted(w.first, at, "right") - 1
             cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(doc) != 0)) + 1
             begins, ends = np.append(0, cut), np.append(cut, len(at))
-            long = np.flatnonzero(ends - begins >= 2) if len(at) else []
+            long = np.flatnonzero(ends - begins >= scanner.shortest) if len(at) else []
             found = {}
             for k in long:
                 a, b = int(begins[k]), int(ends[k])
