@@ -35,7 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of documents that a similarity of 0.8 of their five-word shingles links, the one with the smallest
     id; of rows that repeat its id, the smallest text by hash, once.
 
-    SimHash can't find these: such pairs lie 8 to 10 bits apart. Candidates come from MinHash bands, and exact sets decide.
+    Candidates come from SimHash: such pairs lie 8 to 10 of 64 bits apart, too far for one fingerprint, so that bands of a
+    wide one bring them together. The bits that differ and then the exact sets decide.
     """
     return one_of_each(docs, "doc_id", "text", shingle=5, tenths=8)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,11 +13,14 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.graph import components
 from tradewind.llm.store import bound_batches, stored
-from tradewind.llm.words import LOWER
+from tradewind.llm.words import LOWER, MULTIPLIER, mix
 
 HASH_SEED = 42
 RADIUS = 2  # differing bits of a link; near_links handles buckets of any size for this radius
 LIGHT = 32  # fingerprints in a bucket that are compared with one another
+MISSED = 1e-9  # the share of pairs just similar enough that no band of a wide fingerprint brings together
+IN_BUCKET = 256  # wide fingerprints that a bucket of a band holds on average, at most
+CROWD = 2048  # wide fingerprints in a bucket that are compared with one another
 
 
 def fingerprint(text: bytes, shingle: int, folded: bytes = LOWER.tobytes()) -> int:
@@ -132,3 +138,158 @@ def simhash_dedup(
         "component",
         *[F.col(f"carried_{c}").alias(c) for c in carry or []],
     )
+
+
+@dataclass(frozen=True)
+class Bands:
+    """Bands of a wide fingerprint: ``count`` times ``width`` bits of their own. Two sets meet if a band agrees, and are
+    candidates if of 128 other bits ``radius`` or fewer differ."""
+
+    width: int
+    count: int
+    radius: int
+
+    @property
+    def words(self) -> int:
+        """64-bit words of the fingerprint; a band lies in two of them at most, and two others are compared."""
+        return max(4, -(-self.width * self.count // 64))
+
+    def place(self, band: int) -> tuple[int, int]:
+        return divmod(band * self.width, 64)
+
+
+def bands_for(rows: int, cosine: float) -> Bands:
+    """Bands that miss a pair of sets of this cosine with probability ``MISSED``, for a table of ``rows`` sets.
+
+    A bit of two SimHashes agrees with probability 1 - angle / pi. Bands grow by a bit when the table doubles, so that
+    buckets don't grow with it; there are as many as the recall asks for.
+    """
+    agree = min(1 - math.acos(min(cosine, 1.0)) / math.pi, 0.99)
+    width = max(8, math.ceil(math.log2(max(rows, 1) / IN_BUCKET)))
+    count = math.ceil(math.log(MISSED) / math.log1p(-(agree**width)))
+    return Bands(width, count, math.ceil(128 * (1 - agree) + 4 * math.sqrt(128 * agree * (1 - agree))))
+
+
+def wide_fingerprints(h: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
+    """(sets, words) SimHashes of 64 bits a word, each from its own hash of the elements ``h[first[i]:first[i + 1]]`` of set i.
+
+    A bit is 1 if set in over half the hashes. Bits are counted eight at a time, in the bytes of a number, over pieces of
+    at most 255 elements; an empty set has zeros.
+    """
+    n = np.diff(first)
+    some = np.flatnonzero(n)
+    out = np.zeros((len(n), words), np.uint64)
+    if not len(some):
+        return out
+    pieces = -(-n[some] // 255)
+    begin = np.cumsum(pieces) - pieces
+    at = np.repeat(first[:-1][some], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(begin, pieces))
+    lanes = np.uint64(0x0101010101010101)
+    bits = np.zeros((len(some), 64), bool)
+    for word, seed in enumerate(mix(np.arange(1, words + 1, dtype=np.uint64) * MULTIPLIER)):
+        x = mix(h ^ seed)
+        for low in range(8):
+            ones = np.add.reduceat((x >> np.uint64(low)) & lanes, at)
+            ones = np.add.reduceat(ones.view(np.uint8).reshape(-1, 8), begin, axis=0, dtype=np.int64)
+            bits[:, low::8] = 2 * ones > n[some][:, None]
+        out[some, word] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def filed(prints: DataFrame, bands: Bands) -> DataFrame:
+    """Rows (key, class, x, y): each (class, print) under each of its bands, with two words of the print outside the band."""
+
+    def run(batches):
+        for batch in batches:
+            data = b"".join(batch.column(1).to_pylist())
+            f = np.frombuffer(data, np.uint64).reshape(batch.num_rows, bands.words)
+            for band in range(bands.count):
+                word, bit = bands.place(band)
+                value = f[:, word] >> np.uint64(bit)
+                if bit + bands.width > 64:
+                    value = value | f[:, word + 1] << np.uint64(64 - bit)
+                key = np.uint64(band << bands.width) | value & np.uint64((1 << bands.width) - 1)
+                rest = [pa.array(f[:, (word + k) % bands.words].view(np.int64)) for k in (2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), *rest], ["key", "class", "x", "y"])
+
+    return prints.select("class", "print").mapInArrow(run, "key bigint, class bigint, x bigint, y bigint")
+
+
+def bucket_links(key: int, ids: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, light: int):
+    """Arrays (place, a, b, crowded) of the members of a bucket, sorted by id, that lie within the radius.
+
+    Members that such steps reach are a cluster. A light one gives all its pairs, a crowded one each member with the smallest.
+    """
+    x, y = x.view(np.uint64), y.view(np.uint64)  # of a negative number, numpy counts the bits of its absolute value
+    a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y) <= radius, 1))
+    if not len(a):
+        return
+    low = np.arange(len(ids))
+    if len(np.union1d(a, b)) > light:
+        while True:
+            now = low.copy()
+            np.minimum.at(now, b, low[a])
+            np.minimum.at(now, a, low[b])
+            now = now[now]
+            if (now == low).all():
+                break
+            low = now
+        size = np.bincount(low, minlength=len(ids))
+        member = np.flatnonzero(size[low] > light)
+        if len(member):
+            yield star(key, ids[low[member]], ids[member])
+        of_light = size[low[a]] <= light
+        a, b = a[of_light], b[of_light]
+    yield np.zeros(len(a), np.int64), ids[a], ids[b], np.zeros(len(a), bool)
+
+
+def star(key: int, low: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    place = mix(low.view(np.uint64) ^ mix(np.full(len(ids), key, np.uint64) * MULTIPLIER)).view(np.int64)
+    return place, low, ids, np.ones(len(ids), bool)
+
+
+def wide_links(prints: DataFrame, bands: Bands, light: int) -> DataFrame:
+    """Rows (place, a, b, crowded): candidates a < b among the rows (class, print), found by bands of their wide fingerprints.
+
+    Members of a bucket are held against one another bit by bit. Of a cluster of more than ``light`` within the radius,
+    and of a bucket of more than ``CROWD``, each member comes with the smallest, itself included, as ``crowded`` rows
+    of one ``place``: other pairs of a place may be similar as well. Pairs come once for each band that finds them.
+    """
+    most, radius = CROWD, bands.radius
+
+    def whole(rows, begin, end):
+        """Links of the buckets that begin and end at these rows."""
+        key, ids, x, y = rows
+        for i, j in zip(begin.tolist(), end.tolist(), strict=True):
+            if j - i > most:
+                yield star(key[i], np.full(j - i, ids[i]), ids[i:j])
+            elif j - i > 1:
+                yield from bucket_links(key[i], ids[i:j], x[i:j], y[i:j], radius, light)
+
+    def links(batches):
+        held, crowded = [np.zeros(0, np.int64)] * 4, None  # rows of the bucket begun; key and smallest id of a crowded one
+        for batch in batches:
+            rows = [np.append(h, c.to_numpy(zero_copy_only=False)) for h, c in zip(held, batch.columns, strict=True)]
+            if crowded:
+                n = np.searchsorted(rows[0], crowded[0], "right")
+                yield star(crowded[0], np.full(n, crowded[1]), rows[1][:n])
+                rows = [c[n:] for c in rows]
+            begin = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])) if len(rows[0]) else np.zeros(0, int)
+            if not len(begin):
+                held = rows
+                continue
+            yield from whole(rows, begin[:-1], begin[1:])
+            held, crowded = [c[begin[-1] :] for c in rows], None
+            if len(held[0]) > most:
+                crowded = held[0][0], held[1][0]
+                yield star(crowded[0], np.full(len(held[0]), crowded[1]), held[1])
+                held = [c[:0] for c in held]
+        if len(held[0]):
+            yield from whole(held, np.zeros(1, int), np.full(1, len(held[0])))
+
+    def run(batches):
+        for columns in links(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "a", "b", "crowded"])
+
+    rows = filed(prints, bands).repartition("key").sortWithinPartitions("key", "class")
+    return rows.mapInArrow(run, "place bigint, a bigint, b bigint, crowded boolean")

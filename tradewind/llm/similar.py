@@ -1,4 +1,4 @@
-"""Groups of documents whose sets of word shingles are similar: MinHash bands find candidates, exact sets decide."""
+"""Groups of documents whose sets of word shingles are similar: SimHash bands find candidates, exact sets decide."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.graph import components
+from tradewind.llm.simhash import Bands, bands_for, wide_fingerprints, wide_links
 from tradewind.llm.store import bound_batches, may_contain, membership, stored
 from tradewind.llm.words import LOWER, MULTIPLIER, VISIBLE, Powers, Sums, byte_values, documents, mix, words
 
-BANDS, ROWS = 48, 4  # a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**48 = 1e-11
 LIGHT = 32  # classes in a bucket that are compared with one another at once
 BLOCK = 256  # classes of a crowded group that go to a task together
 BITS = 1 << 25  # of the bitmap that spares the second pass most texts
@@ -45,45 +45,26 @@ def class_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix((sums[first[1:]] - sums[first[:-1]]) + mix(np.diff(first).astype(np.uint64))).view(np.int64)
 
 
-def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) hashes of ROWS minima each; texts without shingles have zeros."""
-    out = np.zeros((len(first) - 1, BANDS), np.uint64)
-    some = np.flatnonzero(np.diff(first))
-    if not len(some):
-        return out.view(np.int64)
-    seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * MULTIPLIER).reshape(-1, 2)
-    high = h ^ (h >> np.uint64(32))
-    for band in range(BANDS):
-        key = np.full(len(some), band, np.uint64)
-        for xor, factor in seeds[band * ROWS : (band + 1) * ROWS]:
-            x = (high ^ xor) * (factor | np.uint64(1))
-            x ^= x >> np.uint64(29)
-            x *= MULTIPLIER
-            key = mix(key * MULTIPLIER + np.minimum.reduceat(x, first[some]))
-        out[some, band] = key
-    return out.view(np.int64)
-
-
 def lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, key, class, n, bands) for each row (id, key, content)."""
+def signatures(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
+    """(id, key, class, n, print) for each row (id, key, content); the print is the SimHash of the distinct shingles."""
+    words = bands.words
 
     def run(batches):
         powers = Powers()
         for batch, data, offsets, i, j in documents(batches):
             h, first = shingle_sets(data, offsets, shingle, powers)
-            keys = band_keys(h, first)
-            bands = lists(keys.reshape(-1), np.arange(j - i + 1) * BANDS)
+            prints = pa.array([f.tobytes() for f in wide_fingerprints(h, first, words)], pa.binary())
             columns = [batch.column(c).slice(i, j - i) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(class_of(h, first)), pa.array(np.diff(first), pa.int64()), bands], ["id", "key", "class", "n", "bands"]
+                [*columns, pa.array(class_of(h, first)), pa.array(np.diff(first), pa.int64()), prints], ["id", "key", "class", "n", "print"]
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "key", "content").mapInArrow(run, f"id {kind}, key bigint, class bigint, n bigint, bands array<bigint>")
+    return docs.select("id", "key", "content").mapInArrow(run, f"id {kind}, key bigint, class bigint, n bigint, print binary")
 
 
 def sets(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
@@ -273,9 +254,10 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, key_col: str, sh
     """One row per row of ``docs``: id, key, ``component``, a number shared by all documents that links reach.
 
     Documents are linked if the Jaccard similarity of their sets of shingles is ``tenths`` / 10 or more: each
-    candidate's sets are compared. Texts of equal sets are one class from the start. Candidates share one of
-    48 bands of four MinHash values; below 0.8 more bands would be needed. Crowded buckets are first held against
-    their smallest class; where that leaves several components, ``crowded_links`` compares their members.
+    candidate's sets are compared. Texts of equal sets are one class from the start. Candidates are found by SimHash:
+    bands of wide fingerprints, whose width follows the number of rows, and the bits that differ beside them
+    (``simhash.wide_links``). Crowded clusters are first held against their smallest class; where that leaves several
+    components, ``crowded_links`` compares their members.
 
     Shingles stand as 64-bit hashes. ``key`` is a hash of id and text. NULL texts and those without words are a class.
     Rows that repeat id and text each get a row of the result; ids may repeat or be NULL. A long text counts whole; its set has to fit
@@ -283,12 +265,14 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, key_col: str, sh
     """
     bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("content"))
-    prints = stored(signatures(base, shingle))
+    bands = bands_for(base.count(), 2 * tenths / (10 + tenths))  # the least cosine of sets so similar
+    prints = stored(signatures(base, shingle, bands))
     rows = prints.select("id", "key", "class")
-    classes = stored(prints.where("n > 0").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    full = bucketed(classes.select(F.explode("bands").alias("band"), "class", "n", F.col("class").alias("comp")))
-    pairs = candidates(full, tenths)
-    crowded = full.where(F.col("members") > LIGHT).select("band", "class", "low")
+    classes = stored(prints.where("n > 0").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("print").alias("print")))
+    # Of fewer shingles, sets that aren't equal can't be similar.
+    found = stored(wide_links(classes.where(F.col("n") * (10 - tenths) >= tenths), bands, LIGHT))
+    pairs = stored(found.where("a <> b").select("a", "b").distinct())
+    crowded = found.where("crowded").select(F.col("place").alias("band"), F.col("b").alias("class"), F.col("a").alias("low"))
     needed = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
     keys = stored(classes.select("class", "key").join(needed, "class", "left_semi").select("key"))
     known = stored(sets(base, keys, shingle))
