@@ -76,6 +76,43 @@ def test_members_of_a_crowded_bucket_come_with_its_smallest(spark, monkeypatch):
     assert all(r.crowded for r in found)
 
 
+def near(spark, others, radius, light):
+    """Links of one bucket whose members differ in ``others``, the words compared: pairs, and the members of each place."""
+    bands = simhash.Bands(8, 1, radius)
+    rows = [(k, bytearray(np.array([0, 0, *x, *[0] * (bands.words - 2 - len(x))], np.uint64).tobytes())) for k, x in enumerate(others)]
+    found = simhash.wide_links(spark.createDataFrame(rows, "class bigint, print binary").repartition(3), bands, light).collect()
+    places = {}
+    for r in found:
+        if r.crowded:
+            places.setdefault(r.place, set()).update((r.a, r.b))
+    return sorted((r.a, r.b) for r in found if not r.crowded), list(places.values())
+
+
+def test_a_long_chain_is_no_crowd(spark):
+    pairs, places = near(spark, [[(1 << k) - 1] for k in range(60)], 1, 4)
+    assert pairs == [(k, k + 1) for k in range(59)] and not places
+
+
+@pytest.mark.parametrize("light", [1, 4, 10, 80])
+def test_a_near_pair_is_given_or_of_one_place(spark, light):
+    rng = random.Random(light)
+    others = [[rng.getrandbits(3) | (rng.getrandbits(12) << 3 if k % 2 else 0), rng.getrandbits(1) << 63] for k in range(120)]
+    pairs, places = near(spark, others, 2, light)
+    close = {
+        (a, b) for b in range(120) for a in range(b) if sum((x ^ y).bit_count() for x, y in zip(others[a], others[b], strict=True)) <= 2
+    }
+    beside = [sum(k in p for p in close) for k in range(120)]
+    assert set(pairs) <= close and all(p in pairs or any({*p} <= c for c in places) for p in close)
+    assert all(len(c) > light and all(beside[k] > light for k in c) for c in places) and bool(places) == (light < 80)
+    assert len(pairs) == len(set(pairs)) <= 120 * light
+
+
+def test_all_words_compared_count(spark):
+    every = 2**64 - 1
+    pairs, places = near(spark, [[0] * 4, [every] * 4, [1, 1, 1, 1], [3, 0, 0, 2]], 4, 4)
+    assert pairs == [(0, 2), (0, 3)] and not places
+
+
 def test_bands_grow_with_the_table():
     small, large = (simhash.bands_for(n, 1.6 / 1.8) for n in (10**5, 10**8))
     assert large.width == small.width + 10 and large.count > small.count and large.radius == small.radius < 64

@@ -21,6 +21,7 @@ LIGHT = 32  # fingerprints in a bucket that are compared with one another
 MISSED = 1e-9  # the share of pairs just similar enough that no band of a wide fingerprint brings together
 IN_BUCKET = 256  # wide fingerprints that a bucket of a band holds on average, at most
 CROWD = 2048  # wide fingerprints in a bucket that are compared with one another
+COMPARED = 4  # words outside a band that members of its buckets are compared by; with fewer, more that only share a passage seem similar
 
 
 def fingerprint(text: bytes, shingle: int, folded: bytes = LOWER.tobytes()) -> int:
@@ -143,7 +144,7 @@ def simhash_dedup(
 @dataclass(frozen=True)
 class Bands:
     """Bands of a wide fingerprint: ``count`` times ``width`` bits of their own. Two sets meet if a band agrees, and are
-    candidates if of 128 other bits ``radius`` or fewer differ."""
+    candidates if of the bits of ``COMPARED`` other words ``radius`` or fewer differ."""
 
     width: int
     count: int
@@ -151,8 +152,8 @@ class Bands:
 
     @property
     def words(self) -> int:
-        """64-bit words of the fingerprint; a band lies in two of them at most, and two others are compared."""
-        return max(4, -(-self.width * self.count // 64))
+        """64-bit words of the fingerprint; a band lies in two of them at most, and others are compared."""
+        return max(2 + COMPARED, -(-self.width * self.count // 64))
 
     def place(self, band: int) -> tuple[int, int]:
         return divmod(band * self.width, 64)
@@ -167,7 +168,8 @@ def bands_for(rows: int, cosine: float) -> Bands:
     agree = min(1 - math.acos(min(cosine, 1.0)) / math.pi, 0.99)
     width = max(8, math.ceil(math.log2(max(rows, 1) / IN_BUCKET)))
     count = math.ceil(math.log(MISSED) / math.log1p(-(agree**width)))
-    return Bands(width, count, math.ceil(128 * (1 - agree) + 4 * math.sqrt(128 * agree * (1 - agree))))
+    bits = 64 * COMPARED
+    return Bands(width, count, math.ceil(bits * (1 - agree) + 4 * math.sqrt(bits * agree * (1 - agree))))
 
 
 def wide_fingerprints(h: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
@@ -197,7 +199,8 @@ def wide_fingerprints(h: np.ndarray, first: np.ndarray, words: int) -> np.ndarra
 
 
 def filed(prints: DataFrame, bands: Bands) -> DataFrame:
-    """Rows (key, class, x, y): each (class, print) under each of its bands, with two words of the print outside the band."""
+    """Rows (key, class, x0, x1, ...): each (class, print) under each of its bands, with ``COMPARED`` words of the print outside the band."""
+    others = [f"x{k}" for k in range(COMPARED)]
 
     def run(batches):
         for batch in batches:
@@ -209,27 +212,34 @@ def filed(prints: DataFrame, bands: Bands) -> DataFrame:
                 if bit + bands.width > 64:
                     value = value | f[:, word + 1] << np.uint64(64 - bit)
                 key = np.uint64(band << bands.width) | value & np.uint64((1 << bands.width) - 1)
-                rest = [pa.array(f[:, (word + k) % bands.words].view(np.int64)) for k in (2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), *rest], ["key", "class", "x", "y"])
+                rest = [pa.array(f[:, (word + k) % bands.words].view(np.int64)) for k in range(2, 2 + len(others))]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), *rest], ["key", "class", *others])
 
-    return prints.select("class", "print").mapInArrow(run, "key bigint, class bigint, x bigint, y bigint")
+    return prints.select("class", "print").mapInArrow(run, ", ".join(f"{c} bigint" for c in ["key", "class", *others]))
 
 
-def bucket_links(key: int, ids: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, light: int):
+def bucket_links(key: int, ids: np.ndarray, others: list[np.ndarray], radius: int, light: int):
     """Arrays (place, a, b, crowded) of the members of a bucket, sorted by id, that lie within the radius.
 
-    Members that such steps reach are a cluster. A light one gives all its pairs, a crowded one each member with the smallest.
+    A member with ``light`` others near it, or fewer, gives its pairs, however many of such steps lead on from it. Members
+    with more near them that such steps reach are a cluster: a light one gives all its pairs, a crowded one each member
+    with the smallest.
     """
-    x, y = x.view(np.uint64), y.view(np.uint64)  # of a negative number, numpy counts the bits of its absolute value
-    a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y) <= radius, 1))
+    differ = np.zeros((len(ids), len(ids)), np.int16)
+    for x in others:
+        x = x.view(np.uint64)  # of a negative number, numpy counts the bits of its absolute value
+        differ += np.bitwise_count(x[:, None] ^ x)
+    a, b = np.nonzero(np.triu(differ <= radius, 1))
     if not len(a):
         return
-    low = np.arange(len(ids))
-    if len(np.union1d(a, b)) > light:
+    busy = np.bincount(np.append(a, b), minlength=len(ids)) > light
+    dense = busy[a] & busy[b]
+    if dense.any():
+        low = np.arange(len(ids))
         while True:
             now = low.copy()
-            np.minimum.at(now, b, low[a])
-            np.minimum.at(now, a, low[b])
+            np.minimum.at(now, b[dense], low[a[dense]])
+            np.minimum.at(now, a[dense], low[b[dense]])
             now = now[now]
             if (now == low).all():
                 break
@@ -238,8 +248,8 @@ def bucket_links(key: int, ids: np.ndarray, x: np.ndarray, y: np.ndarray, radius
         member = np.flatnonzero(size[low] > light)
         if len(member):
             yield star(key, ids[low[member]], ids[member])
-        of_light = size[low[a]] <= light
-        a, b = a[of_light], b[of_light]
+        alone = ~dense | (size[low[a]] <= light)
+        a, b = a[alone], b[alone]
     yield np.zeros(len(a), np.int64), ids[a], ids[b], np.zeros(len(a), bool)
 
 
@@ -251,23 +261,24 @@ def star(key: int, low: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
 def wide_links(prints: DataFrame, bands: Bands, light: int) -> DataFrame:
     """Rows (place, a, b, crowded): candidates a < b among the rows (class, print), found by bands of their wide fingerprints.
 
-    Members of a bucket are held against one another bit by bit. Of a cluster of more than ``light`` within the radius,
-    and of a bucket of more than ``CROWD``, each member comes with the smallest, itself included, as ``crowded`` rows
-    of one ``place``: other pairs of a place may be similar as well. Pairs come once for each band that finds them.
+    Members of a bucket are held against one another bit by bit. Of a cluster of more than ``light`` that each have more
+    than ``light`` others within the radius, and of a bucket of more than ``CROWD``, each member comes with the smallest,
+    itself included, as ``crowded`` rows of one ``place``: other pairs of a place may be similar as well. Pairs come
+    once for each band that finds them.
     """
-    most, radius = CROWD, bands.radius
+    most, radius, columns = CROWD, bands.radius, 2 + COMPARED
 
     def whole(rows, begin, end):
         """Links of the buckets that begin and end at these rows."""
-        key, ids, x, y = rows
+        key, ids, *others = rows
         for i, j in zip(begin.tolist(), end.tolist(), strict=True):
             if j - i > most:
                 yield star(key[i], np.full(j - i, ids[i]), ids[i:j])
             elif j - i > 1:
-                yield from bucket_links(key[i], ids[i:j], x[i:j], y[i:j], radius, light)
+                yield from bucket_links(key[i], ids[i:j], [x[i:j] for x in others], radius, light)
 
     def links(batches):
-        held, crowded = [np.zeros(0, np.int64)] * 4, None  # rows of the bucket begun; key and smallest id of a crowded one
+        held, crowded = [np.zeros(0, np.int64)] * columns, None  # rows of the bucket begun; key and smallest id of a crowded one
         for batch in batches:
             rows = [np.append(h, c.to_numpy(zero_copy_only=False)) for h, c in zip(held, batch.columns, strict=True)]
             if crowded:
