@@ -109,7 +109,7 @@ def test_a_near_pair_is_given_or_of_one_place(spark, light):
 
 def test_all_words_compared_count(spark):
     every = 2**64 - 1
-    pairs, places = near(spark, [[0] * 4, [every] * 4, [1, 1, 1, 1], [3, 0, 0, 2]], 4, 4)
+    pairs, places = near(spark, [[0, 0], [every, every], [1, 3], [7, 0]], 3, 4)
     assert pairs == [(0, 2), (0, 3)] and not places
 
 
